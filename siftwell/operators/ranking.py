@@ -49,9 +49,10 @@ def _query_side(queries: DataFrame, keys, modes) -> DataFrame:
 
 
 def _vector_columns(modes) -> list[Column]:
+    # aliased: points and queries may be selections of the same table
     cols = []
     if "dense" in modes:
-        cols.append(F.col("dense"))
+        cols.append(F.col("dense").alias("dense"))
     if "sparse" in modes:
         cols += [F.col("sparse.indices").alias("indices"), F.col("sparse.values").alias("values")]
     return cols
