@@ -258,10 +258,12 @@ def benchmark_log(spark, sf):
 def summary(spark, sf):
     log = benchmark_log(spark, sf)
     size = t.documents(spark, sf).select(F.count(F.lit(1))).scalar()
-    dense = text_search(spark, sf, "dense", t.document_queries(spark, sf))
-    index = evaluate.index_recall(dense, dense, t.document_queries(spark, sf))
+    asked = t.document_queries(spark, sf)
+    found = collection.stored(all_modes(spark, sf))
+    exact = text_search(spark, sf, "dense", asked)
+    index = evaluate.index_recall(found.where(F.col("mode") == "dense"), exact, asked)
     return evaluate.mode_summary(
-        recall_per_query(spark, sf),
+        evaluate.recall_by_category(found, asked, t.documents(spark, sf)),
         metrics.latency_percentiles(log),
         metrics.mode_throughput(log),
         index,
@@ -286,7 +288,7 @@ def ivf_parts(spark, sf):
 
 def ivf_assign(spark, sf):
     points, _, centroids = ivf_parts(spark, sf)
-    return ann.assign_lists(points, centroids)
+    return ann.assign_lists(points, centroids).select("tenant_id", "id", "list_id")
 
 
 def ivf_topk(spark, sf):

@@ -7,9 +7,22 @@ every list gives exactly the exact result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from siftwell.operators.ranking import block_topk, take_top
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from siftwell.operators.blocks import score_block
+from siftwell.operators.ranking import (
+    MAX_BROADCAST_BYTES,
+    block_topk,
+    document_side,
+    measured_bytes,
+    split_by_key,
+    take_top,
+    vector_bytes,
+)
 from siftwell.schema import require_columns
 
 
@@ -31,25 +44,58 @@ def seed_centroids(points: DataFrame, per_tenant: int) -> DataFrame:
     )
 
 
+def _as_documents(centroids: DataFrame) -> DataFrame:
+    # negated ids turn "larger id first" of the dense order into "lower list first"
+    return centroids.select("tenant_id", (-F.col("list_id")).alias("id"), "dense")
+
+
 def _nearest(centroids: DataFrame, vectors: DataFrame, k: int, **plan) -> DataFrame:
     """tenant_id, query_id, list_id, rank of the k closest lists; ties to the lower list."""
-    # negated ids turn "larger id first" of the dense order into "lower list first"
-    lists = centroids.select("tenant_id", (-F.col("list_id")).alias("id"), "dense")
-    return take_top(block_topk(lists, vectors, k, ("dense",), **plan), k).select(
+    best = block_topk(_as_documents(centroids), vectors, k, ("dense",), **plan)
+    return take_top(best, k).select(
         "tenant_id", "query_id", (-F.col("id")).alias("list_id"), "rank"
     )
 
 
-def assign_lists(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """tenant_id, id, list_id: every point with its closest centroid.
+def _closest_list(spark: SparkSession, lists: pa.Table):
+    """Arrow UDF (tenant_id, dense) -> list_id over centroids held by every worker."""
+    shared = spark.sparkContext.broadcast(lists)
 
-    Points are the large side here: they are cut into bounded slices of their
-    tenant and each slice meets its tenant's centroids once.
+    @F.arrow_udf("bigint")
+    def closest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        by_tenant = dict(split_by_key(shared.value, ["tenant_id"]))
+        for tenant, dense in batches:
+            found = np.zeros(len(tenant), dtype=np.int64)
+            known = np.zeros(len(tenant), dtype=bool)
+            rows = pa.table(
+                {"tenant_id": tenant, "query_id": np.arange(len(tenant)), "dense": dense}
+            )
+            for key, part in split_by_key(rows, ["tenant_id"]):
+                if key in by_tenant:
+                    for best in score_block(by_tenant[key], part, ("dense",), 1):
+                        at = best["query_id"].to_numpy()
+                        found[at], known[at] = -best["id"].to_numpy(), True
+            yield pa.array(found, mask=~known)
+
+    return closest(F.col("tenant_id"), F.col("dense"))
+
+
+def assign_lists(
+    points: DataFrame, centroids: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Add ``list_id``, the closest centroid of the point's tenant.
+
+    Centroids that measure small are held by every worker and each point is
+    assigned where it is read. Otherwise points and centroids meet in bounded
+    cells and the result is joined back by id.
     """
+    lists = document_side(_as_documents(centroids), ("tenant_id",), ("dense",))
+    if measured_bytes(lists, vector_bytes(("dense",))) <= max_broadcast_bytes:
+        return points.withColumn("list_id", _closest_list(points.sparkSession, lists.toArrow()))
     vectors = points.select("tenant_id", F.col("id").alias("query_id"), "dense")
-    return _nearest(centroids, vectors, 1, strategy="grid").select(
-        "tenant_id", F.col("query_id").alias("id"), "list_id"
-    )
+    nearest = _nearest(centroids, vectors, 1, strategy="grid")
+    nearest = nearest.select("tenant_id", F.col("query_id").alias("id"), "list_id")
+    return points.join(nearest, ["tenant_id", "id"], "left")
 
 
 def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int, **plan) -> DataFrame:
@@ -59,9 +105,8 @@ def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int, **plan) -
     return _nearest(centroids, queries, nprobe, **plan)
 
 
-def _probed_candidates(points, queries, assigned, probes, k, **plan) -> DataFrame:
+def _probed_candidates(listed, queries, probes, k, **plan) -> DataFrame:
     """Best k of every probed list, with the list's rank for the query."""
-    listed = points.join(assigned, ["tenant_id", "id"])
     asked = queries.join(probes.drop("rank"), ["tenant_id", "query_id"])
     best = block_topk(listed, asked, k, ("dense",), keys=("tenant_id", "list_id"), **plan)
     best = best.withColumn("list_id", F.col("list_id").cast("bigint"))
@@ -69,21 +114,26 @@ def _probed_candidates(points, queries, assigned, probes, k, **plan) -> DataFram
     return best.join(ranks, ["tenant_id", "query_id", "list_id"])
 
 
+def _listed(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    return points if "list_id" in points.columns else assign_lists(points, centroids)
+
+
 def ivf_search(
     points: DataFrame,
     queries: DataFrame,
     centroids: DataFrame,
-    assigned: DataFrame | None = None,
     nprobe: int = 8,
     limit: int = 10,
     **plan,
 ) -> DataFrame:
-    """Approximate dense top ``limit`` from the ``nprobe`` closest lists."""
-    assigned = assigned if assigned is not None else assign_lists(points, centroids)
+    """Approximate dense top ``limit`` from the ``nprobe`` closest lists.
+
+    Points that already carry ``list_id`` (stored after ``assign_lists``) are
+    used as they are.
+    """
     probes = probe_lists(queries, centroids, nprobe, **plan)
-    return take_top(_probed_candidates(points, queries, assigned, probes, limit, **plan), limit).drop(
-        "list_id", "list_rank"
-    )
+    found = _probed_candidates(_listed(points, centroids), queries, probes, limit, **plan)
+    return take_top(found, limit).drop("list_id", "list_rank")
 
 
 def breadth_values(*values: int) -> list[int]:
@@ -98,7 +148,6 @@ def ivf_sweep(
     queries: DataFrame,
     centroids: DataFrame,
     breadths: list[int],
-    assigned: DataFrame | None = None,
     limit: int = 10,
     **plan,
 ) -> DataFrame:
@@ -107,9 +156,8 @@ def ivf_sweep(
     A candidate found in the r-th closest list belongs to every breadth >= r.
     """
     breadths = breadth_values(*breadths)
-    assigned = assigned if assigned is not None else assign_lists(points, centroids)
     probes = probe_lists(queries, centroids, breadths[-1], **plan)
-    found = _probed_candidates(points, queries, assigned, probes, limit, **plan)
+    found = _probed_candidates(_listed(points, centroids), queries, probes, limit, **plan)
     covered = F.filter(F.lit(breadths), lambda n: n >= F.col("list_rank"))
     found = found.withColumn("nprobe", F.explode(covered))
     return take_top(found, limit, by=("nprobe", "tenant_id", "mode", "query_id")).drop(

@@ -96,6 +96,9 @@ class _Filters:
     """Per-query category and time conditions as a mask over the block."""
 
     def __init__(self, docs: pa.Table, queries: pa.Table):
+        if "category_filter" not in queries.column_names:
+            self.any_category = self.any_time = False
+            return
         wanted = queries["category_filter"]
         self.any_category = wanted.null_count < len(wanted)
         if self.any_category:

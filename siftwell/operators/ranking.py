@@ -17,8 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftwell.operators.blocks import score_block
@@ -30,7 +31,7 @@ BLOCK_QUERIES = 2_048
 _MAX_LISTED_KEYS = 1_000
 
 
-def _document_side(points: DataFrame, keys, modes) -> DataFrame:
+def document_side(points: DataFrame, keys, modes) -> DataFrame:
     cols = [F.col(k).cast("string").alias(k) for k in keys]
     cols.append(F.col("id").cast("bigint").alias("id"))
     for name, kind in (("category", "string"), ("created_at", "bigint")):
@@ -58,7 +59,7 @@ def _vector_columns(modes) -> list[Column]:
     return cols
 
 
-def _row_bytes(modes) -> Column:
+def vector_bytes(modes) -> Column:
     size = F.lit(128).cast("bigint")
     if "dense" in modes:
         size = size + F.size("dense") * 8
@@ -71,18 +72,23 @@ def measured_bytes(df: DataFrame, row_bytes: Column) -> int:
     return df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()["b"]
 
 
-def _split_by_key(table: pa.Table, keys) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows of each distinct key tuple."""
-    frame = pd.DataFrame({k: table[k].to_numpy(zero_copy_only=False) for k in keys})
-    rows = frame.groupby(list(keys), sort=False).ngroup().to_numpy()
-    order = rows.argsort(kind="stable")
-    table, rows = table.take(pa.array(order)), rows[order]
-    start = 0
-    while start < len(rows):
-        end = int(rows.searchsorted(rows[start], side="right"))
+def split_by_key(table: pa.Table, keys) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of each distinct key tuple, with one stable sort of the row numbers."""
+    codes = np.zeros(table.num_rows, dtype=np.int64)
+    for name in keys:
+        column = table[name].combine_chunks().dictionary_encode()
+        part = pc.fill_null(column.indices, -1).to_numpy(zero_copy_only=False) + 1
+        codes = np.unique(codes * (len(column.dictionary) + 1) + part, return_inverse=True)[1]
+    if not codes.any():
+        if table.num_rows:
+            yield tuple(table[k][0].as_py() for k in keys), table
+        return
+    order = codes.argsort(kind="stable")
+    table, codes = table.take(pa.array(order)), codes[order]
+    edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+    for start, end in zip(edges, edges[1:]):
         part = table.slice(start, end - start)
         yield tuple(part[k][0].as_py() for k in keys), part
-        start = end
 
 
 def _with_key(block: pa.Table, keys, key) -> pa.Table:
@@ -116,10 +122,10 @@ def _broadcast_plan(docs: DataFrame, queries: pa.Table, keys, modes, k, schema)
     shared = docs.sparkSession.sparkContext.broadcast(queries)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_key = dict(_split_by_key(shared.value, keys))
+        by_key = dict(split_by_key(shared.value, keys))
 
         def flush(block: pa.Table):
-            for key, part in _split_by_key(block, keys):
+            for key, part in split_by_key(block, keys):
                 if key in by_key:
                     for best in score_block(part, by_key[key], modes, k):
                         yield from _with_key(best, keys, key).to_batches()
@@ -201,11 +207,11 @@ def block_topk(
     require_columns(queries, *keys, "query_id")
     schema = ", ".join(f"{name} string" for name in keys)
     schema += ", mode string, query_id bigint, id bigint, score double"
-    docs = _document_side(points, keys, modes)
+    docs = document_side(points, keys, modes)
     asked = _query_side(queries, keys, modes)
     if strategy != "grid":
         sized = asked if size_from is None else _query_side(size_from, keys, modes)
-        if measured_bytes(sized, _row_bytes(modes)) <= max_broadcast_bytes:
+        if measured_bytes(sized, vector_bytes(modes)) <= max_broadcast_bytes:
             return _broadcast_plan(docs, asked.toArrow(), keys, modes, k, schema)
         if strategy == "broadcast":
             raise ValueError(f"query table exceeds {max_broadcast_bytes} bytes")

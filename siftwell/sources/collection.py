@@ -42,6 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a result that several steps read, and read it back.
+
+    The table lies in shared storage, so a lost executor costs nothing.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
