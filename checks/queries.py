@@ -8,6 +8,7 @@ from checks import tables as t
 from siftwell.operators import ann, embed, filters, idf as idf_ops, metrics, prefix
 from siftwell.operators.ranking import clamp_limit, exact_topk
 from siftwell.plans import evaluate, report
+from siftwell.plans.benchmark import run_benchmark
 from siftwell.plans.search import (
     display_line,
     limit_per_query,
@@ -256,18 +257,12 @@ def benchmark_log(spark, sf):
 
 
 def summary(spark, sf):
-    log = benchmark_log(spark, sf)
-    size = t.documents(spark, sf).select(F.count(F.lit(1))).scalar()
-    asked = t.document_queries(spark, sf)
-    found = collection.stored(all_modes(spark, sf))
-    exact = text_search(spark, sf, "dense", asked)
-    index = evaluate.index_recall(found.where(F.col("mode") == "dense"), exact, asked)
-    return evaluate.mode_summary(
-        evaluate.recall_by_category(found, asked, t.documents(spark, sf)),
-        metrics.latency_percentiles(log),
-        metrics.mode_throughput(log),
-        index,
-        {**SETTINGS, "n_docs": size},
+    return run_benchmark(
+        embed.embed_hashed(t.documents(spark, sf)),
+        embed.embed_hashed(t.document_queries(spark, sf)),
+        benchmark_log(spark, sf),
+        idf=text_idf(spark, sf),
+        settings=SETTINGS,
     )
 
 

@@ -34,7 +34,7 @@ def turns(spark: SparkSession, sf: str, tenants: int = 20) -> DataFrame:
     assistant turns for German, and user turns carry a time range.
     """
     role, start = F.col("role"), F.col("conv_id")
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations"), "conv_id").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         tenant_of("conv_id", tenants).alias("tenant_id"),
         "text",

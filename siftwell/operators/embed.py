@@ -10,8 +10,9 @@ token of the corpus through a shuffle.)
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,11 +46,11 @@ def _hash_terms(terms: list[str], dim: int):
 
 
 def _embed_texts(texts: list[str | None], dim: int, dense: bool, sparse: bool) -> pa.StructArray:
-    codes: dict[str, int] = {}
+    codes: dict[str, int] = defaultdict(itertools.count().__next__)
     term, count, doc = [], [], []
     for row, text in enumerate(texts):
         tf = Counter(_TOKENS.findall(text.lower() if text else ""))
-        term.extend(codes.setdefault(t, len(codes)) for t in tf)
+        term.extend(map(codes.__getitem__, tf))
         count.extend(tf.values())
         doc.extend([row] * len(tf))
     term, count, doc = (np.array(x, dtype=np.int64) for x in (term, count, doc))

@@ -23,3 +23,21 @@ def fuse_rankings(
         .withColumn("mode", F.lit("hybrid"))
     )
     return take_top(fused, limit)
+
+
+def with_fused_rows(ranked: DataFrame, prefetch_limit: int = 50, k0: int = 60) -> DataFrame:
+    """The rows of every branch plus the fused ones as mode ``hybrid``, unranked.
+
+    Each ranked row becomes itself and its share of the fused score, so the
+    ranking below is computed once (a union of two filters would plan it twice).
+    """
+    own = F.struct(F.col("mode").alias("mode"), F.col("score").alias("score"))
+    share = F.struct(
+        F.lit("hybrid").alias("mode"), reciprocal_rank(F.col("rank"), k0).alias("score")
+    )
+    rows = F.when(F.col("rank") <= prefetch_limit, F.array(own, share)).otherwise(F.array(own))
+    return (
+        ranked.select("tenant_id", "query_id", "id", F.explode(rows).alias("_r"))
+        .groupBy("tenant_id", "query_id", "id", F.col("_r.mode").alias("mode"))
+        .agg(F.sum("_r.score").alias("score"))
+    )

@@ -148,14 +148,14 @@ def _slices(df: DataFrame, keys, size: int, name: str) -> DataFrame:
     return df.groupBy(*keys).agg(count.alias(name))
 
 
-def _grid_plan(docs: DataFrame, queries: DataFrame, keys, modes, k, schema) -> DataFrame:
+def _grid_plan(docs: DataFrame, queries: DataFrame, sized, keys, modes, k, schema) -> DataFrame:
     """Bounded (document slice x query slice) cells as cogroups.
 
     Slice counts per key are aggregates, so AQE knows their size when it picks
     the join and a hot key is split over as many cells as its rows need.
     """
     cells = _slices(docs, keys, BLOCK_DOCS, "_nd").join(
-        _slices(queries, keys, BLOCK_QUERIES, "_nq"), list(keys)
+        _slices(sized, keys, BLOCK_QUERIES, "_nq"), list(keys)
     )
 
     def every(n):
@@ -196,8 +196,8 @@ def block_topk(
 
     One pass over ``points`` serves all requested modes. Only documents whose
     ``keys`` equal the query's are ever compared; null keys match nothing.
-    ``size_from`` is a cheaper table with the same vectors, or longer ones, to
-    measure instead of ``queries``.
+    ``size_from`` is a cheaper table with the same queries and vectors at least
+    as long, to measure and count instead of ``queries``.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -209,13 +209,13 @@ def block_topk(
     schema += ", mode string, query_id bigint, id bigint, score double"
     docs = document_side(points, keys, modes)
     asked = _query_side(queries, keys, modes)
+    sized = asked if size_from is None else _query_side(size_from, keys, modes)
     if strategy != "grid":
-        sized = asked if size_from is None else _query_side(size_from, keys, modes)
         if measured_bytes(sized, vector_bytes(modes)) <= max_broadcast_bytes:
             return _broadcast_plan(docs, asked.toArrow(), keys, modes, k, schema)
         if strategy == "broadcast":
             raise ValueError(f"query table exceeds {max_broadcast_bytes} bytes")
-    return _grid_plan(docs, asked, keys, modes, k, schema)
+    return _grid_plan(docs, asked, sized, keys, modes, k, schema)
 
 
 def id_order(mode: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftwell.operators.fuse import fuse_rankings
+from siftwell.operators.fuse import fuse_rankings, with_fused_rows
 from siftwell.operators.idf import idf_table, weight_queries
-from siftwell.operators.ranking import exact_topk
+from siftwell.operators.ranking import exact_topk, take_top
 from siftwell.schema import MODES, require_columns
 
 HIT_KEYS = ["tenant_id", "query_id", "id"]
@@ -68,8 +68,7 @@ def search_modes(
     queries = weight_queries(queries, idf if idf is not None else idf_table(points, idf_scope))
     depth = max(limit, prefetch_limit)
     ranked = exact_topk(points, queries, depth, ("dense", "sparse"), **plan)
-    fused = fuse_rankings(ranked, limit, prefetch_limit, rrf_k0)
-    return ranked.where(F.col("rank") <= limit).unionByName(fused.select(*ranked.columns))
+    return take_top(with_fused_rows(ranked, prefetch_limit, rrf_k0), limit)
 
 
 def limit_per_query(hits: DataFrame, queries: DataFrame, k: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -91,6 +93,35 @@ def upsert_points(points: DataFrame, path: str, batch_seq: int) -> None:
     _layout(points).write.mode("overwrite").partitionBy("tenant_id").parquet(target)
 
 
+def attach_vectors(documents: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Points from documents and separately computed vectors, matched by id."""
+    return documents.join(vectors, "id")
+
+
+def ingest_documents(
+    documents: DataFrame,
+    embed: Callable[[DataFrame], DataFrame],
+    path: str,
+    batch_seq: int = 0,
+) -> DataFrame:
+    """Embed and write documents; returns one row points, seconds, throughput.
+
+    Batch 0 creates the collection, later numbers are upserts. Partitions take
+    the place of client batches and threads.
+    """
+    spark = documents.sparkSession
+    start = time.perf_counter()
+    if batch_seq == 0:
+        recreate_collection(embed(documents), path)
+    else:
+        upsert_points(embed(documents), path, batch_seq)
+    seconds = time.perf_counter() - start
+    written = spark.read.schema(POINT).parquet(path).where(F.col("batch_seq") == batch_seq)
+    return written.agg(F.count(F.lit(1)).alias("points")).select(
+        "points", F.lit(seconds).alias("seconds"), (F.col("points") / seconds).alias("throughput")
+    )
+
+
 def newest_points(versions: DataFrame) -> DataFrame:
     """Current row per id: upserts first, then the base rows they do not replace.
 

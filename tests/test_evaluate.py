@@ -9,6 +9,7 @@ from siftwell.operators import ann, metrics, prefix
 from siftwell.operators.percentiles import exact_percentiles
 from siftwell.operators.ranking import exact_topk
 from siftwell.plans import evaluate, report
+from siftwell.plans.benchmark import run_benchmark
 from siftwell.plans.search import search, search_modes
 from siftwell.schema import MODES
 
@@ -110,6 +111,22 @@ def test_mode_summary_invariants(spark, corpus, tables):
         assert r.index_recall_at_10 == (1.0 if r["mode"] == "dense" else None)
 
 
+def test_run_benchmark(spark, corpus, tables):
+    _, queries = corpus
+    _, points, asked = tables
+    log = by_mode(spark, {m: [1.0, 2.0, 5.0 + i] for i, m in enumerate(MODES)})
+    centroids = ann.seed_centroids(points, 4)
+    rough = ann.ivf_search(points, asked, centroids, nprobe=1)
+    rows = run_benchmark(points, asked, log, approximate=rough, settings={"nprobe": 1}, ks=(3, 5, 10))
+    got = {r["mode"]: r for r in rows.collect()}
+    assert set(got) == set(MODES)
+    assert 0.0 < got["dense"].index_recall_at_10 < 1.0 and got["sparse"].index_recall_at_10 is None
+    for r in got.values():
+        assert r.n_docs == 120 and r.n_queries == len(queries) and 0.0 <= r.recall_at_3 <= 1.0
+    lines = report.markdown_rows(rows).collect()
+    assert len(lines) == 3 and all(line.line.count("|") == 9 for line in lines)
+
+
 def test_relevant_sets(corpus, tables):
     docs, _ = corpus
     rows = evaluate.relevant_sets(tables[0]).collect()

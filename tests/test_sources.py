@@ -50,6 +50,21 @@ def test_collection_upserts_replays_and_compaction(spark, tmp_path):
         collection.upsert_points(base, path, 0)
 
 
+def test_ingest_report_and_separate_vectors(spark, tmp_path):
+    path = str(tmp_path / "c")
+    docs = spark.createDataFrame([(i, "a", f"text {i}", "x", i) for i in range(20)], DOC)
+    report = collection.ingest_documents(docs, lambda d: embed_hashed(d, 16), path).first()
+    assert report.points == 20 and report.throughput == pytest.approx(20 / report.seconds)
+    update = docs.where("id < 3").withColumn("text", F.lit("changed"))
+    vectors = embed_hashed(update, 16).select("id", "dense", "sparse")
+    again = collection.ingest_documents(
+        update, lambda d: collection.attach_vectors(d, vectors), path, 1
+    )
+    assert again.first().points == 3
+    current = collection.read_collection(spark, path)
+    assert current.count() == 20 and current.where("text = 'changed'").count() == 3
+
+
 def test_tenant_condition_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "c")
     collection.recreate_collection(points(spark, (1, "a", "one", "x", 1), (2, "b", "two", "x", 2)), path)
