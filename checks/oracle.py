@@ -195,14 +195,14 @@ SUMMARY = [
     """summary AS (SELECT mode, round(avg(recall_at_5), 9) AS recall_at_5,
   round(avg(recall_at_10), 9) AS recall_at_10,
   CASE WHEN mode = 'dense' THEN 1.0e0 END AS index_recall_at_10,
-  round(any_value(p50_ms), 9) AS p50_ms, round(any_value(p95_ms), 9) AS p95_ms,
-  round(any_value(p99_ms), 9) AS p99_ms, round(any_value(qps), 9) AS qps, count(*) AS n_queries
+  any_value(p50_ms) AS p50_ms, any_value(p95_ms) AS p95_ms,
+  any_value(p99_ms) AS p99_ms, round(any_value(qps), 9) AS qps, count(*) AS n_queries
   FROM recalls JOIN lat USING (mode) JOIN speed USING (mode) GROUP BY mode)""",
 ]
 
 
 def fixed(col: str, digits: int) -> str:
-    return f"coalesce(printf('%.{digits}f', round_even({col}, {digits})), 'n/a')"
+    return f"coalesce(printf('%.{digits}f', {col}), 'n/a')"
 
 
 STORED = [
@@ -347,10 +347,10 @@ SQL = {
     + """SELECT hits.tenant_id, query_id, rank, id, round(score, 9) AS score FROM hits
   JOIN asked USING (query_id) WHERE rank <= greatest(1, least(turn * 9 - 3, 20))""",
     "hit_display": with_(*HYBRID, *fused(50, 5))
-    + """SELECT query_id, rank, printf('%.4f  [%s]  %s', round_even(score, 4), category,
+    + """SELECT query_id, rank, printf('%.4f  [%s]  %s', score, category,
   substring(text, 1, 70)) AS line FROM hybrid JOIN docs USING (id)""",
     "hit_response": with_(*HYBRID, *fused(50, 5))
-    + """SELECT query_id, rank, text AS content, round(score, 4) AS score, category
+    + """SELECT query_id, rank, text AS content, printf('%.4f', score)::DOUBLE AS score, category
   FROM hybrid JOIN docs USING (id)""",
     "tenant_leak_check": with_(*SELF, *fused(50, 25))
     + "SELECT count(*) AS leaks FROM hybrid h JOIN docs d USING (id) WHERE h.tenant_id <> d.tenant_id",
@@ -393,7 +393,8 @@ SQL = {
     )
     + " FROM judged GROUP BY tenant_id, query_id",
     "mode_summary": with_(*SUMMARY)
-    + """SELECT *, 8 AS n_lists, 3 AS nprobe, 50 AS prefetch_limit, 60 AS rrf_k0,
+    + """SELECT * REPLACE (round(p50_ms, 9) AS p50_ms, round(p95_ms, 9) AS p95_ms,
+  round(p99_ms, 9) AS p99_ms), 8 AS n_lists, 3 AS nprobe, 50 AS prefetch_limit, 60 AS rrf_k0,
   (SELECT count(*) FROM docs) AS n_docs FROM summary""",
     "ivf_assign": with_(VECTORS, VECTOR_PAIRS, IVF) + "SELECT tenant_id, id, list_id FROM assigned",
     "ivf_topk": with_(

@@ -392,7 +392,8 @@ def collection_search(spark, sf):
 
 
 def report_markdown(spark, sf):
-    return report.markdown_rows(summary(spark, sf))
+    means = ["recall_at_5", "recall_at_10", "index_recall_at_10", "qps"]
+    return report.markdown_rows(rounded(summary(spark, sf), *means))
 
 
 def report_json(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftwell.functions.numbers import fixed, round_exact
 from siftwell.operators.fuse import fuse_rankings, with_fused_rows
 from siftwell.operators.idf import idf_table, weight_queries
 from siftwell.operators.ranking import exact_topk, take_top
@@ -90,14 +91,13 @@ def with_payload(hits: DataFrame, documents: DataFrame) -> DataFrame:
 
 def display_line(width: int = 70) -> Column:
     """One printed line per hit: score, category, start of the text."""
-    return F.format_string(
-        "%.4f  [%s]  %s", F.bround("score", 4), "category", F.substring("text", 1, width)
-    )
+    category = F.concat(F.lit("["), F.col("category"), F.lit("]"))
+    return F.concat_ws("  ", fixed(F.col("score"), 4), category, F.substring("text", 1, width))
 
 
 def response_row() -> list[Column]:
     return [
         F.col("text").alias("content"),
-        F.round("score", 4).alias("score"),
+        round_exact(F.col("score"), 4).alias("score"),
         F.col("category"),
     ]

@@ -141,7 +141,7 @@ def test_report_rows(spark):
     rows = [("dense", 0.8125, 1.0, float("nan"), 1.0, 2.345, 3.0, 2.5), ("sparse", 0.0, 0.5, None, 1.0, 2.0, 3.0, 99.5)]
     df = spark.createDataFrame(rows, schema)
     lines = {r["mode"]: r.line for r in report.markdown_rows(df).collect()}
-    assert lines["dense"] == "| dense | 0.812 | 1.000 | n/a | 1.00 | 2.34 | 3.00 | 2 |"
+    assert lines["dense"] == "| dense | 0.812 | 1.000 | n/a | 1.00 | 2.35 | 3.00 | 2 |"
     assert lines["sparse"] == "| sparse | 0.000 | 0.500 | n/a | 1.00 | 2.00 | 3.00 | 100 |"
     text = report.json_rows(df.select("mode", "index_recall_at_10")).collect()[1].json
     assert text == '{"mode":"sparse","index_recall_at_10":null}'
