@@ -95,9 +95,10 @@ DENSE = DENSE.replace("GROUP BY query_id, docs.id AS id", "GROUP BY query_id, do
 )
 
 
-def sparse_all(idf_on: str = "qw.idx = idf.idx") -> str:
+def sparse_all(idf_on: str = "qw.idx = idf.idx", order: str = "ORDER BY qw.idx") -> str:
+    """Scores of all sharing pairs; adding in index order makes the sums repeatable."""
     return f"""sparse_all AS (SELECT asked.tenant_id, asked.query_id, docs.id,
-  round(sum(dw.w * (qw.w * idf.idf)), 9) AS score
+  round(sum(dw.w * (qw.w * idf.idf) {order}), 9) AS score
   FROM asked JOIN qw USING (query_id) JOIN idf ON {idf_on}
   JOIN docs ON docs.tenant_id = asked.tenant_id
   JOIN dw ON dw.id = docs.id AND dw.idx = qw.idx
@@ -135,7 +136,7 @@ def fused(prefetch: int, k: int, allowed: str | None = None) -> list[str]:
 BASE = [DOCS, *DOC_TERMS]
 TEXT = [DOCS, TURNS, *DOC_TERMS, *QUERY_TERMS]
 SPARSE = [*TEXT, IDF, LOG_WEIGHTS, sparse_all()]
-HIT = "SELECT tenant_id, query_id, rank, id, round(score, 9) AS score FROM "
+HIT = "SELECT tenant_id, query_id, rank, id, round(score, 6) AS score FROM "
 HYBRID = [*SPARSE, DENSE]
 
 VECTORS = """points AS (SELECT vec_id AS id, label::VARCHAR AS tenant_id,
@@ -170,7 +171,9 @@ QPS = """speed AS (SELECT mode, count(*) AS n_queries,
   FROM log GROUP BY mode)"""
 BOUNDS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0)
 
-SELF = [DOCS, DOC_QUERIES, *DOC_TERMS, *QUERY_TERMS, IDF, LOG_WEIGHTS, sparse_all(), DENSE]
+SELF = [
+    DOCS, DOC_QUERIES, *DOC_TERMS, *QUERY_TERMS, IDF, LOG_WEIGHTS, sparse_all(order=""), DENSE
+]
 ALL_MODES = [
     *SELF,
     *fused(50, 10),
@@ -178,10 +181,10 @@ ALL_MODES = [
   UNION ALL SELECT 'sparse', * FROM sparse_pre WHERE rank <= 10
   UNION ALL SELECT 'hybrid', * FROM hybrid)""",
     """recalls AS (SELECT mode, a.tenant_id, a.query_id,
-  round(count(*) FILTER (WHERE h.rank <= 5 AND d.category = a.category)
-    / least(5, any_value(r.n))::DOUBLE, 9) AS recall_at_5,
-  round(count(*) FILTER (WHERE h.rank <= 10 AND d.category = a.category)
-    / least(10, any_value(r.n))::DOUBLE, 9) AS recall_at_10
+  count(*) FILTER (WHERE h.rank <= 5 AND d.category = a.category)
+    / least(5, any_value(r.n))::DOUBLE AS recall_at_5,
+  count(*) FILTER (WHERE h.rank <= 10 AND d.category = a.category)
+    / least(10, any_value(r.n))::DOUBLE AS recall_at_10
   FROM asked a JOIN hits h USING (tenant_id, query_id) JOIN docs d ON d.id = h.id
   JOIN (SELECT tenant_id, category, count(*) AS n FROM docs GROUP BY ALL) r
     ON r.tenant_id = a.tenant_id AND r.category = a.category
@@ -192,11 +195,11 @@ SUMMARY = [
     FOLDED,
     LATENCY,
     QPS,
-    """summary AS (SELECT mode, round(avg(recall_at_5), 9) AS recall_at_5,
-  round(avg(recall_at_10), 9) AS recall_at_10,
+    """summary AS (SELECT mode, round(avg(recall_at_5), 6) AS recall_at_5,
+  round(avg(recall_at_10), 6) AS recall_at_10,
   CASE WHEN mode = 'dense' THEN 1.0e0 END AS index_recall_at_10,
   any_value(p50_ms) AS p50_ms, any_value(p95_ms) AS p95_ms,
-  any_value(p99_ms) AS p99_ms, round(any_value(qps), 9) AS qps, count(*) AS n_queries
+  any_value(p99_ms) AS p99_ms, round(any_value(qps), 6) AS qps, count(*) AS n_queries
   FROM recalls JOIN lat USING (mode) JOIN speed USING (mode) GROUP BY mode)""",
 ]
 
@@ -296,16 +299,16 @@ BUCKET = (
 
 SQL = {
     "tokenize_terms": with_(*BASE) + "SELECT id, term, tf FROM dt",
-    "hash_sparse_postings": with_(*BASE) + "SELECT id, idx, round(1.0e0 + ln(n), 9) AS w FROM dn",
+    "hash_sparse_postings": with_(*BASE) + "SELECT id, idx, round(1.0e0 + ln(n), 6) AS w FROM dn",
     "hash_dense_components": with_(DOCS, DOC_TERMS[0], slots("dv", "dt", "id"))
     + "SELECT id, idx, v AS value FROM dv",
     "hash_dense_vectors": with_(DOCS, DOC_TERMS[0], slots("dv", "dt", "id"))
-    + """SELECT id, idx::INTEGER AS idx, round(v / sqrt((sum(v * v) OVER (PARTITION BY id))::DOUBLE), 9)
+    + """SELECT id, idx::INTEGER AS idx, round(v / sqrt((sum(v * v) OVER (PARTITION BY id))::DOUBLE), 6)
   AS value FROM dv QUALIFY v <> 0""",
-    "idf_stats": with_(*BASE, IDF) + "SELECT idx, df, round(idf, 9) AS idf FROM idf",
+    "idf_stats": with_(*BASE, IDF) + "SELECT idx, df, round(idf, 6) AS idf FROM idf",
     "idf_stats_by_tenant": with_(*BASE, TENANT_IDF)
-    + "SELECT tenant_id, idx, df, round(idf, 9) AS idf FROM idf",
-    "bm25_weights": with_(*BASE, BM25_DOCS) + "SELECT id, idx, round(w, 9) AS w FROM dw",
+    + "SELECT tenant_id, idx, df, round(idf, 6) AS idf FROM idf",
+    "bm25_weights": with_(*BASE, BM25_DOCS) + "SELECT id, idx, round(w, 6) AS w FROM dw",
     "model_embed_hook": """SELECT doc_id AS id, length(text)::DOUBLE AS chars,
   length(replace(text, ' ', 'xx'))::DOUBLE - length(text) AS blanks,
   length(replace(text, chr(10), 'xx'))::DOUBLE - length(text) AS newlines FROM documents""",
@@ -333,7 +336,7 @@ SQL = {
     "hybrid_narrow_prefetch": with_(*HYBRID, *fused(15, 10)) + HIT + "hybrid",
     "hybrid_grid_plan": with_(*HYBRID, *fused(50, 10)) + HIT + "hybrid",
     "hits_with_payload": with_(*SPARSE, top("hits", "sparse_all", 3))
-    + """SELECT hits.tenant_id, query_id, rank, id, round(score, 9) AS score, text, category
+    + """SELECT hits.tenant_id, query_id, rank, id, round(score, 6) AS score, text, category
   FROM hits JOIN docs USING (id)""",
     "filtered_category": with_(*HYBRID, *fused(50, 20, ENGLISH)) + HIT + "hybrid",
     "filtered_time_range": with_(*TEXT, DENSE, top("dense", "dense_all", 50, IN_RANGE)) + HIT + "dense",
@@ -344,7 +347,7 @@ SQL = {
     "unknown_tenants": """SELECT conv_id * 1000 + turn AS query_id, 'src' || (conv_id % 25) AS tenant_id
   FROM conversations WHERE 'src' || (conv_id % 25) NOT IN (SELECT source FROM documents)""",
     "clamped_limit": with_(*SPARSE, top("hits", "sparse_all", 20))
-    + """SELECT hits.tenant_id, query_id, rank, id, round(score, 9) AS score FROM hits
+    + """SELECT hits.tenant_id, query_id, rank, id, round(score, 6) AS score FROM hits
   JOIN asked USING (query_id) WHERE rank <= greatest(1, least(turn * 9 - 3, 20))""",
     "hit_display": with_(*HYBRID, *fused(50, 5))
     + """SELECT query_id, rank, printf('%.4f  [%s]  %s', score, category,
@@ -363,10 +366,12 @@ SQL = {
     "relevant_sets": with_(DOCS)
     + """SELECT tenant_id, category, id, count(*) OVER (PARTITION BY tenant_id, category)
   AS n_relevant FROM docs""",
-    "recall_at_k": with_(*ALL_MODES) + "SELECT * FROM recalls",
+    "recall_at_k": with_(*ALL_MODES)
+    + """SELECT mode, tenant_id, query_id, round(recall_at_5, 6) AS recall_at_5,
+  round(recall_at_10, 6) AS recall_at_10 FROM recalls""",
     "mode_recall_summary": with_(*ALL_MODES)
-    + """SELECT mode, round(avg(recall_at_5), 9) AS recall_at_5,
-  round(avg(recall_at_10), 9) AS recall_at_10, count(*) AS n_queries FROM recalls GROUP BY mode""",
+    + """SELECT mode, round(avg(recall_at_5), 6) AS recall_at_5,
+  round(avg(recall_at_10), 6) AS recall_at_10, count(*) AS n_queries FROM recalls GROUP BY mode""",
     "recall_by_list": with_(
         *SPARSE,
         top("hits", "sparse_all", 10),
@@ -388,13 +393,13 @@ SQL = {
     + "SELECT 'sparse' AS mode, tenant_id, query_id, "
     + ", ".join(
         f"""round(coalesce(count(*) FILTER (WHERE good AND rank <= {k})
-  / nullif(least({k}, any_value(n)), 0)::DOUBLE, 0), 9) AS recall_at_{k}"""
+  / nullif(least({k}, any_value(n)), 0)::DOUBLE, 0), 6) AS recall_at_{k}"""
         for k in (1, 5, 10)
     )
     + " FROM judged GROUP BY tenant_id, query_id",
     "mode_summary": with_(*SUMMARY)
-    + """SELECT * REPLACE (round(p50_ms, 9) AS p50_ms, round(p95_ms, 9) AS p95_ms,
-  round(p99_ms, 9) AS p99_ms), 8 AS n_lists, 3 AS nprobe, 50 AS prefetch_limit, 60 AS rrf_k0,
+    + """SELECT * REPLACE (round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms,
+  round(p99_ms, 6) AS p99_ms), 8 AS n_lists, 3 AS nprobe, 50 AS prefetch_limit, 60 AS rrf_k0,
   (SELECT count(*) FROM docs) AS n_docs FROM summary""",
     "ivf_assign": with_(VECTORS, VECTOR_PAIRS, IVF) + "SELECT tenant_id, id, list_id FROM assigned",
     "ivf_topk": with_(
@@ -417,12 +422,12 @@ SQL = {
   / least(10, (SELECT count(*) FROM exact e WHERE e.query_id = p.id))::DOUBLE AS r
   FROM points p CROSS JOIN (VALUES (1), (2), (4), (8)) AS v(nprobe))""",
     )
-    + """SELECT nprobe, round(avg(r), 9) AS recall_at_10, count(*) AS n_queries
+    + """SELECT nprobe, round(avg(r), 6) AS recall_at_10, count(*) AS n_queries
   FROM per GROUP BY nprobe""",
     "latency_percentiles": with_(LOG, LATENCY)
-    + """SELECT mode, round(p50_ms, 9) AS p50_ms, round(p95_ms, 9) AS p95_ms,
-  round(p99_ms, 9) AS p99_ms FROM lat""",
-    "mode_qps": with_(LOG, QPS) + "SELECT mode, n_queries, round(qps, 9) AS qps FROM speed",
+    + """SELECT mode, round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms,
+  round(p99_ms, 6) AS p99_ms FROM lat""",
+    "mode_qps": with_(LOG, QPS) + "SELECT mode, n_queries, round(qps, 6) AS qps FROM speed",
     "latency_histogram": with_(LOG) + HISTOGRAM,
     "gauge_last": with_(LOG)
     + "SELECT mode, arg_max(latency_ms, (ts, query_id)) AS value FROM log GROUP BY mode",
@@ -437,8 +442,8 @@ SQL = {
         """span AS (SELECT count(*) AS points,
   (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0e0 AS seconds FROM points)""",
     )
-    + """SELECT points, round(seconds, 9) AS seconds, round(CASE WHEN seconds > 0
-  THEN points / seconds ELSE points END, 9) AS throughput FROM span""",
+    + """SELECT points, round(seconds, 6) AS seconds, round(CASE WHEN seconds > 0
+  THEN points / seconds ELSE points END, 6) AS throughput FROM span""",
     "tenant_list": "SELECT DISTINCT source AS tenant_id FROM documents",
     "upsert_latest": LATEST,
     "collection_rows": with_(*STORED)

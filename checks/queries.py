@@ -20,7 +20,9 @@ from siftwell.plans.search import (
 from siftwell.sources import collection, labeled
 from siftwell.streaming import ingest
 
-ROUND = 9
+# decimals of compared values: far coarser than what logarithms and summation
+# order change between engines; ranking itself uses 9
+ROUND = 6
 HIT = ["tenant_id", "query_id", "rank", "id", "score"]
 SETTINGS = {"n_lists": 8, "nprobe": 3, "prefetch_limit": 50, "rrf_k0": 60}
 
