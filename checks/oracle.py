@@ -136,7 +136,7 @@ def fused(prefetch: int, k: int, allowed: str | None = None) -> list[str]:
 BASE = [DOCS, *DOC_TERMS]
 TEXT = [DOCS, TURNS, *DOC_TERMS, *QUERY_TERMS]
 SPARSE = [*TEXT, IDF, LOG_WEIGHTS, sparse_all()]
-HIT = "SELECT tenant_id, query_id, rank, id, round(score, 6) AS score FROM "
+HIT = "SELECT tenant_id, query_id, rank, id, printf('%.6f', score)::DOUBLE AS score FROM "
 HYBRID = [*SPARSE, DENSE]
 
 VECTORS = """points AS (SELECT vec_id AS id, label::VARCHAR AS tenant_id,
@@ -336,7 +336,7 @@ SQL = {
     "hybrid_narrow_prefetch": with_(*HYBRID, *fused(15, 10)) + HIT + "hybrid",
     "hybrid_grid_plan": with_(*HYBRID, *fused(50, 10)) + HIT + "hybrid",
     "hits_with_payload": with_(*SPARSE, top("hits", "sparse_all", 3))
-    + """SELECT hits.tenant_id, query_id, rank, id, round(score, 6) AS score, text, category
+    + """SELECT hits.tenant_id, query_id, rank, id, printf('%.6f', score)::DOUBLE AS score, text, category
   FROM hits JOIN docs USING (id)""",
     "filtered_category": with_(*HYBRID, *fused(50, 20, ENGLISH)) + HIT + "hybrid",
     "filtered_time_range": with_(*TEXT, DENSE, top("dense", "dense_all", 50, IN_RANGE)) + HIT + "dense",
@@ -347,7 +347,7 @@ SQL = {
     "unknown_tenants": """SELECT conv_id * 1000 + turn AS query_id, 'src' || (conv_id % 25) AS tenant_id
   FROM conversations WHERE 'src' || (conv_id % 25) NOT IN (SELECT source FROM documents)""",
     "clamped_limit": with_(*SPARSE, top("hits", "sparse_all", 20))
-    + """SELECT hits.tenant_id, query_id, rank, id, round(score, 6) AS score FROM hits
+    + """SELECT hits.tenant_id, query_id, rank, id, printf('%.6f', score)::DOUBLE AS score FROM hits
   JOIN asked USING (query_id) WHERE rank <= greatest(1, least(turn * 9 - 3, 20))""",
     "hit_display": with_(*HYBRID, *fused(50, 5))
     + """SELECT query_id, rank, printf('%.4f  [%s]  %s', score, category,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks import tables as t
+from siftwell.functions.numbers import round_exact
 from siftwell.operators import ann, embed, filters, idf as idf_ops, metrics, prefix
 from siftwell.operators.ranking import clamp_limit, exact_topk
 from siftwell.plans import evaluate, report
@@ -28,7 +29,7 @@ SETTINGS = {"n_lists": 8, "nprobe": 3, "prefetch_limit": 50, "rrf_k0": 60}
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, ROUND) for c in cols})
+    return df.withColumns({c: round_exact(F.col(c), ROUND) for c in cols})
 
 
 def hits(df: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from siftwell.schema import QUERY_FILTERS, require_columns
 MAX_BROADCAST_BYTES = 64 << 20
 BLOCK_DOCS = 16_384
 BLOCK_QUERIES = 2_048
+BLOCK_BYTES = 128 << 20
 _MAX_LISTED_KEYS = 1_000
 
 
@@ -130,22 +131,24 @@ def _broadcast_plan(docs: DataFrame, queries: pa.Table, keys, modes, k, schema)
                     for best in score_block(part, by_key[key], modes, k):
                         yield from _with_key(best, keys, key).to_batches()
 
-        held, rows = [], 0
+        held, rows, size = [], 0, 0
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            if rows >= BLOCK_DOCS:
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= BLOCK_DOCS or size >= BLOCK_BYTES:
                 yield from flush(pa.Table.from_batches(held))
-                held, rows = [], 0
+                held, rows, size = [], 0, 0
         if rows:
             yield from flush(pa.Table.from_batches(held))
 
     return docs.mapInArrow(score, schema)
 
 
-def _slices(df: DataFrame, keys, size: int, name: str) -> DataFrame:
-    count = F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int")
-    return df.groupBy(*keys).agg(count.alias(name))
+def _slices(df: DataFrame, keys, modes, rows: int, name: str) -> DataFrame:
+    """Slices per key so that none exceeds the row and byte targets on average."""
+    by_rows = F.count(F.lit(1)) / F.lit(rows)
+    by_bytes = F.sum(vector_bytes(modes)) / F.lit(BLOCK_BYTES)
+    return df.groupBy(*keys).agg(F.ceil(F.greatest(by_rows, by_bytes)).cast("int").alias(name))
 
 
 def _grid_plan(docs: DataFrame, queries: DataFrame, sized, keys, modes, k, schema) -> DataFrame:
@@ -154,8 +157,8 @@ def _grid_plan(docs: DataFrame, queries: DataFrame, sized, keys, modes, k, schem
     Slice counts per key are aggregates, so AQE knows their size when it picks
     the join and a hot key is split over as many cells as its rows need.
     """
-    cells = _slices(docs, keys, BLOCK_DOCS, "_nd").join(
-        _slices(sized, keys, BLOCK_QUERIES, "_nq"), list(keys)
+    cells = _slices(docs, keys, modes, BLOCK_DOCS, "_nd").join(
+        _slices(sized, keys, modes, BLOCK_QUERIES, "_nq"), list(keys)
     )
 
     def every(n):

@@ -60,12 +60,14 @@ def test_blocks_and_slices_do_not_change_results(monkeypatch, tables):
     _, points, asked = tables
     idf = idf_table(points)
     want = brute.ranked(search(points, asked, "hybrid", 10, idf=idf).collect())
-    monkeypatch.setattr(ranking, "BLOCK_DOCS", 7)
     monkeypatch.setattr(ranking, "BLOCK_QUERIES", 3)
     monkeypatch.setattr(blocks, "_CELLS_PER_STEP", 10)
-    for strategy in ("broadcast", "grid"):
-        found = search(points, asked, "hybrid", 10, idf=idf, strategy=strategy)
-        assert brute.ranked(found.collect()) == want
+    for rows, size in ((7, 1 << 30), (10_000, 20_000)):
+        monkeypatch.setattr(ranking, "BLOCK_DOCS", rows)
+        monkeypatch.setattr(ranking, "BLOCK_BYTES", size)
+        for strategy in ("broadcast", "grid"):
+            found = search(points, asked, "hybrid", 10, idf=idf, strategy=strategy)
+            assert brute.ranked(found.collect()) == want
 
 
 def test_large_query_tables_are_not_broadcast(tables):
