@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from siftwell.llm.packing import op4_best_fit_packing
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
+from siftwell.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op10_token_counts": op10_token_counts,
 }
 SQL = {
     "op1_quality_rules": OP1_SQL,
