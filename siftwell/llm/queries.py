@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from siftwell.llm.lines import OP9_SQL, op9_line_dedup
 from siftwell.llm.packing import op4_best_fit_packing
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
+from siftwell.llm.simhash import op5_simhash_near_dedup
 from siftwell.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
