@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from siftwell.llm.lines import OP9_SQL, op9_line_dedup
+from siftwell.llm.mixing import OP6_SQL, op6_source_mix
 from siftwell.llm.packing import op4_best_fit_packing
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from siftwell.llm.simhash import op5_simhash_near_dedup
 from siftwell.llm.token_counts import op10_token_counts
+from siftwell.llm.topk import OP7_SQL, op7_exact_topk
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_source_mix": op6_source_mix,
+    "op7_exact_topk": op7_exact_topk,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op6_source_mix": OP6_SQL,
+    "op7_exact_topk": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
 }
