@@ -200,7 +200,7 @@ def drop_frequent_lines(
     for low in range(0, shards, step):
         high = min(low + step, shards)
         rows = arrays.where(F.col("shard").between(low, high - 1)).collect()
-        bundle = spark.sparkContext.broadcast(Bundle(rows, low, high))
+        bundle = spark.sparkContext.broadcast(vars(Bundle(rows, low, high)))  # plain arrays
         out = out.mapInArrow(_probe(bundle, text_column, min_chars, min_docs, shards), schema)
         if high < shards:
             out = written(out, folder, f"after-{high}")
@@ -209,12 +209,14 @@ def drop_frequent_lines(
 
 def _probe(bundle, text_column: str, min_chars: int, min_docs: int, shards: int):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = Bundle.__new__(Bundle)
+        vars(arrays).update(bundle.value)
         for batch in batches:
             at = batch.schema.get_field_index(text_column)
             texts = [split_lines(value.as_py()) for value in batch.column(at)]
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             lines = [line for text in texts for line in text]
-            keep = bundle.value.lookup(key_hashes(lines, min_chars), shards) < min_docs
+            keep = arrays.lookup(key_hashes(lines, min_chars), shards) < min_docs
             begin, kept = np.cumsum(sizes) - sizes, []
             for i, text in enumerate(texts):
                 mine = keep[begin[i] : begin[i] + sizes[i]]

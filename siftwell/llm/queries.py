@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftwell.llm.classifier import op8_quality_classifier
 from siftwell.llm.lines import OP9_SQL, op9_line_dedup
 from siftwell.llm.mixing import OP6_SQL, op6_source_mix
 from siftwell.llm.packing import op4_best_fit_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mix": op6_source_mix,
     "op7_exact_topk": op7_exact_topk,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
