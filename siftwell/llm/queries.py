@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftwell.llm.classifier import op8_quality_classifier
+from siftwell.llm.licenses import OP2_SQL, op2_license_scan
 from siftwell.llm.lines import OP9_SQL, op9_line_dedup
 from siftwell.llm.mixing import OP6_SQL, op6_source_mix
 from siftwell.llm.packing import op4_best_fit_packing
@@ -13,6 +14,7 @@ from siftwell.llm.topk import OP7_SQL, op7_exact_topk
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mix": op6_source_mix,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op2_license_scan": OP2_SQL,
     "op6_source_mix": OP6_SQL,
     "op7_exact_topk": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
