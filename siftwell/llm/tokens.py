@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -20,7 +22,17 @@ WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A letter followed by an ASCII sign other than the apostrophe ends a part.
 _PART_END = re.compile(rb"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])")
 
-MEMORY = 400_000
+#: Parts that a worker remembers, under 200 bytes each.
+MEMORY = 800_000
+
+
+def _byte_signs() -> dict[int, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+BYTE_SIGNS = _byte_signs()
 
 
 class Tokenizer:
@@ -78,31 +90,40 @@ class Tokenizer:
         return np.fromiter((a for a, _ in offsets), np.int64, len(offsets))
 
     def _parts(self, text: str) -> list[bytes]:
-        data = _PART_END.sub(b" ", text.encode())
+        data = text.encode()
         parts = (data.lower() if data.isascii() else data).split()
         memory = self._memory
         try:
             return [memory[x] for x in parts]
         except KeyError:
             self._learn({x for x in parts if x not in memory})
-        out = [self._memory[x] for x in parts]
-        if len(self._memory) > MEMORY:
-            self._memory = {}
+        out = [memory[x] for x in parts]
+        if len(memory) > MEMORY:
+            memory.clear()
         return out
 
     def _learn(self, parts: set[bytes]) -> None:
-        """Ask the library. Lower-case ASCII letters need no normalising and no splitting."""
-        plain = [x for x in parts if x.isalpha() and x.islower() and x.isascii()]
-        merge = self._model.model.tokenize
-        for part in plain:
-            ids = [token.id for token in merge(part.decode())]
-            self._memory[part] = np.asarray(ids, "<u4").tobytes()
-        rest = list(parts.difference(plain))
-        for part, encoded in zip(
-            rest,
-            self._model.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False),
-        ):
-            self._memory[part] = np.asarray(encoded.ids, "<u4").tobytes()
+        """Ask the library; a word of normalised letters goes straight to its merges."""
+        memory, merge, rest = self._memory, self._model.model.tokenize, []
+        for part in parts:
+            word = part.decode()
+            if is_normalized("NFC", word) and "\u03a3" not in word and (low := word.lower()).isalpha():
+                if not low.isascii():
+                    low = low.encode().decode("latin-1").translate(BYTE_SIGNS)
+                memory[part] = array("I", [token.id for token in merge(low)]).tobytes()
+            else:
+                rest.append(part)
+        cut = [(part, _PART_END.sub(b" ", part).split()) for part in rest]
+        whole = [part for part, pieces in cut if len(pieces) == 1]
+        encoded = self._model.encode_batch_fast([x.decode() for x in whole], add_special_tokens=False)
+        for part, one in zip(whole, encoded):
+            memory[part] = array("I", one.ids).tobytes()
+        cut = [(part, pieces) for part, pieces in cut if len(pieces) > 1]
+        new = {x for _, pieces in cut for x in pieces if x not in memory}
+        if new:
+            self._learn(new)
+        for part, pieces in cut:
+            memory[part] = b"".join([memory[x] for x in pieces])
 
 
 _loaded: dict[str, Tokenizer] = {}
