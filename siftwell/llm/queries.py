@@ -9,12 +9,14 @@ from siftwell.llm.mixing import OP6_SQL, op6_source_mix
 from siftwell.llm.packing import op4_best_fit_packing
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from siftwell.llm.simhash import op5_simhash_near_dedup
+from siftwell.llm.suffix_dedup import op3_suffix_dedup
 from siftwell.llm.token_counts import op10_token_counts
 from siftwell.llm.topk import OP7_SQL, op7_exact_topk
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mix": op6_source_mix,
