@@ -85,30 +85,23 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     return joined.withColumn("running", F.col("_in") + F.col("_base")).select(*df.columns, "running")
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    max_epochs: int = MAX_EPOCHS,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    source_column: str = "source",
-) -> DataFrame:
-    """``id, source, size, source_size, target, copies, taken`` of every document."""
-    folder = shared_folder(docs.sparkSession)
-    sized = docs.select(
-        F.col(id_column).alias("id"),
-        F.col(source_column).alias("source"),
-        F.regexp_count(text_or_empty(text_column), F.lit(WORD)).cast("bigint").alias("size"),
-    )
+def sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """``id, source, size`` of every row."""
+    words = F.regexp_count(text_or_empty(text_column), F.lit(WORD)).cast("bigint")
+    return docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words.alias("size"))
+
+
+def shares(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """``id, source, size, rows, source_size, target, n``: how often rows alike in all three are taken."""
+    folder = shared_folder(rows.sparkSession)
     # Rows alike in all three are one row with a count: ties cannot differ between runs.
-    sized = sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows"))
-    sized = sized.withColumn("place", _shuffled("id"))
-    sized = written(sized, folder, "sized")
+    alike = rows.groupBy("id", "source", "size").agg(F.count("*").alias("rows"))
+    alike = written(alike.withColumn("place", _shuffled("id")), folder, "alike")
     words = F.col("size") * F.col("rows")
-    ranges = max(1, -(-sized.count() // RANGE))
-    sources = sized.groupBy("source").agg(F.sum(words).alias("source_size"))
+    ranges = max(1, -(-alike.count() // RANGE))
+    sources = alike.groupBy("source").agg(F.sum(words).alias("source_size"))
     targets = written(allotted(sources, weights, max_epochs), folder, "targets")
-    dealt = sized.withColumn("bucket", F.floor(F.col("place") / F.lit(-(-(2**60) // ranges))))
+    dealt = alike.withColumn("bucket", F.floor(F.col("place") / F.lit(-(-(2**60) // ranges))))
     placed = running_total(dealt, ["source"], "bucket", [F.col("place"), F.col("id"), F.col("size")], words)
     t = targets.withColumnRenamed("source", "_source")
     queued = placed.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -142,18 +135,61 @@ def mix_sources(
         F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "n"
     )
     mine = F.col("id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    joined = queued.join(c, mine, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # Copies of alike rows are dealt as evenly as possible, the first rows get one more.
-    each = joined.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    copies = F.floor(F.col("n") / F.col("rows")) + (F.col("row") <= F.col("n") % F.col("rows")).cast("int")
+    return queued.join(c, mine, "left").select(
+        "id", "source", "size", "rows", "source_size", "target", F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
+def dealt_copies(row: Column) -> Column:
+    """Copies of the row-th of ``rows`` alike rows that are taken ``n`` times: as even as possible."""
+    more = (row <= F.col("n") % F.col("rows")).cast("int")
+    return (F.floor(F.col("n") / F.col("rows")) + more).cast("bigint")
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> DataFrame:
+    """``id, source, size, source_size, target, copies, taken`` of every document."""
+    mixed = shares(sized(docs, id_column, text_column, source_column), weights, max_epochs)
+    each = mixed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    copies = dealt_copies(F.col("row"))
     return each.select(
         F.col("id").alias(id_column),
         F.col("source").alias(source_column),
         "size",
         "source_size",
         "target",
-        copies.cast("bigint").alias("copies"),
-        (copies * F.col("size")).cast("bigint").alias("taken"),
+        copies.alias("copies"),
+        (copies * F.col("size")).alias("taken"),
+    )
+
+
+def taken_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> DataFrame:
+    """The documents as rows, each as often as the mix takes it (not at all for 0)."""
+    rows = sized(docs, id_column, text_column, source_column)
+    key = F.to_json(F.struct("id", "source", "size"), {"ignoreNullFields": "false"})
+    mixed = shares(rows, weights, max_epochs).where("n > 0").select(key.alias("_k"), "rows", "n")
+    columns = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    words = F.regexp_count(text_or_empty(text_column), F.lit(WORD)).cast("bigint")
+    own = F.struct(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words.alias("size"))
+    marked = docs.select(*columns, F.to_json(own, {"ignoreNullFields": "false"}).alias("_k"))
+    turn = Window.partitionBy("_k").orderBy("_k")
+    dealt = marked.join(mixed, "_k").withColumn("_row", F.row_number().over(turn))
+    times = F.explode(F.array_repeat(F.lit(1), dealt_copies(F.col("_row")).cast("int")))
+    return dealt.withColumn("_time", times).select(
+        *(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns))
     )
 
 

@@ -1,11 +1,19 @@
 """SimHash near-duplicates: fingerprints, pivot distances, connected groups.
 
-Copies share a fingerprint and are one point from the start. Pairs within
-``max_bits`` of 64 must agree on ``equal`` of ``blocks`` bit blocks whenever
-``blocks - equal >= max_bits``, so points meet in tables of those blocks. In a
-meeting the Hamming distances to ``PIVOTS`` reference fingerprints are computed
-once per point; by the triangle inequality a pair whose distance to any pivot
-differs by more than ``max_bits`` is discarded (the first pivot orders the
+A fingerprint has ``parts`` words of 64 bits; every part takes the shingle
+hashes through a mixing step of its own (the first takes them as they are).
+Copies share a fingerprint and are one point from the start. Points meet in
+tables: a table is a choice of bits, and its points are dealt by them.
+
+* ``block_masks``: pairs within ``max_bits`` of 64 agree on ``equal`` of
+  ``blocks`` bit blocks if ``blocks - equal >= max_bits``: no pair is missed.
+* ``drawn_masks``: for several parts and a wide ``max_bits``, tables of a few
+  bits drawn from all parts. A pair that differs in a share d of its bits meets
+  in one of n tables of k bits with probability ``1 - (1 - (1 - d)**k)**n``.
+
+In a meeting the Hamming distances to ``PIVOTS`` reference fingerprints are
+computed once per point; by the triangle inequality a pair whose distance to any
+pivot differs by more than ``max_bits`` is discarded (the first pivot orders the
 points, so whole stretches are never looked at), and survivors are verified by
 their own distance. Only links that join two groups of the task leave it.
 Large meetings are cut into tiles and every pair of tiles is a meeting of its
@@ -25,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from siftwell.llm.shared import bounded_batches, shared_folder, table, written
 
@@ -34,82 +42,115 @@ MAX_BITS = 4
 BLOCKS, EQUAL = 6, 2
 TILE = 2048
 PIVOTS = 12
+#: Wide fingerprints: parts of 64 bits, bits that may differ, tables and their bits.
+PARTS, WIDE_BITS, TABLES, TABLE_BITS = 4, 44, 40, 18
 _STEP = 65_536
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """64-bit fingerprint of a text (0 without words)."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
-    joined = memoryview(b" ".join(parts))
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+def _mixed(hashes: np.ndarray, part: int) -> np.ndarray:
+    if not part:
+        return hashes
+    x = hashes + np.uint64(part * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int, parts: int = 1) -> np.ndarray:
+    """Fingerprint of a text as ``parts`` 64-bit words (0 without words)."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(parts, np.uint64)
+    joined = memoryview(b" ".join(tokens))
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    n = max(1, len(parts) - words + 1)
-    last = ends[min(words, len(parts)) - 1 :].tolist()
+    n = max(1, len(tokens) - words + 1)
+    last = ends[min(words, len(tokens)) - 1 :].tolist()
     first = starts[:n].tolist()
     one = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((parts, 64), np.int64)
     for k in range(0, n, _STEP):
         spans = zip(first[k : k + _STEP], last[k : k + _STEP])
         hashes = np.array([one(joined[a:b], SEED) for a, b in spans], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        for part in range(parts):
+            octets = _mixed(hashes, part).view(np.uint8).reshape(-1, 8)
+            bits = np.unpackbits(octets, axis=1, bitorder="little")
+            counts[part] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(
-    docs: DataFrame, words: int, id_column: str = "doc_id", text_column: str = "text"
+def with_fingerprints(
+    docs: DataFrame, words: int, parts: int = 1, text_column: str = "text", name: str = "fp"
 ) -> DataFrame:
-    """``id, fp``; the 64 bits are kept in a signed long."""
+    """The rows with their fingerprint, an array of signed longs."""
     bounded_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(x.as_py(), words) for x in batch.column(1)]
-            fps = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            texts = batch.column(batch.schema.get_field_index(text_column))
+            fps = [fingerprint(x.as_py(), words, parts).view(np.int64) for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(fps, pa.list_(pa.int64()))], [*batch.schema.names, name]
+            )
+
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields]).add(name, T.ArrayType(T.LongType()))
+    return docs.mapInArrow(compute, schema)
+
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("t"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(compute, f"id {kind}, fp bigint")
+def _signed(mask: int) -> int:
+    return mask - 2**64 if mask >= 2**63 else mask
 
 
-def block_masks(blocks: int, equal: int) -> list[int]:
-    """Bit masks of every choice of ``equal`` of ``blocks`` neighbouring bit blocks."""
+def block_masks(blocks: int, equal: int) -> list[list[int]]:
+    """Bit masks of every choice of ``equal`` of ``blocks`` neighbouring bit blocks of 64 bits."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    masks = (sum(chosen) for chosen in combinations(parts, equal))
-    return [m - 2**64 if m >= 2**63 else m for m in masks]
+    pieces = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    return [[_signed(sum(chosen))] for chosen in combinations(pieces, equal)]
 
 
-def meetings(points: DataFrame, blocks: int, equal: int, tile: int) -> DataFrame:
-    """``t, key, a, b, fp``: points that agree on the blocks of table t, tile by tile."""
-    masks = block_masks(blocks, equal)
-    tables = F.array(
-        *(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))
-    )
-    keyed = points.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
+def drawn_masks(parts: int, tables: int, bits: int) -> list[list[int]]:
+    """``tables`` masks of ``bits`` bits each, drawn from all parts."""
+    random = np.random.default_rng(23)
+    masks = []
+    for _ in range(tables):
+        chosen = random.choice(64 * parts, bits, replace=False).tolist()
+        masks.append([_signed(sum(1 << (c % 64) for c in chosen if c // 64 == p)) for p in range(parts)])
+    return masks
+
+
+def meetings(points: DataFrame, masks: list[list[int]], tile: int) -> DataFrame:
+    """``t, key, a, b, point, fp``: points that agree on the bits of table t, tile by tile."""
+
+    def key(mask: list[int]):
+        return F.xxhash64(*(F.col("fp")[p].bitwiseAND(F.lit(m)) for p, m in enumerate(mask)))
+
+    keys = F.array(*(F.struct(F.lit(i).alias("t"), key(m).alias("key")) for i, m in enumerate(masks)))
+    keyed = points.select("point", "fp", F.explode(keys).alias("k")).select("point", "fp", "k.t", "k.key")
     sizes = keyed.groupBy("t", "key").count().where(F.col("count") > 1)
     tiles = F.ceil(F.col("count") / tile).cast("int")
     dealt = keyed.join(sizes.select("t", "key", tiles.alias("tiles")), ["t", "key"])
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp", "t"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("point", "t"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     return dealt.select("*", other.alias("other")).select(
-        "t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp"
+        "t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "point", "fp"
     )
 
 
-def pivots() -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 2**64, PIVOTS, np.uint64)
+def pivots(parts: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, 2**64, (PIVOTS, parts), np.uint64)
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
 
 def links(fps: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join groups of points: (left, right) row numbers, a forest.
+    """Links (row numbers) that join the points of each group as far as they are linked: a forest.
 
-    ``group`` is sorted; within a group rows are ordered by the first pivot here.
+    ``fps`` has a row per point; ``group`` is sorted.
     """
-    distance = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
+    distance = np.stack([bits_apart(fps, p) for p in pivots(fps.shape[1])], axis=1)
     order = np.lexsort((distance[:, 0], group))
     fps, group, distance = fps[order], group[order], distance[order]
     parent = np.arange(len(fps))
@@ -132,39 +173,39 @@ def links(fps: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.ndarray
         i, j = live, live + step
         apart = parent[i] != parent[j]
         i, j = i[apart], j[apart]
-        close = (np.abs(distance[i] - distance[j]) <= max_bits).all(axis=1)
-        i, j = i[close], j[close]
-        close = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+        for p in range(1, PIVOTS):
+            close = np.abs(distance[i, p] - distance[j, p]) <= max_bits
+            i, j = i[close], j[close]
+        close = bits_apart(fps[i], fps[j]) <= max_bits
         for x, y in zip(i[close].tolist(), j[close].tolist()):
             a, b = root(x), root(y)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 left.append(x)
                 right.append(y)
-    return fps[np.array(left, np.int64)], fps[np.array(right, np.int64)]
+    return order[np.array(left, np.int64)], order[np.array(right, np.int64)]
 
 
-def linked(points: DataFrame, max_bits: int, blocks: int = BLOCKS, equal: int = EQUAL, tile: int = TILE) -> DataFrame:
-    """Links ``u > v`` between different fingerprints, enough to connect every group."""
-    if blocks - equal < max_bits:
-        raise ValueError("blocks - equal must be at least max_bits, or pairs are lost")
+def linked(points: DataFrame, max_bits: int, masks: list[list[int]], tile: int) -> DataFrame:
+    """Links ``u > v`` between points, enough to connect every group."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(columns: list[np.ndarray]) -> pa.RecordBatch:
             new = np.zeros(len(columns[0]), bool)
             for c in columns[:4]:
                 new[1:] |= c[1:] != c[:-1]
-            u, v = links(columns[4].view(np.uint64), np.cumsum(new), max_bits)
-            u, v = u.view(np.int64), v.view(np.int64)
+            i, j = links(columns[5].view(np.uint64), np.cumsum(new), max_bits)
+            u, v = columns[4][i], columns[4][j]
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"]
             )
 
         held = None  # the last meeting of a batch may go on in the next
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy() for c in batch.columns[:5]]
+            columns.append(batch.column(5).flatten().to_numpy().reshape(len(columns[0]), -1))
             if held is not None:
-                columns = [np.r_[h, c] for h, c in zip(held, columns)]
+                columns = [np.concatenate(x) for x in zip(held, columns)]
             same = np.ones(len(columns[0]), bool)
             for c in columns[:4]:
                 same &= c == c[-1]
@@ -175,7 +216,7 @@ def linked(points: DataFrame, max_bits: int, blocks: int = BLOCKS, equal: int =
         if held is not None and len(held[0]):
             yield found(held)
 
-    met = meetings(points, blocks, equal, tile).repartition("t", "key", "a", "b")
+    met = meetings(points, masks, tile).repartition("t", "key", "a", "b")
     ordered = met.sortWithinPartitions("t", "key", "a", "b")
     return ordered.mapInArrow(link, "u bigint, v bigint").distinct()
 
@@ -202,6 +243,18 @@ def closed(edges: DataFrame, folder: str) -> DataFrame:
     return edges
 
 
+def groups_of(prints: DataFrame, folder: str, max_bits: int, masks: list[list[int]], tile: int = TILE) -> DataFrame:
+    """``fp, group, component_id`` of every fingerprint among ``prints`` (``id, fp``)."""
+    points = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    points = written(points.withColumn("point", F.monotonically_increasing_id()), folder, "points")
+    members = closed(linked(points.select("point", "fp"), max_bits, masks, tile), folder)
+    rooted = points.join(members, points.point == members.u, "left").select(
+        "fp", "least", F.coalesce("v", "point").alias("group")
+    )
+    names = rooted.groupBy("group").agg(F.min("least").alias("component_id"))
+    return rooted.join(names, "group").select("fp", "group", "component_id")
+
+
 def near_duplicate_groups(
     docs: DataFrame,
     words: int = 5,
@@ -212,22 +265,58 @@ def near_duplicate_groups(
     equal: int = EQUAL,
     tile: int = TILE,
 ) -> DataFrame:
-    """``id, fingerprint`` (hex), ``component_id`` of every row: the smallest id of its group."""
+    """``id, fingerprint`` (hex), ``component_id`` of every row: the smallest id of its group.
+
+    64-bit fingerprints; every pair within ``max_bits`` is linked.
+    """
+    if blocks - equal < max_bits:
+        raise ValueError("blocks - equal must be at least max_bits, or pairs are lost")
     folder = shared_folder(docs.sparkSession)
-    prints = written(fingerprints(docs, words, id_column, text_column), folder, "prints")
-    points = written(prints.groupBy("fp").agg(F.min("id").alias("least")), folder, "points")
-    members = closed(linked(points.select("fp"), max_bits, blocks, equal, tile), folder)
-    rooted = points.join(members, points.fp == members.u, "left").select(
-        "fp", "least", F.coalesce("v", "fp").alias("root")
-    )
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    prints = written(with_fingerprints(rows, words).select("id", "fp"), folder, "prints")
+    named = groups_of(prints, folder, max_bits, block_masks(blocks, equal), tile)
     return prints.join(named, "fp").select(
         F.col("id").alias(id_column),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"),
         "component_id",
     )
 
 
+def keep_one_per_group(
+    docs: DataFrame,
+    words: int = 5,
+    parts: int = PARTS,
+    max_bits: int = WIDE_BITS,
+    tables: int = TABLES,
+    table_bits: int = TABLE_BITS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    tile: int = TILE,
+) -> DataFrame:
+    """The documents, one of each group of near-duplicates: that of the smallest id, null last.
+
+    Wide fingerprints: 44 of 256 bits is where documents that share 0.8 of their
+    five-word shingles (as sets) lie, with a margin of about one deviation. Of
+    several rows with that id the smallest fingerprint stays, of equal ones any.
+    """
+    folder = shared_folder(docs.sparkSession)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    prints = written(with_fingerprints(rows, words, parts).select("id", "fp"), folder, "prints")
+    named = groups_of(prints, folder, max_bits, drawn_masks(parts, tables, table_bits), tile)
+    alike = prints.groupBy("id", "fp").agg(F.lit(1)).select("id", "fp").join(named.select("fp", "group"), "fp")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("w")
+    kept = alike.groupBy("group").agg(first).select(_key("w.id").alias("_k"), F.col("w.fp").alias("_fp"))
+    marked = with_fingerprints(docs, words, parts, text_column, "_fp").withColumn("_k", _key(id_column))
+    here = marked.join(kept, ["_k", "_fp"])
+    turn = Window.partitionBy("_k", "_fp").orderBy("_k")
+    return here.withColumn("_n", F.row_number().over(turn)).where("_n = 1").select(*docs.columns)
+
+
+def _key(column: str):
+    """An id as text, null apart from every value."""
+    value = F.col(column)
+    return F.when(value.isNull(), "n").otherwise(F.concat(F.lit("v"), value.cast("string")))
+
+
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), words=4)
