@@ -8,14 +8,15 @@ every list gives exactly the exact result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from siftwell.operators.blocks import score_block
+from siftwell.operators.blocks import BestOf
 from siftwell.operators.ranking import (
-    MAX_BROADCAST_BYTES,
+    SLICE_BYTES,
     block_topk,
     document_side,
     measured_bytes,
@@ -24,24 +25,29 @@ from siftwell.operators.ranking import (
     vector_bytes,
 )
 from siftwell.schema import require_columns
+from siftwell.sources.collection import stored
 
 
 def seed_centroids(points: DataFrame, per_tenant: int) -> DataFrame:
     """tenant_id, list_id, dense: the tenant's vectors with the smallest md5(id).
 
-    Deterministic, and the rank bound keeps every task's contribution to
-    ``per_tenant`` rows per tenant.
+    Deterministic. Only ids are ranked, and the literal rank bound lets Spark
+    cut every task to ``per_tenant`` of them per tenant before the shuffle; the
+    few vectors are fetched by a join.
     """
     if per_tenant < 1:
         raise ValueError("per_tenant must be at least 1")
     require_columns(points, "tenant_id", "id", "dense")
     order = Window.partitionBy("tenant_id").orderBy(F.md5(F.col("id").cast("string")))
-    return (
-        points.select("tenant_id", "id", "dense")
-        .withColumn("list_id", F.row_number().over(order) - 1)
-        .where(F.col("list_id") < per_tenant)
-        .select("tenant_id", F.col("list_id").cast("bigint").alias("list_id"), "dense")
+    chosen = (
+        points.select("tenant_id", "id")
+        .where(F.col("tenant_id").isNotNull())
+        .withColumn("_n", F.row_number().over(order))
+        .where(F.col("_n") <= per_tenant)
+        .select("tenant_id", "id", (F.col("_n") - 1).cast("bigint").alias("list_id"))
     )
+    vectors = points.select("tenant_id", "id", "dense").where(F.col("dense").isNotNull())
+    return vectors.join(chosen, ["tenant_id", "id"]).select("tenant_id", "list_id", "dense")
 
 
 def _as_documents(centroids: DataFrame) -> DataFrame:
@@ -72,37 +78,54 @@ def _closest_list(spark: SparkSession, lists: pa.Table):
             )
             for key, part in split_by_key(rows, ["tenant_id"]):
                 if key in by_tenant:
-                    for best in score_block(by_tenant[key], part, ("dense",), 1):
-                        at = best["query_id"].to_numpy()
-                        found[at], known[at] = -best["id"].to_numpy(), True
+                    best = BestOf(part, ("dense",), 1)
+                    best.add(by_tenant[key])
+                    for table in best.tables():
+                        at = table["query_id"].to_numpy()
+                        found[at], known[at] = -table["id"].to_numpy(), True
             yield pa.array(found, mask=~known)
 
     return closest(F.col("tenant_id"), F.col("dense"))
 
 
 def assign_lists(
-    points: DataFrame, centroids: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+    points: DataFrame, centroids: DataFrame, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
-    """Add ``list_id``, the closest centroid of the point's tenant.
+    """Add ``list_id``, the closest centroid of the point's tenant (null without one).
 
-    Centroids that measure small are held by every worker and each point is
-    assigned where it is read. Otherwise points and centroids meet in bounded
-    cells and the result is joined back by id.
+    Centroids are cut into slices of bounded bytes, whole tenants each; a slice
+    is held by every worker and its tenants' points are assigned where they are
+    read.
     """
     lists = document_side(_as_documents(centroids), ("tenant_id",), ("dense",))
-    if measured_bytes(lists, vector_bytes(("dense",))) <= max_broadcast_bytes:
-        return points.withColumn("list_id", _closest_list(points.sparkSession, lists.toArrow()))
-    vectors = points.select("tenant_id", F.col("id").alias("query_id"), "dense")
-    nearest = _nearest(centroids, vectors, 1, strategy="grid")
-    nearest = nearest.select("tenant_id", F.col("query_id").alias("id"), "list_id")
-    return points.join(nearest, ["tenant_id", "id"], "left")
+    slices = max(1, -(-measured_bytes(lists, vector_bytes(("dense",))) // slice_bytes))
+
+    def number(column: str):
+        text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        return F.pmod(F.xxhash64(text), F.lit(slices))
+
+    parts = []
+    for i in range(slices):
+        held = lists.where(number("tenant_id") == i).toArrow()
+        mine = points if slices == 1 else points.where(number("tenant_id") == i)
+        parts.append(mine.withColumn("list_id", _closest_list(points.sparkSession, held)))
+    return reduce(DataFrame.union, parts)
 
 
 def probe_lists(queries: DataFrame, centroids: DataFrame, nprobe: int, **plan) -> DataFrame:
-    """tenant_id, query_id, list_id, rank: the ``nprobe`` lists each query looks into."""
+    """tenant_id, query_id, list_id, rank: the ``nprobe`` lists each query looks into.
+
+    Stored, because both the scored queries and the list ranks are read from it.
+    """
     if nprobe < 1:
         raise ValueError("nprobe must be at least 1")
-    return _nearest(centroids, queries, nprobe, **plan)
+    return stored(_nearest(centroids, queries, nprobe, **plan))
+
+
+def write_lists(points: DataFrame, centroids: DataFrame, path: str) -> None:
+    """Store the points by tenant and list; a search then reads the probed lists only."""
+    listed = assign_lists(points, centroids).hint("rebalance", "tenant_id", "list_id")
+    listed.write.mode("overwrite").partitionBy("tenant_id", "list_id").parquet(path)
 
 
 def _probed_candidates(listed, queries, probes, k, **plan) -> DataFrame:

@@ -14,17 +14,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SCORE_DIGITS = 9
+#: Stands for a similarity that is not a number; below every score, above "no hit".
+UNDEFINED = -1e300
 _CELLS_PER_STEP = 4_000_000
 NO_TIME_LIMIT = np.iinfo(np.int64)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and which rows have one (null vectors become zeros)."""
     lists = column.combine_chunks()
-    width = set(pc.unique(pc.list_value_length(lists)).to_pylist())
-    if len(width) != 1 or None in width:
-        raise ValueError(f"dense vectors must all have one length, found {sorted(map(str, width))}")
-    values = lists.flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64, copy=False).reshape(len(lists), -1)
+    known = pc.is_valid(lists).to_numpy(zero_copy_only=False)
+    lengths = pc.unique(pc.list_value_length(lists.drop_null())).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of one table need equal lengths, got {sorted(lengths)}")
+    out = np.zeros((len(lists), lengths[0] if lengths else 0))
+    values = lists.drop_null().flatten().to_numpy(zero_copy_only=False)
+    if out.size:
+        out[known] = values.astype(np.float64, copy=False).reshape(-1, out.shape[1])
+    return out, known
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -45,11 +52,18 @@ class _Dense:
     descending_id = True
 
     def __init__(self, docs: pa.Table, queries: pa.Table):
-        self.d, self.q = _matrix(docs["dense"]), _matrix(queries["dense"])
+        (self.d, self.d_known), (self.q, self.q_known) = _matrix(docs["dense"]), _matrix(queries["dense"])
         self.dn, self.qn = _unit(self.d), _unit(self.q)
 
     def scores(self, a: int, b: int) -> np.ndarray:
-        return (self.q[a:b] @ self.d.T) / (self.qn[a:b, None] * self.dn[None, :])
+        if not (self.d_known.any() and self.q_known[a:b].any()):
+            return np.full((b - a, len(self.d)), -np.inf)
+        with np.errstate(invalid="ignore", over="ignore"):
+            out = (self.q[a:b] @ self.d.T) / (self.qn[a:b, None] * self.dn[None, :])
+        out[np.isnan(out)] = UNDEFINED
+        out[~self.q_known[a:b]] = -np.inf
+        out[:, ~self.d_known] = -np.inf
+        return out
 
 
 class _Sparse:
@@ -72,21 +86,21 @@ class _Sparse:
         self.start = np.searchsorted(at[used][order], np.arange(len(terms) + 1))
 
     def scores(self, a: int, b: int) -> np.ndarray:
-        out = np.full((b - a, self.n), -np.inf)
-        for row in range(a, b):
-            span = slice(self.q_end[row - 1] if row else 0, self.q_end[row])
-            term, w = self.q_term[span], self.q_w[span]
-            size = self.start[term + 1] - self.start[term]
-            total = int(size.sum())
-            if total == 0:
-                continue
+        out = np.full((b - a) * self.n, -np.inf)
+        low, high = self.q_end[a - 1] if a else 0, self.q_end[b - 1]
+        term, weight = self.q_term[low:high], self.q_w[low:high]
+        row = np.repeat(np.arange(b - a), np.diff(np.r_[low, self.q_end[a:b]]))
+        size = self.start[term + 1] - self.start[term]
+        total = int(size.sum())
+        if total:
             shift = np.repeat(self.start[term] - (np.cumsum(size) - size), size)
             entry = np.arange(total) + shift
-            doc = self.doc[entry]
-            score = np.bincount(doc, self.w[entry] * np.repeat(w, size), self.n)
-            shared = np.bincount(doc, minlength=self.n) > 0
-            out[row - a, shared] = score[shared]
-        return out
+            cell = np.repeat(row * self.n, size) + self.doc[entry]
+            score = np.bincount(cell, self.w[entry] * np.repeat(weight, size), len(out))
+            cell = np.unique(cell)
+            found = score[cell]
+            out[cell] = np.where(np.isnan(found), UNDEFINED, found)
+        return out.reshape(b - a, self.n)
 
 
 _SCORERS = {"dense": _Dense, "sparse": _Sparse}
@@ -124,42 +138,56 @@ class _Filters:
             scores[outside] = -np.inf
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, descending_id: bool):
-    """Query row, id and score of each row's top k; ties are broken by id."""
-    if scores.shape[1] > k:
-        floor = np.partition(scores, -k, axis=1)[:, -k]
-        keep = (scores >= floor[:, None]) & (scores > -np.inf)
-    else:
-        keep = scores > -np.inf
-    row, col = np.nonzero(keep)
-    score, doc = scores[row, col], ids[col]
+def _first_k(row, doc, score, k: int, descending_id: bool):
+    """The first k of each row by score; ties are broken by id."""
     order = np.lexsort((-doc if descending_id else doc, -score, row))
-    row, score, doc = row[order], score[order], doc[order]
-    first = np.searchsorted(row, row)
-    top = np.arange(len(row)) - first < k
+    row, doc, score = row[order], doc[order], score[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
     return row[top], doc[top], score[top]
 
 
-def score_block(docs: pa.Table, queries: pa.Table, modes, k: int) -> Iterator[pa.Table]:
-    """Top ``k`` documents of this block for each query and mode."""
-    if docs.num_rows == 0 or queries.num_rows == 0:
-        return
-    ids = docs["id"].to_numpy()
-    query_ids = queries["query_id"].to_numpy()
-    filters = _Filters(docs, queries)
-    step = max(1, _CELLS_PER_STEP // docs.num_rows)
-    for mode in modes:
-        scorer = _SCORERS[mode](docs, queries)
-        for a in range(0, queries.num_rows, step):
-            b = min(a + step, queries.num_rows)
-            scores = np.round(scorer.scores(a, b), SCORE_DIGITS) + 0.0
-            filters.hide(scores, a, b)
-            row, doc, score = _best(scores, ids, k, scorer.descending_id)
+class BestOf:
+    """The best ``k`` documents per query and mode over all blocks seen so far.
+
+    A document without a vector is not ranked, nor is one that a filter hides.
+    A similarity that is not a number ranks after every other and is reported
+    as null, so a broken vector costs nothing but its own place.
+    """
+
+    def __init__(self, queries: pa.Table, modes, k: int):
+        self.queries, self.modes, self.k = queries, modes, k
+        self.ids = queries["query_id"].to_numpy()
+        none = np.empty(0, np.int64)
+        self.held = {mode: (none, none, np.empty(0)) for mode in modes}
+
+    def add(self, docs: pa.Table) -> None:
+        if not docs.num_rows or not len(self.ids):
+            return
+        ids, k = docs["id"].to_numpy(), self.k
+        filters = _Filters(docs, self.queries)
+        step = max(1, _CELLS_PER_STEP // docs.num_rows)
+        for mode in self.modes:
+            scorer = _SCORERS[mode](docs, self.queries)
+            parts = [self.held[mode]]
+            for a in range(0, len(self.ids), step):
+                b = min(a + step, len(self.ids))
+                scores = np.round(scorer.scores(a, b), SCORE_DIGITS) + 0.0
+                filters.hide(scores, a, b)
+                keep = scores > -np.inf
+                if docs.num_rows > k:
+                    keep &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]
+                row, col = np.nonzero(keep)
+                parts.append((row + a, ids[col], scores[row, col]))
+            row, doc, score = (np.concatenate(x) for x in zip(*parts))
+            self.held[mode] = _first_k(row, doc, score, k, scorer.descending_id)
+
+    def tables(self) -> Iterator[pa.Table]:
+        for mode, (row, doc, score) in self.held.items():
             yield pa.table(
                 {
                     "mode": pa.array([mode] * len(row), pa.string()),
-                    "query_id": pa.array(query_ids[a:b][row]),
-                    "id": pa.array(doc),
-                    "score": pa.array(score),
+                    "query_id": pa.array(self.ids[row], pa.int64()),
+                    "id": pa.array(doc, pa.int64()),
+                    "score": pa.array(score, mask=score == UNDEFINED),
                 }
             )

@@ -200,7 +200,7 @@ def build_embedder(kind: str, make_model=None, dim: int = DENSE_DIM):
         if make_model is None:
             raise ValueError("embedder 'model' needs make_model")
         return lambda df: embed_with_model(embed_hashed(df, dim, dense=False), make_model)
-    raise ValueError(f"unknown embedder kind: {kind!r} (use 'hash', 'bm25' or 'model')")
+    raise ValueError(f"no embedder named {kind!r}; known are hash, bm25 and model")
 
 
 def check_dense_dim(df: DataFrame, dim: int, col: str = "dense") -> DataFrame:

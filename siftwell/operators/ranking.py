@@ -1,35 +1,31 @@
 """Exact top-k of many queries over many documents, tenant by tenant.
 
 Scoring is quadratic within a tenant, so what matters is that pairs never
-become rows. Documents are cut into bounded blocks, each block is scored
-against a block of its tenant's queries, and only the best ``k`` per query
-leave the task. A tenant that holds a third of the corpus is simply many
-blocks. Two plans produce the same rows:
-
-* ``broadcast``: the query vectors were measured and fit ``max_broadcast_bytes``.
-  Documents are scored where they are read; the corpus is not shuffled.
-* ``grid``: the query table is too large for that. Documents and queries are
-  both sliced per tenant and every (document slice, query slice) cell is one
-  bounded cogroup. Nothing is broadcast by hand.
+become rows. The queries, with their vectors, are stored once and cut into
+slices of bounded bytes. A slice is held by every worker and the documents are
+scored where they are read, block by block; a task keeps the best ``k`` per
+query over all its blocks and hands them out once. The corpus is not shuffled,
+a tenant that holds a third of it is simply many tasks, and a larger query
+table is more slices: there is no other plan for large inputs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftwell.operators.blocks import score_block
+from siftwell.operators.blocks import BestOf
 from siftwell.schema import QUERY_FILTERS, require_columns
+from siftwell.sources.collection import stored
 
-MAX_BROADCAST_BYTES = 64 << 20
+SLICE_BYTES = 64 << 20
 BLOCK_DOCS = 16_384
-BLOCK_QUERIES = 2_048
 BLOCK_BYTES = 128 << 20
-_MAX_LISTED_KEYS = 1_000
 
 
 def document_side(points: DataFrame, keys, modes) -> DataFrame:
@@ -99,90 +95,56 @@ def _with_key(block: pa.Table, keys, key) -> pa.Table:
     return block
 
 
-def _pushdown(docs: DataFrame, queries: pa.Table, keys) -> DataFrame:
-    """Scan filters implied by a known set of queries: keys and time envelope."""
-    for key in keys:
-        values = queries[key].unique().to_pylist()
-        if len(values) <= _MAX_LISTED_KEYS:
-            docs = docs.where(F.col(key).isin(values))
+def _relevant(docs: DataFrame, part: DataFrame, queries: pa.Table, keys) -> DataFrame:
+    """The documents that a slice can ask for: its keys, categories and time envelope.
+
+    Keys and categories are semi-joins with the slice's own distinct values,
+    which are fewer than its rows, so partitions are pruned for any number of
+    tenants.
+    """
+    wanted = F.broadcast(part.select(*keys).distinct())
+    docs = docs.join(wanted, list(keys), "left_semi")
     after, before = queries["created_after"], queries["created_before"]
     if len(after) and after.null_count == 0:
-        docs = docs.where(F.col("created_at") >= min(after.to_pylist()))
+        docs = docs.where(F.col("created_at") >= pc.min(after).as_py())
     if len(before) and before.null_count == 0:
-        docs = docs.where(F.col("created_at") <= max(before.to_pylist()))
-    wanted = queries["category_filter"]
-    if len(wanted) and wanted.null_count == 0:
-        values = wanted.unique().to_pylist()
-        if len(values) <= _MAX_LISTED_KEYS:
-            docs = docs.where(F.col("category").isin(values))
+        docs = docs.where(F.col("created_at") <= pc.max(before).as_py())
+    categories = queries["category_filter"]
+    if len(categories) and categories.null_count == 0:
+        named = part.select(F.col("category_filter").alias("category")).distinct()
+        docs = docs.join(F.broadcast(named), "category", "left_semi")
     return docs
 
 
-def _broadcast_plan(docs: DataFrame, queries: pa.Table, keys, modes, k, schema) -> DataFrame:
-    docs = _pushdown(docs, queries, keys)
+def _score_slice(docs: DataFrame, queries: pa.Table, keys, modes, k, schema):
+    """Best k of every task for the queries of one slice, and the broadcast they came by."""
     shared = docs.sparkSession.sparkContext.broadcast(queries)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_key = dict(split_by_key(shared.value, keys))
+        asked = dict(split_by_key(shared.value, keys))
+        best: dict[tuple, BestOf] = {}
 
-        def flush(block: pa.Table):
+        def add(block: pa.Table) -> None:
             for key, part in split_by_key(block, keys):
-                if key in by_key:
-                    for best in score_block(part, by_key[key], modes, k):
-                        yield from _with_key(best, keys, key).to_batches()
+                if key in asked:
+                    if key not in best:
+                        best[key] = BestOf(asked[key], modes, k)
+                    best[key].add(part)
 
         held, rows, size = [], 0, 0
         for batch in batches:
             held.append(batch)
             rows, size = rows + batch.num_rows, size + batch.nbytes
             if rows >= BLOCK_DOCS or size >= BLOCK_BYTES:
-                yield from flush(pa.Table.from_batches(held))
+                add(pa.Table.from_batches(held))
                 held, rows, size = [], 0, 0
         if rows:
-            yield from flush(pa.Table.from_batches(held))
-
-    return docs.mapInArrow(score, schema)
-
+            add(pa.Table.from_batches(held))
+        for key, found in best.items():
+            for table in found.tables():
+                yield from _with_key(table, keys, key).to_batches()
 
-def _slices(df: DataFrame, keys, modes, rows: int, name: str) -> DataFrame:
-    """Slices per key so that none exceeds the row and byte targets on average."""
-    by_rows = F.count(F.lit(1)) / F.lit(rows)
-    by_bytes = F.sum(vector_bytes(modes)) / F.lit(BLOCK_BYTES)
-    return df.groupBy(*keys).agg(F.ceil(F.greatest(by_rows, by_bytes)).cast("int").alias(name))
-
-
-def _grid_plan(docs: DataFrame, queries: DataFrame, sized, keys, modes, k, schema) -> DataFrame:
-    """Bounded (document slice x query slice) cells as cogroups.
-
-    Slice counts per key are aggregates, so AQE knows their size when it picks
-    the join and a hot key is split over as many cells as its rows need.
-    """
-    cells = _slices(docs, keys, modes, BLOCK_DOCS, "_nd").join(
-        _slices(sized, keys, modes, BLOCK_QUERIES, "_nq"), list(keys)
-    )
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    d = docs.join(cells, list(keys)).withColumns(
-        {"_d": F.pmod(F.xxhash64("id"), F.col("_nd")).cast("int"), "_q": every("_nq")}
-    )
-    q = queries.join(cells, list(keys)).withColumns(
-        {"_q": F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"), "_d": every("_nd")}
-    )
-    cell = [*keys, "_d", "_q"]
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = list(score_block(left, right, modes, k))
-        if not parts:
-            return pa.schema([(n, pa.string()) for n in (*keys, "mode")]
-                             + [("query_id", pa.int64()), ("id", pa.int64()),
-                                ("score", pa.float64())]).empty_table()
-        return _with_key(pa.concat_tables(parts), keys, [v.as_py() for v in key[: len(keys)]])
-
-    left = d.drop("_nd", "_nq").groupBy(*cell)
-    right = q.drop("_nd", "_nq").groupBy(*cell)
-    return left.cogroup(right).applyInArrow(score, schema)
+    return docs.mapInArrow(score, schema), shared
 
 
 def block_topk(
@@ -191,34 +153,37 @@ def block_topk(
     k: int,
     modes=("dense",),
     keys=("tenant_id",),
-    strategy: str = "auto",
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    size_from: DataFrame | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Best ``k`` per (key, query, mode) of every block: a superset of the top k.
+    """Best ``k`` per (key, query, mode) of every task: a superset of the top k.
 
-    One pass over ``points`` serves all requested modes. Only documents whose
-    ``keys`` equal the query's are ever compared; null keys match nothing.
-    ``size_from`` is a cheaper table with the same queries and vectors at least
-    as long, to measure and count instead of ``queries``.
+    One pass over ``points`` per slice of queries serves all requested modes.
+    Only documents whose ``keys`` equal the query's are ever compared; null keys
+    match nothing. A slice holds ``slice_bytes`` of query vectors and results,
+    about. With several slices each is finished and stored before the next is
+    sent out.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    if strategy not in ("auto", "broadcast", "grid"):
-        raise ValueError(f"unknown strategy {strategy!r}")
     require_columns(points, *keys, "id")
     require_columns(queries, *keys, "query_id")
     schema = ", ".join(f"{name} string" for name in keys)
     schema += ", mode string, query_id bigint, id bigint, score double"
     docs = document_side(points, keys, modes)
-    asked = _query_side(queries, keys, modes)
-    sized = asked if size_from is None else _query_side(size_from, keys, modes)
-    if strategy != "grid":
-        if measured_bytes(sized, vector_bytes(modes)) <= max_broadcast_bytes:
-            return _broadcast_plan(docs, asked.toArrow(), keys, modes, k, schema)
-        if strategy == "broadcast":
-            raise ValueError(f"query table exceeds {max_broadcast_bytes} bytes")
-    return _grid_plan(docs, asked, sized, keys, modes, k, schema)
+    asked = stored(_query_side(queries, keys, modes))
+    row_bytes = vector_bytes(modes) + F.lit(24 * k * len(modes))
+    slices = max(1, -(-measured_bytes(asked, row_bytes) // slice_bytes))
+    number = F.pmod(F.xxhash64("query_id", *keys), F.lit(slices))
+    results = []
+    for i in range(slices):
+        part = asked.where(number == i)
+        rows = part.toArrow()
+        found, shared = _score_slice(_relevant(docs, part, rows, keys), rows, keys, modes, k, schema)
+        if slices == 1:
+            return found
+        results.append(stored(found))
+        shared.destroy()
+    return reduce(DataFrame.union, results)
 
 
 def id_order(mode: Column) -> Column:

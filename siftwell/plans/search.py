@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwell.functions.numbers import fixed, round_exact
+from siftwell.operators.ann import ivf_search
 from siftwell.operators.fuse import fuse_rankings, with_fused_rows
 from siftwell.operators.idf import idf_table, weight_queries
 from siftwell.operators.ranking import exact_topk, take_top
@@ -15,7 +16,7 @@ HIT_KEYS = ["tenant_id", "query_id", "id"]
 
 def _branches(mode: str) -> tuple[str, ...]:
     if mode not in MODES:
-        raise ValueError(f"unknown mode: {mode!r} (use one of {MODES})")
+        raise ValueError(f"no search mode {mode!r}; known are {', '.join(MODES)}")
     return ("dense", "sparse") if mode == "hybrid" else (mode,)
 
 
@@ -29,10 +30,15 @@ def search(
     idf: DataFrame | None = None,
     idf_scope: str = "collection",
     documents: Column | None = None,
+    centroids: DataFrame | None = None,
+    nprobe: int | None = None,
     **plan,
 ) -> DataFrame:
     """tenant_id, mode, query_id, id, score, rank for every query.
 
+    With ``nprobe`` the dense branch looks only into the ``nprobe`` inverted
+    lists (of ``centroids``) closest to the query.
+
     ``points`` and ``queries`` carry ``dense`` and/or ``sparse`` vectors. Every
     query is answered from its own tenant only: the tenant comes from the query
     row and is part of every comparison, so it cannot be left out. Optional
@@ -44,13 +50,20 @@ def search(
     require_columns(points, "tenant_id", "id", *branches)
     require_columns(queries, "tenant_id", "query_id", *branches)
     if "sparse" in branches:
-        plan.setdefault("size_from", queries)
         queries = weight_queries(queries, idf if idf is not None else idf_table(points, idf_scope))
     if documents is not None:
         points = points.where(documents)
+    depth = prefetch_limit if mode == "hybrid" else limit
+    if nprobe is not None and "dense" in branches:
+        if centroids is None:
+            raise ValueError("nprobe needs centroids")
+        ranked = ivf_search(points, queries, centroids, nprobe, depth, **plan)
+        if mode == "hybrid":
+            ranked = ranked.unionByName(exact_topk(points, queries, depth, ("sparse",), **plan))
+    else:
+        ranked = exact_topk(points, queries, depth, branches, **plan)
     if mode != "hybrid":
-        return exact_topk(points, queries, limit, branches, **plan)
-    ranked = exact_topk(points, queries, prefetch_limit, branches, **plan)
+        return ranked
     return fuse_rankings(ranked, limit, prefetch_limit, rrf_k0)
 
 
@@ -65,7 +78,6 @@ def search_modes(
     **plan,
 ) -> DataFrame:
     """The hits of all three modes, from a single pass over the points."""
-    plan.setdefault("size_from", queries)
     queries = weight_queries(queries, idf if idf is not None else idf_table(points, idf_scope))
     depth = max(limit, prefetch_limit)
     ranked = exact_topk(points, queries, depth, ("dense", "sparse"), **plan)

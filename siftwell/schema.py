@@ -14,19 +14,6 @@ DOCUMENT = T.StructType(
     ]
 )
 
-QUERY = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("tenant_id", T.StringType()),
-        T.StructField("category", T.StringType()),
-    ]
-)
-
-RELEVANCE = T.StructType(
-    [T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType())]
-)
-
 MODES = ("dense", "sparse", "hybrid")
 
 DENSE_DIM = 384

@@ -35,13 +35,18 @@ POINT = T.StructType(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    The caller knows its path and removes it with the job's other checkpoints.
+    Where the setting is missing, local mode sets one for the whole session.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/siftwell-{os.urandom(8).hex()}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="siftwell-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="siftwell-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/siftwell-{os.urandom(8).hex()}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -54,20 +59,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a table stored in fewer splits than there are cores.
-
-    Such a table is at most one split per core in size, so the shuffle is
-    small; larger tables already have enough splits and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def latest_by_id(df: DataFrame, *order: str) -> DataFrame:
     """The last version of each id; partial maxima keep a hot id cheap."""
     row = F.max_by(F.struct(*df.columns), F.struct(*order))
@@ -94,8 +85,12 @@ def upsert_points(points: DataFrame, path: str, batch_seq: int) -> None:
 
 
 def attach_vectors(documents: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Points from documents and separately computed vectors, matched by id."""
-    return documents.join(vectors, "id")
+    """Points from documents and separately computed vectors, matched by id.
+
+    A document without a vector stays, with null vectors; it takes no part in
+    the searches that need them.
+    """
+    return documents.join(vectors, "id", "left")
 
 
 def ingest_documents(
@@ -103,14 +98,18 @@ def ingest_documents(
     embed: Callable[[DataFrame], DataFrame],
     path: str,
     batch_seq: int = 0,
+    order: tuple[str, ...] = ("created_at", "text"),
 ) -> DataFrame:
     """Embed and write documents; returns one row points, seconds, throughput.
 
+    Of several documents with one id the last by ``order`` is written.
+
     Batch 0 creates the collection, later numbers are upserts. Partitions take
     the place of client batches and threads.
     """
     spark = documents.sparkSession
     start = time.perf_counter()
+    documents = latest_by_id(documents, *order)
     if batch_seq == 0:
         recreate_collection(embed(documents), path)
     else:

@@ -26,12 +26,15 @@ def expected(mode, docs, q, k, prefetch=50):
     return brute.hybrid_hits(docs, q, k, DIM, prefetch)
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+SLICES = (1 << 26, 25_000)  # one slice of queries, several
+
+
+@pytest.mark.parametrize("size", SLICES)
 @pytest.mark.parametrize("mode", MODES)
-def test_modes_match_brute_force(corpus, tables, mode, strategy):
+def test_modes_match_brute_force(corpus, tables, mode, size):
     docs, queries = corpus
     _, points, asked = tables
-    got = brute.ranked(search(points, asked, mode, 10, strategy=strategy).collect())
+    got = brute.ranked(search(points, asked, mode, 10, slice_bytes=size).collect())
     assert set(got) == {q.query_id for q in queries}
     for q in queries:
         brute.same(got[q.query_id], expected(mode, docs, q, 10))
@@ -60,24 +63,62 @@ def test_blocks_and_slices_do_not_change_results(monkeypatch, tables):
     _, points, asked = tables
     idf = idf_table(points)
     want = brute.ranked(search(points, asked, "hybrid", 10, idf=idf).collect())
-    monkeypatch.setattr(ranking, "BLOCK_QUERIES", 3)
     monkeypatch.setattr(blocks, "_CELLS_PER_STEP", 10)
     for rows, size in ((7, 1 << 30), (10_000, 20_000)):
         monkeypatch.setattr(ranking, "BLOCK_DOCS", rows)
         monkeypatch.setattr(ranking, "BLOCK_BYTES", size)
-        for strategy in ("broadcast", "grid"):
-            found = search(points, asked, "hybrid", 10, idf=idf, strategy=strategy)
+        for part in SLICES:
+            found = search(points, asked, "hybrid", 10, idf=idf, slice_bytes=part)
             assert brute.ranked(found.collect()) == want
 
 
-def test_large_query_tables_are_not_broadcast(tables):
+def test_many_slices_never_move_the_documents(tables, monkeypatch):
+    from siftwell.operators import ranking
+
+    _, points, asked = tables
+    plans = []
+    score = ranking._score_slice
+
+    def watched(*args):
+        found, shared = score(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found, shared
+
+    monkeypatch.setattr(ranking, "_score_slice", watched)
+    got = brute.ranked(exact_topk(points, asked, 3, slice_bytes=20_000).collect())
+    assert len(plans) > 3 and got == brute.ranked(exact_topk(points, asked, 3).collect())
+    for plan in plans:
+        assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+        assert "hashpartitioning(tenant_id" not in plan.split("BroadcastExchange")[0]
+
+
+def test_broken_and_missing_vectors(spark):
+    nan = float("nan")
+    rows = [(i, "t", [1.0, i / 10]) for i in range(6)]
+    rows += [(6, "t", [nan, 1.0]), (7, "t", None), (8, "t", [None, 1.0]), (9, "u", None)]
+    points = spark.createDataFrame(rows, "id bigint, tenant_id string, dense array<double>").coalesce(1)
+    asked = spark.createDataFrame(
+        [(1, "t", [1.0, 0.0]), (2, "t", None), (3, "u", [1.0, 0.0])],
+        "query_id bigint, tenant_id string, dense array<double>",
+    )
+    for k in (1, 3, 6, 8, 20):
+        got = exact_topk(points, asked, k).orderBy("rank").collect()
+        assert [r.id for r in got] == [0, 1, 2, 3, 4, 5, 8, 6][:k]
+        assert [r.score is None for r in got] == [False] * min(k, 6) + [True] * max(0, min(k, 8) - 6)
+        assert {r.query_id for r in got} == {1}
+
+
+def test_breadth_of_search(tables):
+    from siftwell.operators import ann
+
     _, points, asked = tables
-    with pytest.raises(ValueError, match="exceeds"):
-        block_topk(points, asked, 3, strategy="broadcast", max_broadcast_bytes=100)
-    plan = block_topk(points, asked, 3, max_broadcast_bytes=100)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "FlatMapCoGroupsInArrow" in text
-    assert "CartesianProduct" not in plan._jdf.queryExecution().toString()
+    centroids = ann.seed_centroids(points, 4)
+    for mode in ("dense", "hybrid"):
+        whole = brute.ranked(search(points, asked, mode, 8).collect())
+        found = search(points, asked, mode, 8, centroids=centroids, nprobe=4)
+        assert brute.ranked(found.collect()) == whole
+        narrow = search(points, asked, mode, 8, centroids=centroids, nprobe=1).collect()
+        assert narrow and brute.ranked(narrow) != whole
 
 
 def test_hot_tenant_is_split_and_stays_exact(spark, monkeypatch):
@@ -92,8 +133,8 @@ def test_hot_tenant_is_split_and_stays_exact(spark, monkeypatch):
     schema = "id bigint, tenant_id string, text string, category string, created_at bigint"
     points = embed_hashed(spark.createDataFrame(rows, schema), DIM)
     asked = ask(spark, (1, "hot", "word3 word5 item8"), (2, "cold2", "word3 item12"))
-    for strategy in ("broadcast", "grid"):
-        got = brute.ranked(search(points, asked, "hybrid", 10, strategy=strategy).collect())
+    for size in SLICES:
+        got = brute.ranked(search(points, asked, "hybrid", 10, slice_bytes=size).collect())
         for i, tenant, text in ((1, "hot", "word3 word5 item8"), (2, "cold2", "word3 item12")):
             want = expected("hybrid", docs, {"tenant_id": tenant, "text": text}, 10)
             brute.same(got[i], want)
@@ -117,10 +158,10 @@ def test_many_equal_scores_are_cut_exactly(spark):
     rows = [(i, "t", "copy of one text") for i in range(300)]
     points = embed_hashed(spark.createDataFrame(rows, "id bigint, tenant_id string, text string"), DIM)
     asked = ask(spark, (1, "t", "copy"))
-    for strategy in ("broadcast", "grid"):
-        dense = brute.ranked(search(points, asked, "dense", 5, strategy=strategy).collect())
+    for size in SLICES:
+        dense = brute.ranked(search(points, asked, "dense", 5, slice_bytes=size).collect())
         assert [i for i, _ in dense[1]] == [299, 298, 297, 296, 295]
-        sparse = brute.ranked(search(points, asked, "sparse", 5, strategy=strategy).collect())
+        sparse = brute.ranked(search(points, asked, "sparse", 5, slice_bytes=size).collect())
         assert [i for i, _ in sparse[1]] == [0, 1, 2, 3, 4]
 
 
@@ -139,9 +180,9 @@ def test_per_query_filters(spark, corpus, tables, mode):
         (7, "acme", "index query", None, None, None),
     ]
     names = ("query_id", "tenant_id", "text", "category_filter", "created_after", "created_before")
-    for strategy in ("broadcast", "grid"):
+    for size in SLICES:
         asked = ask(spark, *rows, filters=True)
-        got = brute.ranked(search(points, asked, mode, 50, strategy=strategy).collect())
+        got = brute.ranked(search(points, asked, mode, 50, slice_bytes=size).collect())
         for r in rows:
             want = expected(mode, docs, dict(zip(names, r)), 50)
             brute.same(got.get(r[0], []), want)
@@ -232,10 +273,8 @@ def test_payload_defaults(spark):
 
 def test_arguments(tables):
     _, points, asked = tables
-    with pytest.raises(ValueError, match="unknown mode"):
+    with pytest.raises(ValueError, match="no search mode"):
         search(points, asked, "fuzzy")
-    with pytest.raises(ValueError, match="strategy"):
-        block_topk(points, asked, 1, strategy="magic")
     with pytest.raises(ValueError, match="at least 1"):
         exact_topk(points, asked, 0)
     with pytest.raises(ValueError, match="missing columns"):
@@ -246,7 +285,7 @@ def test_uneven_vectors_are_rejected(spark):
     rows = [(1, "t", [1.0, 0.0]), (2, "t", [1.0])]
     points = spark.createDataFrame(rows, "id bigint, tenant_id string, dense array<double>").coalesce(1)
     asked = points.withColumnRenamed("id", "query_id").where("query_id = 1")
-    with pytest.raises(Exception, match="one length"):
+    with pytest.raises(Exception, match="equal lengths"):
         exact_topk(points, asked, 1).collect()
 
 
