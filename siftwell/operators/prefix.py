@@ -1,37 +1,45 @@
 """Running totals and consecutive numbering that survive one huge group.
 
-A plain window per tenant sorts a tenant in one task. Here the order column is
-cut into ranges of fixed width; totals per range are small, their running sum
-gives each range its offset, and the detail window works range by range.
+A plain window per tenant sorts a tenant in one task. Here the table is range
+partitioned by (key, order) and stored with the number of its partition; totals
+per partition are few, their running sum gives each partition its offset, and
+the detail window works partition by partition. The ranges are drawn from the
+data, so dense and hashed order values are cut alike.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGE_WIDTH = 65_536
+from siftwell.sources.collection import stored
 
 
 def running_total(
-    df: DataFrame, key: str, order: str, value: Column, name: str, width: int = RANGE_WIDTH
+    df: DataFrame, key: str, order: str, value: Column, name: str, parts: int | None = None
 ) -> DataFrame:
     """Add the inclusive running sum of ``value`` per ``key`` in ``order``.
 
-    ``order`` is a BIGINT, unique per key.
+    ``order`` is unique per key. A null key is a key of its own, a null order
+    comes first. ``parts`` defaults to the session's shuffle partitions.
     """
-    ranged = df.withColumn("_v", value).withColumn(
-        "_r", F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    by = [F.col(key), F.col(order)]
+    spread = df.repartitionByRange(*([parts] if parts else []), *by)
+    # A struct equals another with a null in it, so null keys meet in joins.
+    ranged = stored(
+        spread.withColumns(
+            {"_v": value, "_r": F.spark_partition_id(), "_k": F.struct(F.col(key).alias("k"))}
+        )
     )
-    totals = ranged.groupBy(key, "_r").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(key, "_r").orderBy(order)
+    totals = ranged.groupBy("_k", "_r").agg(F.sum("_v").alias("_t"))
+    before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_k", "_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_k", "_r").orderBy(order)
     so_far = F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         ranged.withColumn(name, so_far)
-        .join(offsets, [key, "_r"])
+        .join(offsets, ["_k", "_r"])
         .withColumn(name, F.col(name) + F.col("_o"))
-        .drop("_v", "_r", "_o")
+        .drop("_v", "_r", "_o", "_k")
     )
 
 
