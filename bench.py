@@ -11,6 +11,8 @@ import json
 import os
 import time
 
+from pyspark.sql import functions as F
+
 from checks import queries as q, tables as t
 from checks.compare import session
 from siftwell.operators import ann, embed, idf as idf_ops, metrics
@@ -37,7 +39,7 @@ def main() -> None:
         action()
         timings[name] = round(time.perf_counter() - start, 3)
 
-    documents = t.documents(spark, SF_DIR)
+    documents = t.documents(spark, SF_DIR).repartition(int(CPUS))  # one small file otherwise
     drain(embed.embed_hashed(documents.limit(200)))  # start the Python workers
     n_docs, n_queries = documents.count(), t.plain_turns(spark, SF_DIR).count()
 
@@ -52,14 +54,16 @@ def main() -> None:
     for mode in ("dense", "sparse", "hybrid"):
         timed(f"search_{mode}", lambda: drain(search(points, asked, mode, idf=idf)))
     timed("search_all_modes", lambda: drain(search_modes(points, asked, idf=idf)))
-    timed("search_hybrid_grid", lambda: drain(search(points, asked, idf=idf, strategy="grid")))
+    timed("search_hybrid_slices", lambda: drain(search(points, asked, idf=idf, slice_bytes=4 << 20)))
     filtered = embed.embed_hashed(t.turns(spark, SF_DIR))
     timed("search_hybrid_filtered", lambda: drain(search(points, filtered, idf=idf)))
 
     vectors, vector_queries = t.vectors(spark, SF_DIR), t.vector_queries(spark, SF_DIR)
     centroids = ann.seed_centroids(vectors, 8)
+    timed("write_lists", lambda: ann.write_lists(vectors, centroids, f"{work}/lists"))
+    listed = spark.read.parquet(f"{work}/lists").withColumn("tenant_id", F.col("tenant_id").cast("string"))
     timed("vectors_exact", lambda: drain(exact_topk(vectors, vector_queries, 10)))
-    timed("vectors_ivf", lambda: drain(ann.ivf_search(vectors, vector_queries, centroids, 3)))
+    timed("vectors_ivf", lambda: drain(ann.ivf_search(listed, vector_queries, centroids, 3)))
     log = t.query_log(spark, SF_DIR)
     timed("latency_percentiles", lambda: drain(metrics.latency_percentiles(log)))
     for name in ("tokenize_terms", "bm25_topk", "mode_recall_summary", "running_counter", "upsert_latest"):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from siftwell.sources.labeled import COMMON_WORDS
+# The words that all generated texts share.
+COMMON_WORDS = "system data value using based process result table field record set"
 
 DOCS = """docs AS (SELECT doc_id AS id, source AS tenant_id, text, lang AS category,
   1700000000 + doc_id * 3600 AS created_at FROM documents)"""
@@ -192,12 +193,23 @@ ALL_MODES = [
 ]
 SUMMARY = [
     *ALL_MODES,
+    """near AS (SELECT query_id AS id, list_id, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, list_id) AS list_rank
+  FROM dense_all JOIN (SELECT id, row_number() OVER (PARTITION BY tenant_id
+    ORDER BY md5(id::VARCHAR)) - 1 AS list_id FROM docs) AS cents USING (id) WHERE list_id < 8),
+assigned AS (SELECT id, list_id FROM near WHERE list_rank = 1),
+approx AS (SELECT * FROM (SELECT d.query_id, d.id, row_number() OVER (PARTITION BY d.query_id
+  ORDER BY score DESC, d.id DESC) AS rank FROM dense_all d JOIN assigned a ON a.id = d.id
+  JOIN near n ON n.id = d.query_id AND n.list_id = a.list_id AND n.list_rank <= 3) WHERE rank <= 10),
+reached AS (SELECT e.query_id, count(approx.id) / count(*)::DOUBLE AS recall
+  FROM (SELECT query_id, id FROM dense_pre WHERE rank <= 10) e
+  LEFT JOIN approx USING (query_id, id) GROUP BY e.query_id)""",
     FOLDED,
     LATENCY,
     QPS,
     """summary AS (SELECT mode, round(avg(recall_at_5), 6) AS recall_at_5,
   round(avg(recall_at_10), 6) AS recall_at_10,
-  CASE WHEN mode = 'dense' THEN 1.0e0 END AS index_recall_at_10,
+  CASE WHEN mode = 'dense' THEN (SELECT round(avg(recall), 6) FROM reached) END AS index_recall_at_10,
   any_value(p50_ms) AS p50_ms, any_value(p95_ms) AS p95_ms,
   any_value(p99_ms) AS p99_ms, round(any_value(qps), 6) AS qps, count(*) AS n_queries
   FROM recalls JOIN lat USING (mode) JOIN speed USING (mode) GROUP BY mode)""",
@@ -457,7 +469,12 @@ SQL = {
   || ' | ' || {fixed('qps', 0)} || ' |' AS line FROM summary""",
     "report_json": with_(*SUMMARY)
     + """SELECT mode, '{"mode":"' || mode || '","recall_at_5":' || recall_at_5
-  || ',"recall_at_10":' || recall_at_10 || '}' AS json FROM summary""",
+  || ',"recall_at_10":' || recall_at_10 || ',"n_queries":' || n_queries
+  || ',"index_recall_at_10":' || coalesce(index_recall_at_10::VARCHAR, 'null')
+  || ',"p50_ms":' || round(p50_ms, 6) || ',"p95_ms":' || round(p95_ms, 6)
+  || ',"p99_ms":' || round(p99_ms, 6) || ',"qps":' || qps
+  || ',"n_lists":8,"nprobe":3,"prefetch_limit":50,"rrf_k0":60,"n_docs":'
+  || (SELECT count(*) FROM docs) || '}' AS json FROM summary""",
     "generated_corpus": with_(*GENERATED)
     + """SELECT docs.id, docs.tenant_id, string_agg(word, ' ' ORDER BY h, i) AS text, docs.category,
   docs.created_at FROM placed JOIN docs ON docs.id = placed.id
@@ -470,9 +487,18 @@ SQL = {
   GROUP BY query_id, tenant_id, topic.category""",
     "stream_ingest_latest": LATEST,
     "stream_ingest_points": with_(*BASE)
-    + """SELECT id, tenant_id, count(idx)::INTEGER AS n_terms,
+    + """SELECT id, tenant_id, category, created_at, count(idx)::INTEGER AS n_terms,
   round(coalesce(sum(1.0e0 + ln(n)), 0), 6) AS weight, 384 AS dim
-  FROM docs LEFT JOIN dn USING (id) GROUP BY id, tenant_id""",
+  FROM docs LEFT JOIN dn USING (id) GROUP BY ALL""",
+    "ingest_duplicate_ids": """SELECT doc_id AS id, source AS tenant_id,
+  1700000001 + doc_id * 3600 AS created_at, md5('later ' || coalesce(text, '')) AS text_md5
+  FROM documents""",
+    "attached_vectors": """SELECT doc_id AS id, source AS tenant_id,
+  coalesce(len(embedding), 0)::INTEGER AS dim
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
+    "event_epochs": """SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, hour(ts)::INTEGER AS hour
+  FROM events""",
+    "checked_dims": "SELECT doc_id AS id, 384 AS dim FROM documents",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "stream_latency_buckets": f"""SELECT event_type AS mode, {BUCKET} AS le, count(*) AS n
   FROM events GROUP BY ALL""",

@@ -18,6 +18,7 @@ from siftwell.plans.search import (
     search_modes,
     with_payload,
 )
+from siftwell.schema import epoch_seconds, from_epoch
 from siftwell.sources import collection, labeled
 from siftwell.streaming import ingest
 
@@ -134,8 +135,8 @@ def hybrid_narrow_prefetch(spark, sf):
 
 
 def hybrid_grid_plan(spark, sf):
-    """The plan for query tables too large to broadcast."""
-    return hits(text_search(spark, sf, "hybrid", strategy="grid"))
+    """Many slices of queries, as for query tables that no worker holds at once."""
+    return hits(text_search(spark, sf, "hybrid", slice_bytes=1 << 20))
 
 
 def hits_with_payload(spark, sf):
@@ -260,11 +261,16 @@ def benchmark_log(spark, sf):
 
 
 def summary(spark, sf):
+    """All modes; index recall is that of inverted lists at the breadth of the settings."""
+    points = collection.stored(embed.embed_hashed(t.documents(spark, sf)))
+    asked = collection.stored(embed.embed_hashed(t.document_queries(spark, sf)))
+    centroids = ann.seed_centroids(points, SETTINGS["n_lists"])
     return run_benchmark(
-        embed.embed_hashed(t.documents(spark, sf)),
-        embed.embed_hashed(t.document_queries(spark, sf)),
+        points,
+        asked,
         benchmark_log(spark, sf),
         idf=text_idf(spark, sf),
+        approximate=ann.ivf_search(points, asked, centroids, SETTINGS["nprobe"], 10),
         settings=SETTINGS,
     )
 
@@ -400,7 +406,7 @@ def report_markdown(spark, sf):
 
 
 def report_json(spark, sf):
-    return report.json_rows(mode_summary(spark, sf).select("mode", "recall_at_5", "recall_at_10"))
+    return report.json_rows(mode_summary(spark, sf))
 
 
 # --- generated corpora ---------------------------------------------------
@@ -421,9 +427,12 @@ def generated_queries(spark, sf):
 # --- streaming -----------------------------------------------------------
 
 
-def stream_of(spark, sf, name):
-    schema = t.table(spark, sf, name).schema
-    return ingest.read_files(spark, sf, schema, name_pattern=f"{name}.parquet")
+def stream_of(spark, sf, name, files=4):
+    """A table as a stream of several files, one per micro-batch."""
+    rows = t.table(spark, sf, name)
+    path = f"{collection.shared_dir(spark)}/{name}"
+    rows.repartition(files).write.parquet(path)
+    return ingest.read_files(spark, path, rows.schema, files_per_batch=1)
 
 
 def stream_ingest_latest(spark, sf):
@@ -432,21 +441,21 @@ def stream_ingest_latest(spark, sf):
         F.col("user_id").alias("id"), "ts", "event_id", "event_type", "value"
     )
     ingest.append_files(log, f"{work}/log", f"{work}/checkpoint")
-    stored = spark.read.schema(log.schema).parquet(f"{work}/log")
-    return collection.latest_by_id(stored, "ts", "event_id")
+    arrived = spark.read.schema(log.schema).parquet(f"{work}/log")
+    return collection.latest_by_id(arrived, "ts", "event_id")
 
 
 def stream_ingest_points(spark, sf):
+    """Documents that arrive in several batches, read as a collection."""
     work = collection.shared_dir(spark)
-    arriving = stream_of(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("tenant_id"), "text"
-    )
+    arriving = t.as_documents(stream_of(spark, sf, "documents"))
     ingest.ingest_stream(arriving, embed.embed_hashed, f"{work}/points", f"{work}/checkpoint")
-    points = spark.read.parquet(f"{work}/points")
     weight = F.aggregate("sparse.values", F.lit(0.0), lambda a, x: a + x)
-    return points.select(
+    return collection.read_collection(spark, f"{work}/points").select(
         "id",
         "tenant_id",
+        "category",
+        "created_at",
         F.size("sparse.indices").alias("n_terms"),
         F.round(weight, 6).alias("weight"),
         F.size("dense").alias("dim"),
@@ -456,8 +465,7 @@ def stream_ingest_points(spark, sf):
 def stream_counts(spark, sf):
     work = collection.shared_dir(spark)
     counts = ingest.running_counts(stream_of(spark, sf, "events"), "event_type")
-    name = "siftwell_counts_" + work.rsplit("-", 1)[-1]
-    return ingest.drain_counts(counts, name, f"{work}/checkpoint")
+    return ingest.drain_counts(counts, f"{work}/counts", f"{work}/checkpoint")
 
 
 def stream_latency_buckets(spark, sf):
@@ -465,8 +473,43 @@ def stream_latency_buckets(spark, sf):
     log = stream_of(spark, sf, "events").select(
         F.col("event_type").alias("mode"), F.col("value").alias("latency_ms")
     )
-    name = "siftwell_buckets_" + work.rsplit("-", 1)[-1]
-    return ingest.drain_counts(ingest.running_latency_buckets(log), name, f"{work}/checkpoint")
+    counts = ingest.running_latency_buckets(log)
+    return ingest.drain_counts(counts, f"{work}/buckets", f"{work}/checkpoint")
+
+
+# --- collection semantics --------------------------------------------------
+
+
+def ingest_duplicate_ids(spark, sf):
+    """Every id twice in one batch: the later document is the one that is read."""
+    first = t.documents(spark, sf)
+    later = first.withColumns(
+        {"created_at": F.col("created_at") + 1, "text": F.concat(F.lit("later "), F.coalesce("text", F.lit("")))}
+    )
+    path = f"{collection.shared_dir(spark)}/points"
+    collection.ingest_documents(first.unionByName(later), embed.embed_hashed, path)
+    points = collection.read_collection(spark, path)
+    return points.select("id", "tenant_id", "created_at", F.md5("text").alias("text_md5"))
+
+
+def attached_vectors(spark, sf):
+    """Documents with the vector of the same number, where there is one."""
+    vectors = t.vectors(spark, sf).select("id", "dense")
+    points = collection.attach_vectors(t.documents(spark, sf), vectors)
+    return points.select("id", "tenant_id", F.coalesce(F.size("dense"), F.lit(0)).alias("dim"))
+
+
+def event_epochs(spark, sf):
+    """Timestamps as epoch seconds, and the hour they fall into by the way back."""
+    seconds = epoch_seconds(F.col("ts").cast("timestamp"))
+    rows = t.events(spark, sf).select("event_id", seconds.alias("seconds"))
+    return rows.withColumn("hour", F.hour(from_epoch("seconds")))
+
+
+def checked_dims(spark, sf):
+    """Vectors that pass the check of their length."""
+    points = embed.check_dense_dim(embed.embed_hashed(t.documents(spark, sf)), 384)
+    return points.select("id", F.size("dense").alias("dim"))
 
 
 QUERIES = {
@@ -486,5 +529,6 @@ QUERIES = {
         upsert_latest, collection_rows, collection_search,
         report_markdown, report_json, generated_corpus, generated_queries,
         stream_ingest_latest, stream_ingest_points, stream_counts, stream_latency_buckets,
+        ingest_duplicate_ids, attached_vectors, event_epochs, checked_dims,
     )
 }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwell.sources.collection import spread
 from siftwell.sources.labeled import created_at
 
 
@@ -12,9 +11,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
+def as_documents(rows: DataFrame) -> DataFrame:
     """documents: source is the tenant, lang the category."""
-    return spread(table(spark, sf, "documents"), "doc_id").select(
+    return rows.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("tenant_id"),
         "text",
@@ -23,6 +22,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return as_documents(table(spark, sf, "documents"))
+
+
 def tenant_of(number: str, tenants: int = 20):
     return F.concat(F.lit("src"), (F.col(number) % tenants).cast("string"))
 
@@ -34,7 +37,7 @@ def turns(spark: SparkSession, sf: str, tenants: int = 20) -> DataFrame:
     assistant turns for German, and user turns carry a time range.
     """
     role, start = F.col("role"), F.col("conv_id")
-    return spread(table(spark, sf, "conversations"), "conv_id").select(
+    return table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         tenant_of("conv_id", tenants).alias("tenant_id"),
         "text",
@@ -58,7 +61,7 @@ def document_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings: the label is the tenant."""
-    return spread(table(spark, sf, "embeddings"), "vec_id").select(
+    return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.col("label").cast("string").alias("tenant_id"),
         F.col("embedding").alias("dense"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from siftwell.operators.metrics import LATENCY_BOUNDS
+from siftwell.sources.collection import latest_by_id, upsert_points
 
 
 def read_files(
@@ -41,15 +42,27 @@ def append_files(stream: DataFrame, out: str, checkpoint: str, partition_by=())
 def ingest_stream(
     documents: DataFrame,
     embed: Callable[[DataFrame], DataFrame],
-    out: str,
+    path: str,
     checkpoint: str,
+    order: tuple[str, ...] = ("created_at", "text"),
 ) -> None:
-    """Embed arriving documents and append the points.
+    """Embed arriving documents and upsert them into a collection.
 
-    Embedding needs only its own row, so the stream carries no state. Readers
-    take the newest version per id (``latest_by_id``).
+    Micro-batch n becomes version n + 1 of its ids: ``read_collection`` and the
+    searches see the newest. Within a batch the last document of an id by
+    ``order`` counts. A batch that is run again overwrites its own folder.
     """
-    append_files(embed(documents), out, checkpoint)
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        upsert_points(embed(latest_by_id(batch, *order)), path, number + 1)
+
+    query = (
+        documents.writeStream.foreachBatch(upsert)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
 
 
 def running_counts(stream: DataFrame, *keys: str) -> DataFrame:
@@ -73,19 +86,22 @@ def running_latency_buckets(stream: DataFrame) -> DataFrame:
     return stream.groupBy("mode", bucket.alias("le")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def drain_counts(counts: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run a complete-mode aggregate to the end of its input; returns the result.
+def drain_counts(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a complete-mode aggregate to the end of its input; returns the last result.
 
-    Meant for aggregates with few keys (tenants, modes, buckets): the memory
-    sink keeps the result table on the driver.
+    Each micro-batch replaces the table in ``path``, so the result has no bound
+    on the driver.
     """
+
+    def replace(result: DataFrame, number: int) -> None:
+        result.write.mode("overwrite").parquet(path)
+
     query = (
-        counts.writeStream.format("memory")
-        .queryName(name)
+        counts.writeStream.foreachBatch(replace)
         .outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return counts.sparkSession.table(name)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)

@@ -2,6 +2,7 @@ import random
 import statistics
 
 import brute
+import numpy
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,17 +16,15 @@ from siftwell.schema import MODES
 
 
 def interpolated(values, p):
-    if not values:
-        return 0.0
-    values = sorted(values)
-    at = (len(values) - 1) * p
-    low = int(at)
-    high = min(low + 1, len(values) - 1)
-    return values[low] + (values[high] - values[low]) * (at - low)
+    return float(numpy.quantile(values, p)) if len(values) else 0.0
 
 
 def recall(got, relevant, k):
-    return len(set(got[:k]) & set(relevant)) / min(k, len(relevant)) if relevant else 0.0
+    """Relevant ids among the first k, of those that fit into k places."""
+    if not relevant:
+        return 0.0
+    marks = [i in relevant for i in dict.fromkeys(got[:k])]
+    return sum(marks) / min(k, len(relevant))
 
 
 def by_mode(spark, values):
@@ -173,7 +172,7 @@ def test_batches_and_running_totals_across_ranges(spark, monkeypatch):
     for tenant, i in sorted(rows, key=lambda r: r[1]):
         seen[tenant] = seen.get(tenant, 0) + 1
         want[i] = (seen[tenant] - 1) // 9
-    for width in (16, 65_536):
+    for width in (None, 1, 7):
         monkeypatch.setattr(prefix.running_total, "__defaults__", (width,))
         got = {r.id: r.batch_no for r in prefix.with_batch_numbers(df, 9).collect()}
         assert got == want
@@ -193,8 +192,8 @@ def vectors(spark, n=240, dim=12, seed=3):
     return rows, spark.createDataFrame(rows, "id bigint, tenant_id string, dense array<double>").repartition(3)
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_inverted_lists(spark, limit):
+@pytest.mark.parametrize("limit, held", [(64 << 20, 64 << 20), (40_000, 1500)])
+def test_inverted_lists(spark, limit, held):
     rows, points = vectors(spark)
     points = points.cache()
     queries = points.withColumnRenamed("id", "query_id")
@@ -208,15 +207,15 @@ def test_inverted_lists(spark, limit):
         near = cents[tenant]
         return sorted(near, key=lambda i: (-round(brute.cosine(v, near[i]), 9), i))
 
-    listed = ann.assign_lists(points, centroids, max_broadcast_bytes=limit).cache()
+    listed = ann.assign_lists(points, centroids, slice_bytes=held).cache()
     home = {r.id: r.list_id for r in listed.collect()}
     assert home == {i: order(t, v)[0] for i, t, v in rows}
 
-    swept = ann.ivf_sweep(listed, queries, centroids, [1, 3, 5, 3], limit=6, max_broadcast_bytes=limit)
+    swept = ann.ivf_sweep(listed, queries, centroids, [1, 3, 5, 3], limit=6, slice_bytes=limit)
     swept = swept.collect()
     for nprobe in (1, 3, 5):
         got = brute.ranked([r for r in swept if r.nprobe == nprobe])
-        single = ann.ivf_search(listed, queries, centroids, nprobe, 6, max_broadcast_bytes=limit)
+        single = ann.ivf_search(listed, queries, centroids, nprobe, 6, slice_bytes=limit)
         assert brute.ranked(single.collect()) == got
         for i, t, v in rows:
             lists = order(t, v)[:nprobe]
@@ -248,3 +247,27 @@ def test_summary_statistics_agree_with_the_standard_library(spark):
     values = {"m": [float(x) for x in range(1, 42)]}
     row = metrics.latency_percentiles(by_mode(spark, values)).first()
     assert row.p50_ms == statistics.median(values["m"])
+
+
+def test_percentiles_of_nan_and_null_keys(spark):
+    nan = float("nan")
+    log = spark.createDataFrame(
+        [("m", 1.0), ("m", 2.0), ("m", nan), (None, 1.0), (None, 1.0), ("none", None)],
+        "mode string, latency_ms double",
+    )
+    got = {r.mode: r for r in metrics.latency_percentiles(log).collect()}
+    assert got["m"].p50_ms == 2.0 and got["m"].p99_ms != got["m"].p99_ms
+    assert got[None].p99_ms == 1.0 and got["none"].p50_ms == 0.0
+
+
+def test_numbering_keeps_null_keys_orders_and_sparse_ids(spark):
+    rows = [("a", i * 7919**3) for i in range(50)] + [(None, 5), (None, 3), ("b", None), ("b", 1)]
+    df = spark.createDataFrame(rows, "tenant_id string, id bigint").repartition(5)
+    got = {(r.tenant_id, r.id): r.batch_no for r in prefix.with_batch_numbers(df, 10).collect()}
+    assert got == {**{("a", i * 7919**3): i // 10 for i in range(50)}, (None, 3): 0, (None, 5): 0, ("b", None): 0, ("b", 1): 0}
+
+
+def test_seeds_are_cut_before_the_shuffle(spark):
+    _, points = vectors(spark)
+    plan = ann.seed_centroids(points, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2

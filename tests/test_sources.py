@@ -126,9 +126,9 @@ def test_vocabulary_of(spark):
 
 def write_files(spark, folder, *batches):
     for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, "id bigint, tenant_id string, text string").coalesce(1).write.mode(
-            "append"
-        ).parquet(folder)
+        df = spark.createDataFrame(rows, "id bigint, tenant_id string, text string").coalesce(1)
+        df = df.withColumns({"category": F.lit("c"), "created_at": F.col("id")})
+        df.write.mode("append").parquet(folder)
 
 
 def test_stream_ingest_is_exactly_once(spark, tmp_path):
@@ -142,12 +142,12 @@ def test_stream_ingest_is_exactly_once(spark, tmp_path):
 
     run()
     run()
-    assert spark.read.parquet(out).count() == 3
-    write_files(spark, source, [(4, "b", "four")])
+    assert collection.read_collection(spark, out).count() == 3
+    write_files(spark, source, [(4, "b", "four"), (2, "a", "changed")])
     run()
-    stored = spark.read.parquet(out)
+    stored = collection.read_collection(spark, out)
     assert {r.id: r.dense for r in stored.collect()} == {
-        i: pytest.approx(brute.dense(t, 16)) for i, t in enumerate(("one", "two", "three", "four"), 1)
+        i: pytest.approx(brute.dense(t, 16)) for i, t in enumerate(("one", "changed", "three", "four"), 1)
     }
 
 
@@ -157,7 +157,7 @@ def test_stream_counts(spark, tmp_path):
     schema = spark.read.parquet(source).schema
     stream = ingest.read_files(spark, source, schema, files_per_batch=1)
     counts = ingest.drain_counts(
-        ingest.running_counts(stream, "tenant_id"), "siftwell_test_counts", str(tmp_path / "state")
+        ingest.running_counts(stream, "tenant_id"), str(tmp_path / "counts"), str(tmp_path / "state")
     )
     assert {tuple(r) for r in counts.collect()} == {("a", 3), ("b", 1)}
 
@@ -175,3 +175,18 @@ def test_epoch_conversions(spark):
     df = spark.sql("select timestamp'2024-01-01 00:00:00' ts, 1704067200L s")
     row = df.select(epoch_seconds("ts").alias("a"), epoch_seconds(from_epoch("s")).alias("b")).first()
     assert (row.a, row.b) == (1704067200, 1704067200)
+
+
+def test_last_document_of_an_id_wins_in_a_batch(spark, tmp_path):
+    rows = [(1, "t", "old", "c", 1), (1, "t", "new", "c", 2), (2, "t", None, None, None)]
+    docs = spark.createDataFrame(rows, "id bigint, tenant_id string, text string, category string, created_at bigint")
+    path = str(tmp_path / "c")
+    collection.ingest_documents(docs, lambda df: embed_hashed(df, 8), path)
+    assert {(r.id, r.text) for r in collection.read_collection(spark, path).collect()} == {(1, "new"), (2, None)}
+
+
+def test_documents_without_a_vector_stay(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, text string")
+    vectors = spark.createDataFrame([(1, [1.0])], "id bigint, dense array<double>")
+    got = {r.id: r.dense for r in collection.attach_vectors(docs, vectors).collect()}
+    assert got == {1: [1.0], 2: None}
