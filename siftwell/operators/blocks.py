@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 SCORE_DIGITS = 9
 #: Stands for a similarity that is not a number; below every score, above "no hit".
-UNDEFINED = -1e300
+UNDEFINED = -1e100
 _CELLS_PER_STEP = 4_000_000
 NO_TIME_LIMIT = np.iinfo(np.int64)
 
@@ -188,6 +188,6 @@ class BestOf:
                     "mode": pa.array([mode] * len(row), pa.string()),
                     "query_id": pa.array(self.ids[row], pa.int64()),
                     "id": pa.array(doc, pa.int64()),
-                    "score": pa.array(score, mask=score == UNDEFINED),
+                    "score": pa.array(score, mask=score < UNDEFINED / 2),
                 }
             )

@@ -86,7 +86,7 @@ def test_many_slices_never_move_the_documents(tables, monkeypatch):
 
     monkeypatch.setattr(ranking, "_score_slice", watched)
     got = brute.ranked(exact_topk(points, asked, 3, slice_bytes=20_000).collect())
-    assert len(plans) > 3 and got == brute.ranked(exact_topk(points, asked, 3).collect())
+    assert len(plans) >= 3 and got == brute.ranked(exact_topk(points, asked, 3).collect())
     for plan in plans:
         assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan
         assert "hashpartitioning(tenant_id" not in plan.split("BroadcastExchange")[0]
