@@ -43,7 +43,7 @@ BLOCKS, EQUAL = 6, 2
 TILE = 2048
 PIVOTS = 12
 #: Wide fingerprints: parts of 64 bits, bits that may differ, tables and their bits.
-PARTS, WIDE_BITS, TABLES, TABLE_BITS = 4, 44, 40, 18
+PARTS, WIDE_BITS, TABLES, TABLE_BITS = 4, 44, 80, 24
 _STEP = 65_536
 
 
@@ -126,15 +126,17 @@ def meetings(points: DataFrame, masks: list[list[int]], tile: int) -> DataFrame:
         return F.xxhash64(*(F.col("fp")[p].bitwiseAND(F.lit(m)) for p, m in enumerate(mask)))
 
     keys = F.array(*(F.struct(F.lit(i).alias("t"), key(m).alias("key")) for i, m in enumerate(masks)))
-    keyed = points.select("point", "fp", F.explode(keys).alias("k")).select("point", "fp", "k.t", "k.key")
+    keyed = points.select("point", F.explode(keys).alias("k")).select("point", "k.t", "k.key")
     sizes = keyed.groupBy("t", "key").count().where(F.col("count") > 1)
     tiles = F.ceil(F.col("count") / tile).cast("int")
     dealt = keyed.join(sizes.select("t", "key", tiles.alias("tiles")), ["t", "key"])
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("point", "t"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    return dealt.select("*", other.alias("other")).select(
-        "t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "point", "fp"
+    met = dealt.select("*", other.alias("other")).select(
+        "t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "point"
     )
+    # The fingerprints follow only those that meet somebody.
+    return met.join(points.select("point", "fp"), "point").select("t", "key", "a", "b", "point", "fp")
 
 
 def pivots(parts: int) -> np.ndarray:
