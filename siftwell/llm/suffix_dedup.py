@@ -14,7 +14,7 @@ must meet in one shard, and most text need not meet anything:
    (``suffix_sort``); a window is repeated if it shares ``size`` bytes with a
    neighbour in suffix order. Anchors with more than ``hot`` occurrences would
    fill a shard: their windows are counted one by one by 128-bit hash instead,
-   with partial sums, which needs no bound.
+   with partial sums, and the repeated ones sent back in bounded bundles.
 4. Repeated windows go back to their texts, once per different text, and the
    covered bytes are cut out.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,8 +43,13 @@ from siftwell.llm.suffix_sort import repeated_windows
 
 SIZE = 200
 PIECE = 50
-SHARD_BYTES = 4 << 20
-HOT = 20_000
+#: A sorted byte takes about 150 bytes of a worker's memory, and so does one of a hot anchor.
+SHARD_BYTES = 1 << 20
+HOT = 4_000
+#: Repeated windows of hot anchors that a worker holds at once (16 bytes each).
+BUNDLE = 2_000_000
+#: Repeated windows of a stretch.
+RUNS = "array<struct<first: bigint, n: bigint>>"
 _CHUNK = 1 << 19
 _PLACE_BITS = 20
 
@@ -222,7 +228,7 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sharded(cuts: DataFrame, shards: int, size: int) -> DataFrame:
-    """Repeated windows of the stretches by shard: ``anchor, stretch, first, n``."""
+    """Repeated windows of the stretches by shard: ``anchor, stretch, runs``."""
 
     def sort(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["anchor", "stretch"])
@@ -230,35 +236,71 @@ def sharded(cuts: DataFrame, shards: int, size: int) -> DataFrame:
         rows = []
         for anchor, stretch, times, flags in zip(frame["anchor"], frame["stretch"], frame["times"], found):
             flags = np.ones(len(flags), bool) if times > 1 else flags
-            rows += [(anchor, stretch, a, n) for a, n in _ranges(flags)]
-        return pd.DataFrame(rows, columns=["anchor", "stretch", "first", "n"]).astype("int64")
+            if flags.any():
+                rows.append((anchor, stretch, [{"first": a, "n": n} for a, n in _ranges(flags)]))
+        return pd.DataFrame(rows, columns=["anchor", "stretch", "runs"])
 
     dealt = cuts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(sort, "anchor bigint, stretch bigint, first bigint, n bigint")
+    return dealt.groupBy("shard").applyInPandas(sort, f"anchor bigint, stretch bigint, runs {RUNS}")
 
 
-def counted(cuts: DataFrame, size: int) -> DataFrame:
-    """The same for stretches of hot anchors, by counting the hashes of their windows."""
+def window_hashes(data: bytes, size: int) -> np.ndarray:
+    """128-bit hashes of all windows, as two columns."""
+    part = np.frombuffer(data, np.uint8)
+    at = np.arange(len(part) - size + 1)
+    return np.stack([r.slices(r.sums(part), at, at + size) for r in rollers()[1:]], axis=1)
+
+
+def counted(cuts: DataFrame, size: int, folder: str, bundle: int = BUNDLE) -> DataFrame:
+    """The same for stretches of hot anchors, by counting the hashes of their windows.
+
+    The windows that occur twice or more are few next to their occurrences.
+    They go to the stretches in bundles of at most about ``bundle``, a pass each.
+    """
+    spark = cuts.sparkSession
+    cuts = written(cuts.drop("total").dropDuplicates(["anchor", "stretch"]), folder, "hot")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, three = rollers()
         for batch in batches:
-            out = []
-            for a, s, times, data in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(data, np.uint8)
-                at = np.arange(len(data) - size + 1)
-                h1, h2 = (r.slices(r.sums(data), at, at + size).view(np.int64) for r in (two, three))
-                full = [np.full(len(at), v, np.int64) for v in (a, s, times)]
-                out.append([h1, h2, *full, at])
-            names = ("h1", "h2", "anchor", "stretch", "times", "first")
-            yield _arrow({k: np.concatenate(c) for k, c in zip(names, zip(*out))})
-
-    windows = cuts.drop("total").dropDuplicates(["anchor", "stretch"]).mapInArrow(
-        explode, "h1 bigint, h2 bigint, anchor bigint, stretch bigint, times bigint, first bigint"
-    )
+            hashes = [window_hashes(x.as_py(), size) for x in batch.column(1)]
+            times = np.repeat(batch.column(0).to_numpy(), [len(h) for h in hashes])
+            h = np.concatenate(hashes).view(np.int64) if hashes else np.empty((0, 2), np.int64)
+            yield _arrow({"h1": h[:, 0].copy(), "h2": h[:, 1].copy(), "times": times})
+
+    windows = cuts.select("times", "bytes").mapInArrow(explode, "h1 bigint, h2 bigint, times bigint")
     often = windows.groupBy("h1", "h2").agg(F.sum("times").alias("total")).where("total > 1")
-    kept = windows.join(often, ["h1", "h2"], "left_semi")
-    return kept.select("anchor", "stretch", "first", F.lit(1).cast("bigint").alias("n"))
+    often = written(often.select("h1", "h2"), folder, "often")
+    bundles = max(1, -(-often.count() // bundle))
+    results = []
+    for i in range(bundles):
+        rows = often.where(F.pmod(F.xxhash64("h1"), F.lit(bundles)) == i).toArrow()
+        # Pairs as 16 bytes: sorted, they are looked up by bisection.
+        pairs = np.stack([rows["h1"].to_numpy(), rows["h2"].to_numpy()], axis=1).astype(">i8")
+        shared = spark.sparkContext.broadcast(np.sort(pairs.view("S16").ravel()))
+        results.append(cuts.select("anchor", "stretch", "bytes").mapInArrow(_found(shared, size), f"anchor bigint, stretch bigint, runs {RUNS}"))
+    return reduce(DataFrame.union, results)
+
+
+def _found(shared, size: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            rows, runs = [], []
+            for i, data in enumerate(batch.column(2)):
+                h = np.ascontiguousarray(window_hashes(data.as_py(), size).view(np.int64).astype(">i8")).view("S16").ravel()
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                flags = known[at] == h if len(known) else np.zeros(len(h), bool)
+                if flags.any():
+                    rows.append(i)
+                    runs.append([{"first": a, "n": n} for a, n in _ranges(flags)])
+            keep = pa.array(rows, pa.int64())
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(runs, kind)],
+                ["anchor", "stretch", "runs"],
+            )
+
+    return find
 
 
 def removed(covers: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
@@ -303,12 +345,11 @@ def remove_repeats(
     cuts = written(cut_out(packed(docs, once=True), picked, size), folder, "cuts")
     cold, burning = cuts.where(F.col("total") <= hot), cuts.where(F.col("total") > hot)
     amount = cold.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    windows = sharded(cold, max(1, -(-amount // shard_bytes)), size).unionByName(counted(burning, size))
-    back = mixed.join(windows, ["anchor", "stretch"]).select(
-        "d1", "d2", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("count")
-    )
-    covers = met.where("alike").select("d1", "d2", "start", "count").unionByName(back).distinct()
-    covers = covers.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "count")).alias("c"))
+    windows = sharded(cold, max(1, -(-amount // shard_bytes)), size).unionByName(counted(burning, size, folder))
+    back = mixed.join(windows, ["anchor", "stretch"]).select("d1", "d2", "start", "runs")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("first"), F.col("count").alias("n")))
+    covers = met.where("alike").select("d1", "d2", "start", whole.alias("runs")).unionByName(back)
+    covers = covers.distinct().groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "runs")).alias("c"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
@@ -316,7 +357,8 @@ def remove_repeats(
             sizes, spans, kept = [], [], []
             for z, c in zip(batch.column(1), batch.column(2)):
                 data = open_(z.as_py())
-                pairs = np.array([(x["start"], x["count"]) for x in c.as_py() or ()], np.int64).reshape(-1, 2)
+                pairs = [(x["start"] + r["first"], r["n"]) for x in c.as_py() or () for r in x["runs"]]
+                pairs = np.array(pairs, np.int64).reshape(-1, 2)
                 gone = removed(pairs, size, len(data))
                 edges = [0, *(x for span in gone for x in span), len(data)]
                 sizes.append(len(data))
