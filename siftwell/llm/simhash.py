@@ -7,9 +7,6 @@ tables: a table is a choice of bits, and its points are dealt by them.
 
 * ``block_masks``: pairs within ``max_bits`` of 64 agree on ``equal`` of
   ``blocks`` bit blocks if ``blocks - equal >= max_bits``: no pair is missed.
-* ``drawn_masks``: for several parts and a wide ``max_bits``, tables of a few
-  bits drawn from all parts. A pair that differs in a share d of its bits meets
-  in one of n tables of k bits with probability ``1 - (1 - (1 - d)**k)**n``.
 
 In a meeting the Hamming distances to ``PIVOTS`` reference fingerprints are
 computed once per point; by the triangle inequality a pair whose distance to any
@@ -42,8 +39,6 @@ MAX_BITS = 4
 BLOCKS, EQUAL = 6, 2
 TILE = 2048
 PIVOTS = 12
-#: Wide fingerprints: parts of 64 bits, bits that may differ, tables and their bits.
-PARTS, WIDE_BITS, TABLES, TABLE_BITS = 4, 44, 80, 24
 _STEP = 65_536
 
 
@@ -56,11 +51,11 @@ def _mixed(hashes: np.ndarray, part: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int, parts: int = 1) -> np.ndarray:
-    """Fingerprint of a text as ``parts`` 64-bit words (0 without words)."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text in their order, in steps; none without words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return np.zeros(parts, np.uint64)
+        return
     joined = memoryview(b" ".join(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
@@ -68,10 +63,16 @@ def fingerprint(text: str | None, words: int, parts: int = 1) -> np.ndarray:
     last = ends[min(words, len(tokens)) - 1 :].tolist()
     first = starts[:n].tolist()
     one = xxhash.xxh64_intdigest
-    counts = np.zeros((parts, 64), np.int64)
     for k in range(0, n, _STEP):
         spans = zip(first[k : k + _STEP], last[k : k + _STEP])
-        hashes = np.array([one(joined[a:b], SEED) for a, b in spans], "<u8")
+        yield np.array([one(joined[a:b], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(text: str | None, words: int, parts: int = 1) -> np.ndarray:
+    """Fingerprint of a text as ``parts`` 64-bit words (0 without words)."""
+    counts, n = np.zeros((parts, 64), np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        n += len(hashes)
         for part in range(parts):
             octets = _mixed(hashes, part).view(np.uint8).reshape(-1, 8)
             bits = np.unpackbits(octets, axis=1, bitorder="little")
@@ -109,16 +110,6 @@ def block_masks(blocks: int, equal: int) -> list[list[int]]:
     return [[_signed(sum(chosen))] for chosen in combinations(pieces, equal)]
 
 
-def drawn_masks(parts: int, tables: int, bits: int) -> list[list[int]]:
-    """``tables`` masks of ``bits`` bits each, drawn from all parts."""
-    random = np.random.default_rng(23)
-    masks = []
-    for _ in range(tables):
-        chosen = random.choice(64 * parts, bits, replace=False).tolist()
-        masks.append([_signed(sum(1 << (c % 64) for c in chosen if c // 64 == p)) for p in range(parts)])
-    return masks
-
-
 def meetings(points: DataFrame, masks: list[list[int]], tile: int) -> DataFrame:
     """``t, key, a, b, point, fp``: points that agree on the bits of table t, tile by tile."""
 
@@ -285,32 +276,27 @@ def near_duplicate_groups(
 
 
 def keep_one_per_group(
-    docs: DataFrame,
-    words: int = 5,
-    parts: int = PARTS,
-    max_bits: int = WIDE_BITS,
-    tables: int = TABLES,
-    table_bits: int = TABLE_BITS,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    tile: int = TILE,
+    docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """The documents, one of each group of near-duplicates: that of the smallest id, null last.
 
-    Wide fingerprints: 44 of 256 bits is where documents that share 0.8 of their
-    five-word shingles (as sets) lie, with a margin of about one deviation. Of
-    several rows with that id the smallest fingerprint stays, of equal ones any.
+    Near-duplicates share 0.8 of their shingles (as sets), see ``shingle_sets``;
+    fingerprints have no part in it. Of several rows with that id the smallest
+    digest of the set stays, of equal ones any.
     """
+    from siftwell.llm.shingle_sets import groups_of_sets, with_digest
+
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    prints = written(with_fingerprints(rows, words, parts).select("id", "fp"), folder, "prints")
-    named = groups_of(prints, folder, max_bits, drawn_masks(parts, tables, table_bits), tile)
-    alike = prints.groupBy("id", "fp").agg(F.lit(1)).select("id", "fp").join(named.select("fp", "group"), "fp")
-    first = F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("w")
-    kept = alike.groupBy("group").agg(first).select(_key("w.id").alias("_k"), F.col("w.fp").alias("_fp"))
-    marked = with_fingerprints(docs, words, parts, text_column, "_fp").withColumn("_k", _key(id_column))
-    here = marked.join(kept, ["_k", "_fp"])
-    turn = Window.partitionBy("_k", "_fp").orderBy("_k")
+    prints = with_digest(rows, words, "digest", sketch=True).drop("text")
+    prints = written(prints.withColumn("uid", F.monotonically_increasing_id()), folder, "prints")
+    named = groups_of_sets(prints, folder)
+    alike = prints.groupBy("id", "digest").agg(F.lit(1)).select("id", "digest").join(named, "digest")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("w")
+    kept = alike.groupBy("group").agg(first).select(_key("w.id").alias("_k"), F.col("w.digest").alias("_set"))
+    marked = with_digest(docs, words, "_set", text_column).withColumn("_k", _key(id_column))
+    here = marked.join(kept, ["_k", "_set"])
+    turn = Window.partitionBy("_k", "_set").orderBy("_k")
     return here.withColumn("_n", F.row_number().over(turn)).where("_n = 1").select(*docs.columns)
 
 
