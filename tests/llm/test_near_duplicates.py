@@ -42,3 +42,51 @@ def test_pairs_at_the_limit_and_above_are_found(spark, share):
     assert all(similarity(a, b) == share for a, b in pairs[:5])
     rows = [(i, a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (_, b) in enumerate(pairs)]
     assert kept_of(spark, rows) == list(range(150))
+
+
+def test_pairs_below_the_limit_stay(spark):
+    pairs = [pair(i, 0.75) for i in range(150)]
+    rows = [(i, a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (_, b) in enumerate(pairs)]
+    assert all(similarity(a, b) == 0.75 for a, b in pairs[:5])
+    assert kept_of(spark, rows) == sorted(i for i, _ in rows)
+
+
+def test_repeated_lines_count_once(spark):
+    line = words(1, 30, 10**6)
+    one, other = words(2, 30, 10**6), words(3, 30, 10**6)
+    rows = [(1, " ".join([line] * 40 + [one])), (2, " ".join([line] * 40 + [other]))]
+    assert similarity(rows[0][1], rows[1][1]) < 0.8
+    assert kept_of(spark, rows) == [1, 2]
+
+
+def versions(seed, count, length):
+    """Texts that drift: each is an earlier one with a few words changed."""
+    draw = random.Random(seed)
+    texts = [words(seed, length, 10**6)]
+    while len(texts) < count:
+        text = draw.choice(texts[-8:]).split()
+        for _ in range(draw.randrange(1, 4)):
+            text[draw.randrange(len(text))] = f"v{draw.randrange(10**6)}"
+        texts.append(" ".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("hub, tile", [(64, 1 << 20), (2, 700)])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, hub, tile):
+    monkeypatch.setattr(shingle_sets, "HUB", hub)
+    monkeypatch.setattr(shingle_sets, "TILE", tile)
+    texts = [t for seed in range(6) for t in versions(seed, 25, 60 + 20 * seed)]
+    texts += [None, "", " \n ", "one two", "one  TWO", "one two three", texts[0], texts[30]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[1]), (None, words(99, 50)), (5, texts[5])]
+    group = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            if group[i] != group[j] and similarity(a, rows[j][1]) >= 0.8:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    ids = {}
+    for g, (i, _) in zip(group, rows):
+        ids.setdefault(g, []).append(i)
+    want = sorted((min((i for i in m if i is not None), default=None) for m in ids.values()), key=lambda x: (x is None, x))
+    assert len(want) > 20
+    assert kept_of(spark, rows) == want
