@@ -31,23 +31,26 @@ from siftwell.sources.collection import stored
 def seed_centroids(points: DataFrame, per_tenant: int) -> DataFrame:
     """tenant_id, list_id, dense: the tenant's vectors with the smallest md5(id).
 
-    Deterministic. Only ids are ranked, and the literal rank bound lets Spark
-    cut every task to ``per_tenant`` of them per tenant before the shuffle; the
-    few vectors are fetched by a join.
+    Deterministic. Points without a vector seed no list, an id seeds one at most
+    (of several vectors the smallest). Only distinct ids are ranked, and the
+    literal rank bound lets Spark cut every task to ``per_tenant`` of them per
+    tenant before the shuffle by tenant; the few vectors are fetched by a join.
     """
     if per_tenant < 1:
         raise ValueError("per_tenant must be at least 1")
     require_columns(points, "tenant_id", "id", "dense")
     order = Window.partitionBy("tenant_id").orderBy(F.md5(F.col("id").cast("string")))
+    vectors = points.select("tenant_id", "id", "dense").where(F.col("dense").isNotNull())
     chosen = (
-        points.select("tenant_id", "id")
+        vectors.select("tenant_id", "id")
         .where(F.col("tenant_id").isNotNull())
+        .distinct()
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= per_tenant)
         .select("tenant_id", "id", (F.col("_n") - 1).cast("bigint").alias("list_id"))
     )
-    vectors = points.select("tenant_id", "id", "dense").where(F.col("dense").isNotNull())
-    return vectors.join(chosen, ["tenant_id", "id"]).select("tenant_id", "list_id", "dense")
+    seeds = vectors.join(chosen, ["tenant_id", "id"]).groupBy("tenant_id", "list_id")
+    return seeds.agg(F.min("dense").alias("dense"))
 
 
 def _as_documents(centroids: DataFrame) -> DataFrame:

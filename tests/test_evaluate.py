@@ -271,3 +271,18 @@ def test_seeds_are_cut_before_the_shuffle(spark):
     _, points = vectors(spark)
     plan = ann.seed_centroids(points, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_seeds_have_vectors_and_are_distinct(spark):
+    rows = [("t", i, [float(i), 1.0] if i % 25 == 0 else None) for i in range(500)]
+    rows += [("t", 0, [9.0, 9.0]), ("t", 25, [25.0, 1.0])]
+    points = spark.createDataFrame(rows, "tenant_id string, id bigint, dense array<float>")
+    seeds = ann.seed_centroids(points, 8).collect()
+    assert sorted(s.list_id for s in seeds) == list(range(8))
+    known = {tuple(r[2]) for r in rows[:500] if r[2]}
+    assert len({tuple(s.dense) for s in seeds} & known) == 8
+    asked = spark.createDataFrame([("t", 1, [100.0, 1.0])], "tenant_id string, query_id bigint, dense array<float>")
+    with_vector = points.where("dense IS NOT NULL").dropDuplicates(["id"])
+    found = ann.ivf_search(with_vector, asked, ann.seed_centroids(points, 8), nprobe=8, limit=6)
+    exact = exact_topk(with_vector, asked, 6)
+    assert [r.id for r in found.orderBy("rank").collect()] == [r.id for r in exact.where("mode = 'dense'").orderBy("rank").collect()]
