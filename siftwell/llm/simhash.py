@@ -276,28 +276,55 @@ def near_duplicate_groups(
 
 
 def keep_one_per_group(
-    docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    words: int = 5,
+    max_bits: int = MAX_BITS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    blocks: int = BLOCKS,
+    equal: int = EQUAL,
+    tile: int = TILE,
 ) -> DataFrame:
-    """The documents, one of each group of near-duplicates: that of the smallest id, null last.
+    """The documents, one of each group of ``near_duplicate_groups``: that of the smallest id, null last.
 
-    Near-duplicates share 0.8 of their shingles (as sets), see ``shingle_sets``;
-    fingerprints have no part in it. Of several rows with that id the smallest
-    digest of the set stays, of equal ones any.
+    Of several rows with that id the smallest fingerprint stays, of equal ones
+    any. All columns pass, whatever their names. Rows whose id occurs once are
+    kept or dropped by their id; only those of repeated ids are hashed again.
     """
-    from siftwell.llm.shingle_sets import groups_of_sets, with_digest
-
+    if blocks - equal < max_bits:
+        raise ValueError("blocks - equal must be at least max_bits, or pairs are lost")
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    prints = with_digest(rows, words, "digest", sketch=True).drop("text")
-    prints = written(prints.withColumn("uid", F.monotonically_increasing_id()), folder, "prints")
-    named = groups_of_sets(prints, folder)
-    alike = prints.groupBy("id", "digest").agg(F.lit(1)).select("id", "digest").join(named, "digest")
-    first = F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("w")
-    kept = alike.groupBy("group").agg(first).select(_key("w.id").alias("_k"), F.col("w.digest").alias("_set"))
-    marked = with_digest(docs, words, "_set", text_column).withColumn("_k", _key(id_column))
-    here = marked.join(kept, ["_k", "_set"])
-    turn = Window.partitionBy("_k", "_set").orderBy("_k")
-    return here.withColumn("_n", F.row_number().over(turn)).where("_n = 1").select(*docs.columns)
+    prints = written(with_fingerprints(rows, words).select("id", "fp"), folder, "prints")
+    named = groups_of(prints, folder, max_bits, block_masks(blocks, equal), tile)
+    alike = prints.groupBy("id", "fp").agg(F.count("*").alias("n")).join(named.select("fp", "group"), "fp")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("w")
+    stay = alike.groupBy("group").agg(first).select(F.col("w.id").alias("_id"), F.col("w.fp").alias("_fp"))
+    marked = alike.join(stay, F.col("id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left")
+    fate = marked.withColumn("stays", F.col("_fp").isNotNull()).groupBy("id").agg(
+        (F.sum("n") > 1).alias("repeated"), F.max("stays").alias("stays"),
+        F.collect_set(F.when(F.col("stays"), F.col("fp"))).alias("fps"),
+    )
+    fate = written(fate.where("repeated OR NOT stays"), folder, "fate")
+
+    key, fp, turn = (_unused(docs, name) for name in ("key", "fp", "turn"))
+    keyed = docs.withColumn(key, _key(id_column))
+    fate = fate.withColumn("id", _key("id")).withColumnRenamed("id", key)
+    once = keyed.join(fate.select(key), key, "left_anti")
+    again = keyed.join(fate.where("repeated AND stays").select(key), key, "left_semi")
+    again = with_fingerprints(again, words, text_column=text_column, name=fp)
+    chosen = fate.select(key, F.explode("fps").alias(fp))
+    order = Window.partitionBy(key, fp).orderBy(key)
+    again = again.join(chosen, [key, fp]).withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1)
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def _key(column: str):

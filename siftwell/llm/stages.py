@@ -16,27 +16,43 @@ from siftwell.llm.packing import best_fit_packing
 from siftwell.llm.shared import table
 from siftwell.llm.simhash import keep_one_per_group
 
-SCORE = "_quality_score"
+#: Contract of the SimHash operator: words of a shingle, bits that may differ.
+SHINGLE, BITS = 4, 4
+
+
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns of these names renamed, and the way back."""
+    moved, taken = {}, set(docs.columns)
+    for name in names:
+        if name in taken:
+            free = f"{name}_"
+            while free in taken:
+                free += "_"
+            moved[free] = name
+            taken.add(free)
+    return docs.withColumnsRenamed({old: new for new, old in moved.items()}), moved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of the tables, does not reject."""
     machine = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    kept = scored(docs, machine, name=SCORE).where(F.col(SCORE) >= THRESHOLD)
-    return kept.select(*docs.columns)
+    rows, moved = _aside(docs, "quality_score")
+    kept = scored(rows, machine, name="quality_score").where(F.col("quality_score") >= THRESHOLD)
+    return kept.drop("quality_score").withColumnsRenamed(moved).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten or more documents have; ``n_chars`` follows the text."""
-    out = drop_frequent_lines(docs)
+    rows, moved = _aside(docs, "n_lines", "n_dropped")
+    out = drop_frequent_lines(rows).drop("n_lines", "n_dropped").withColumnsRenamed(moved)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates stays."""
-    return keep_one_per_group(docs)
+    """One document of every group of SimHash near-duplicates stays."""
+    return keep_one_per_group(docs, words=SHINGLE, max_bits=BITS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
