@@ -7,6 +7,7 @@ from siftwell.llm.licenses import OP2_SQL, op2_license_scan
 from siftwell.llm.lines import OP9_SQL, op9_line_dedup
 from siftwell.llm.mixing import OP6_SQL, op6_source_mix
 from siftwell.llm.packing import op4_best_fit_packing
+from siftwell.llm.periodic import op13_periodic_runs
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from siftwell.llm.simhash import op5_simhash_near_dedup
 from siftwell.llm.suffix_dedup import op3_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
     "op1_quality_rules": OP1_SQL,
