@@ -10,6 +10,7 @@ from siftwell.llm.packing import op4_best_fit_packing
 from siftwell.llm.periodic import op13_periodic_runs
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
 from siftwell.llm.simhash import op5_simhash_near_dedup
+from siftwell.llm.spelling import op11_spelling_variants
 from siftwell.llm.suffix_dedup import op3_suffix_dedup
 from siftwell.llm.token_counts import op10_token_counts
 from siftwell.llm.topk import OP7_SQL, op7_exact_topk
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
