@@ -9,6 +9,7 @@ from siftwell.llm.mixing import OP6_SQL, op6_source_mix
 from siftwell.llm.packing import op4_best_fit_packing
 from siftwell.llm.periodic import op13_periodic_runs
 from siftwell.llm.quality_rules import OP1_SQL, op1_quality_rules
+from siftwell.llm.setsketch import op12_setsketch_near_dedup
 from siftwell.llm.simhash import op5_simhash_near_dedup
 from siftwell.llm.spelling import op11_spelling_variants
 from siftwell.llm.suffix_dedup import op3_suffix_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_setsketch_near_dedup": op12_setsketch_near_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
