@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siftwell.llm.shared import bounded_batches, table
+from siftwell.llm.sql import CRC_TABLE, crc32
 
 MIN_LENGTH = 12
 #: A prime with roots of unity of every order 2**k up to 2**27, and a generator.
@@ -162,10 +163,12 @@ def sequence_runs(ids: np.ndarray, longest: int, min_length: int = MIN_LENGTH) -
     for b, near, far in _scales(longest):
         reach = again[: n // b * b].reshape(-1, b).max(axis=1)
         places = np.flatnonzero(reach <= far) * b
+        open_ = np.ones(len(places), bool)
         for (left, right), period in found.items():
             if period <= b:  # all copies of a block deep in this run are a multiple of its period away
                 low, high = np.searchsorted(places, (left, right - b - far + 1))
-                places = np.delete(places, slice(low, high)) if low < high else places
+                open_[low:high] = False
+        places = places[open_]
         if not len(places):
             continue
         # What follows the end equals nothing.
@@ -294,3 +297,47 @@ def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
         F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+OP13_SQL = (
+    r"""
+with recursive """ + CRC_TABLE + r""", d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w0
+  from documents
+), h as (
+  select r, doc_id, w0, len(w0) as n, """ + crc32("[unicode(x) for x in string_split(doc_id::varchar, '')]") + r""" as h
+  from d, crc_table
+), g as (
+  select *, h // 10 as g, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a from h
+), p as (
+  select *, 1 + (n - a) // (3 + g % 8) as p from g
+), w as (
+  select r, doc_id, case when a is null then w0
+    else [w0[1 + case when i < a then i else a + (i - a) % p end] for i in range(n)] end as w
+  from p
+), e as (
+  select r, unnest(range(len(w))) as i, unnest(w) as word from w
+), same as (
+  select x.r, y.i - x.i as q, x.i from e x join e y on x.r = y.r and x.word = y.word and x.i < y.i
+), stretches as (
+  select r, q, min(i) as start, max(i) + 1 + q as stop
+  from (select *, i - row_number() over (partition by r, q order by i) as island from same)
+  group by r, q, island
+), runs as (
+  select r, start, stop - start as length, min(q) as period
+  from stretches where stop - start >= greatest(12, 2 * q) group by r, start, stop
+), each as (
+  select r, count(*) as n_runs, max((length, -start, -period)) as best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+  from runs group by r
+), gone as (
+  select distinct r, unnest(range(start + period, start + length)) as i from runs
+), kept as (
+  select r, string_agg(word, ' ' order by i) as words from e anti join gone using (r, i) group by r
+)
+select doc_id, coalesce(n_runs, 0) as n_runs, -best[2] as start, best[1] as length, -best[3] as period,
+  1000 * best[1] // -best[3] as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+  sha256(coalesce(words, '')) as collapsed_sha256
+from w left join each using (r) left join kept using (r)
+"""
+)

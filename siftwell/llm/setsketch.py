@@ -366,3 +366,40 @@ def sketched_groups(
 
 def op12_setsketch_near_dedup(spark, sf_dir: str) -> DataFrame:
     return sketched_groups(table(spark, sf_dir, "documents"), share=85)
+
+
+OP12_SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select r, doc_id, list_sort(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] end)) as s
+  from d where len(w) > 0
+), p as (
+  select s, len(s) as n, min(doc_id) as low, row_number() over () as id from s group by s
+), e as (
+  select id, n, unnest(s) as x from p
+), k as (
+  select e.*, c, row_number() over (partition by id order by c, x) as place
+  from e join (select x, count(*) as c from e group by x) using (x)
+), pairs as (  -- similar sets share one of their rarest shingles
+  select distinct a.id as a, b.id as b, a.n as m, b.n as n from k a join k b on a.x = b.x and a.id < b.id
+  where a.place <= a.n - (85 * a.n + 99) // 100 + 1 and b.place <= b.n - (85 * b.n + 99) // 100 + 1
+    and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), linked as (
+  select a, b from pairs join e x on x.id = a join e y on y.id = b and x.x = y.x
+  group by a, b, m, pairs.n having 100 * count(*) >= 85 * (m + pairs.n - count(*))
+), ways as (
+  select a, b from linked union select b, a from linked
+), reach as (
+  select id as a, id as b from p union select reach.a, ways.b from reach join ways on reach.b = ways.a
+), named as (
+  select a as id, min(low) as component_id from reach join p on p.id = reach.b group by a
+)
+select doc_id, coalesce(p.n, 0)::bigint as n_shingles,
+  case when s.r is null then doc_id else component_id end as component_id,
+  s.r is null or doc_id is not distinct from component_id as kept
+from d left join s using (r, doc_id) left join p using (s) left join named using (id)
+"""

@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siftwell.llm.shared import bounded_batches, shared_folder, table, written
+from siftwell.llm.sql import CRC_TABLE, crc32
 
 MIN_CHARS, MIN_COUNT, RATIO = 7, 2, 10
 #: Words of a group before it is dealt again.
@@ -328,3 +329,50 @@ def spoilt(doc_id) -> Callable[[bytes], bytes] | None:
 
 def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), change=spoilt)
+
+
+OP11_SQL = (
+    r"""
+with recursive """ + CRC_TABLE + r""", d as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+), r as (
+  select doc_id, run, count(*) as n, string_split(coalesce(doc_id::varchar || ':', '') || run, '') as letters
+  from d where length(run) >= 7 group by doc_id, run
+), h as (
+  select doc_id, run, n, """ + crc32("""flatten([case when unicode(x) < 128 then [unicode(x)::bigint]
+        else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] end for x in letters])""") + r""" as h
+  from r, crc_table
+), v as (
+  select word, sum(n)::bigint as n from (
+    select n, case when h % 31 = 0 and doc_id is not null
+      then substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) else run end as word
+    from h
+  ) where length(word) >= 7 group by word having sum(n) >= 2
+), cut as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from v)
+), near as (
+  select a.word, a.n, b.word as other, b.n as m from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word != b.word
+  union
+  select v.word, v.n, cut.word, cut.n from v join cut on v.word = cut.rest
+  union
+  select cut.word, cut.n, v.word, v.n from v join cut on v.word = cut.rest
+), best as (
+  select word, count(*) as n_near, max(m) as m,
+    min(other order by other) filter (where m = top) as other
+  from (select *, max(m) over (partition by word) as top from near) group by word
+), f as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when m >= 10 * v.n then other end as form,
+    case when m >= 10 * v.n then m end as form_n
+  from v left join best using (word)
+), way as (
+  select word, form as last, 1 as k from f where form is not null
+  union all
+  select way.word, f.form, k + 1 from way join f on way.last = f.word where f.form is not null
+)
+select f.word, form, coalesce(arg_max(way.last, k), f.word) as root, n, n_near, form_n
+from f left join way using (word) group by f.word, form, n, n_near, form_n
+"""
+)

@@ -4,7 +4,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import classifier, licenses, lines, mixing, packing, quality_rules, simhash, suffix_dedup, token_counts, topk
+from siftwell.llm import (
+    classifier, licenses, lines, mixing, packing, periodic, quality_rules, setsketch, simhash, suffix_dedup, token_counts,
+    topk,
+)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +26,8 @@ OPERATORS = {
     "mixing": mixing.mix_sources,
     "classifier": classified,
     "lines": lambda d: lines.drop_frequent_lines(d).select("doc_id", "text", "n_lines", "n_dropped"),
+    "setsketch": setsketch.sketched_groups,
+    "periodic": lambda d: periodic.periodic_runs(d).select("doc_id", "text", "n_words", "runs", "collapsed"),
     "tokens": lambda d: token_counts.token_counts(d, WORD_BPE),
 }
 
