@@ -47,7 +47,7 @@ def main() -> None:
         collection.recreate_collection(embed.embed_hashed(documents), f"{work}/points")
 
     timed("ingest_points", ingest)
-    points = spark.read.schema(collection.POINT).parquet(f"{work}/points").drop("batch_seq")
+    points = spark.read.schema(collection.POINT).parquet(f"{work}/points").drop(*collection.VERSION)
     timed("idf_table", lambda: idf_ops.idf_table(points).write.parquet(f"{work}/idf"))
     idf = spark.read.parquet(f"{work}/idf")
     asked = embed.embed_hashed(t.plain_turns(spark, SF_DIR))

@@ -490,6 +490,11 @@ SQL = {
     + """SELECT id, tenant_id, category, created_at, count(idx)::INTEGER AS n_terms,
   round(coalesce(sum(1.0e0 + ln(n)), 0), 6) AS weight, 384 AS dim
   FROM docs LEFT JOIN dn USING (id) GROUP BY ALL""",
+    "stream_after_upserts": with_(DOCS)
+    + """SELECT id, tenant_id, created_at + later AS created_at, md5(word || coalesce(text, '')) AS text_md5
+  FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 2 THEN 0 WHEN id % 2 = 0 THEN 3 ELSE 2 END AS later,
+    CASE later WHEN 1 THEN 'upserted ' WHEN 2 THEN 'streamed ' WHEN 3 THEN 'again ' ELSE '' END AS word
+    FROM docs)""",
     "ingest_duplicate_ids": """SELECT doc_id AS id, source AS tenant_id,
   1700000001 + doc_id * 3600 AS created_at, md5('later ' || coalesce(text, '')) AS text_md5
   FROM documents""",

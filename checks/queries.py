@@ -462,6 +462,28 @@ def stream_ingest_points(spark, sf):
     )
 
 
+def changed_documents(documents: DataFrame, word: str, remainder: int, seconds: int) -> DataFrame:
+    """A third of the documents with a word before the text, and later."""
+    text = F.concat(F.lit(f"{word} "), F.coalesce("text", F.lit("")))
+    changed = documents.where(F.col("id") % 3 == remainder)
+    return changed.withColumns({"text": text, "created_at": F.col("created_at") + seconds})
+
+
+def stream_after_upserts(spark, sf):
+    """Base, a batch of upserts, a stream and another stream over overlapping ids: all are kept."""
+    work = collection.shared_dir(spark)
+    base, path = t.documents(spark, sf), f"{work}/points"
+    embedder = embed.build_embedder("hash", dim=16)
+    collection.ingest_documents(base, embedder, path)
+    collection.ingest_documents(changed_documents(base, "upserted", 0, 1), embedder, path, 1)
+    arriving = t.as_documents(stream_of(spark, sf, "documents"))
+    ingest.ingest_stream(changed_documents(arriving, "streamed", 1, 2), embedder, path, f"{work}/first")
+    later = changed_documents(arriving, "again", 1, 3).where(F.col("id") % 2 == 0)
+    ingest.ingest_stream(later, embedder, path, f"{work}/second")
+    points = collection.read_collection(spark, path)
+    return points.select("id", "tenant_id", "created_at", F.md5("text").alias("text_md5"))
+
+
 def stream_counts(spark, sf):
     work = collection.shared_dir(spark)
     counts = ingest.running_counts(stream_of(spark, sf, "events"), "event_type")
@@ -528,7 +550,7 @@ QUERIES = {
         ingest_batches, batch_counts, running_counter, ingest_throughput, tenant_list,
         upsert_latest, collection_rows, collection_search,
         report_markdown, report_json, generated_corpus, generated_queries,
-        stream_ingest_latest, stream_ingest_points, stream_counts, stream_latency_buckets,
+        stream_ingest_latest, stream_ingest_points, stream_after_upserts, stream_counts, stream_latency_buckets,
         ingest_duplicate_ids, attached_vectors, event_epochs, checked_dims,
     )
 }

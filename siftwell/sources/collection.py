@@ -1,8 +1,10 @@
 """Points on disk: one Parquet folder per ingested batch, newest batch wins.
 
-Layout: ``<path>/batch_seq=<n>/tenant_id=<t>/*.parquet``. Batch 0 is the base
-and holds each id once; later batches are upserts. A tenant condition prunes
-folders, and files sorted by time let ranges on ``created_at`` skip row groups.
+Layout: ``<path>/batch_seq=<n>/writer=<w>/tenant_id=<t>/*.parquet``. Batch 0 is
+the base; later batches are upserts, and every writer (batch jobs, each stream)
+has folders of its own, so that none overwrites another's. A version is (batch,
+writer); every version holds an id once. A tenant condition prunes folders, and
+files sorted by time let ranges on ``created_at`` skip row groups.
 """
 
 from __future__ import annotations
@@ -30,9 +32,14 @@ POINT = T.StructType(
             ),
         ),
         T.StructField("batch_seq", T.LongType()),
+        T.StructField("writer", T.StringType()),
     ]
 )
 
+VERSION = ("batch_seq", "writer")
+#: Writers of the base and of batch jobs.
+BASE, BATCH = "base", "batch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``.
@@ -65,30 +72,58 @@ def latest_by_id(df: DataFrame, *order: str) -> DataFrame:
     return df.groupBy("id").agg(row.alias("_row")).select("_row.*")
 
 
+def last_documents(documents: DataFrame, *order: str) -> DataFrame:
+    """The last row of each id, like ``latest_by_id``, for tables of wide rows.
+
+    Ids that occur once are told by their numbers alone: their rows, all but a
+    few, are neither grouped nor, while the repeated ids are few, shuffled.
+    """
+    again = documents.groupBy(F.col("id").alias("_id")).count().where("count > 1").select("_id")
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    repeated = latest_by_id(documents.join(again, same, "left_semi"), *order)
+    return documents.join(again, same, "left_anti").unionByName(repeated)
+
+
 def _layout(points: DataFrame) -> DataFrame:
     """Files by tenant: AQE splits a large tenant and packs small ones."""
     return points.hint("rebalance", "tenant_id").sortWithinPartitions("tenant_id", "created_at")
 
 
 def recreate_collection(points: DataFrame, path: str) -> None:
-    """Create or replace the collection; each id must occur once (``latest_by_id``)."""
-    base = points.withColumn("batch_seq", F.lit(0).cast("bigint"))
-    _layout(base).write.mode("overwrite").partitionBy("batch_seq", "tenant_id").parquet(path)
+    """Create or replace the collection; each id must occur once (``last_documents``)."""
+    base = points.withColumns({"batch_seq": F.lit(0).cast("bigint"), "writer": F.lit(BASE)})
+    _layout(base).write.mode("overwrite").partitionBy(*VERSION, "tenant_id").parquet(path)
+
 
+def upsert_points(points: DataFrame, path: str, batch_seq: int, writer: str = BATCH) -> None:
+    """Write one batch of upserts; writing the same batch again changes nothing.
 
-def upsert_points(points: DataFrame, path: str, batch_seq: int) -> None:
-    """Write one batch of upserts; writing the same batch again changes nothing."""
+    Each id must occur once (``last_documents``). ``next_batch_seq`` gives a
+    number after all others; the batch of another writer is never touched.
+    """
     if batch_seq < 1:
         raise ValueError("batch_seq of an upsert starts at 1")
-    target = f"{path}/batch_seq={batch_seq}"
+    target = f"{path}/batch_seq={batch_seq}/writer={writer}"
     _layout(points).write.mode("overwrite").partitionBy("tenant_id").parquet(target)
 
 
+def next_batch_seq(spark: SparkSession, path: str) -> int:
+    """One more than the largest batch number of the collection, 1 at least.
+
+    Lists the folder, reads no file.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(folder)] if store.exists(folder) else []
+    taken = [int(n.removeprefix("batch_seq=")) for n in names if n.startswith("batch_seq=")]
+    return max(taken, default=0) + 1
+
+
 def attach_vectors(documents: DataFrame, vectors: DataFrame) -> DataFrame:
     """Points from documents and separately computed vectors, matched by id.
 
     A document without a vector stays, with null vectors; it takes no part in
-    the searches that need them.
+    the searches that need them. Several vectors of an id give as many points.
     """
     return documents.join(vectors, "id", "left")
 
@@ -109,13 +144,15 @@ def ingest_documents(
     """
     spark = documents.sparkSession
     start = time.perf_counter()
-    documents = latest_by_id(documents, *order)
+    documents = last_documents(documents, *order)
     if batch_seq == 0:
         recreate_collection(embed(documents), path)
     else:
         upsert_points(embed(documents), path, batch_seq)
     seconds = time.perf_counter() - start
-    written = spark.read.schema(POINT).parquet(path).where(F.col("batch_seq") == batch_seq)
+    writer = BATCH if batch_seq else BASE
+    written = spark.read.schema(POINT).parquet(path)
+    written = written.where((F.col("batch_seq") == batch_seq) & (F.col("writer") == writer))
     return written.agg(F.count(F.lit(1)).alias("points")).select(
         "points", F.lit(seconds).alias("seconds"), (F.col("points") / seconds).alias("throughput")
     )
@@ -124,17 +161,23 @@ def ingest_documents(
 def newest_points(versions: DataFrame) -> DataFrame:
     """Current row per id: upserts first, then the base rows they do not replace.
 
-    Only the upserts are grouped; the base is scanned once and, while the
-    upserted ids are few, joined without a shuffle.
+    Versions are resolved on ids and version numbers alone; whole rows are read
+    by a semi-join afterwards, so a condition on the result reaches their scan
+    (not that of the version numbers, or an old row of another tenant would come
+    back). The base is joined without a shuffle while the upserted ids are few.
     """
-    upserts = latest_by_id(versions.where(F.col("batch_seq") > 0), "batch_seq")
+    upserts = versions.where(F.col("batch_seq") > 0)
+    newest = F.max(F.struct(*VERSION)).alias("_v")
+    winners = upserts.groupBy(F.col("id").alias("_id")).agg(newest)
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    version = same & (F.struct(*VERSION) == F.col("_v"))
     base = versions.where(F.col("batch_seq") == 0)
-    kept = base.join(upserts.select("id"), "id", "left_anti")
-    return kept.unionByName(upserts)
+    kept = base.join(winners.select("_id"), same, "left_anti")
+    return kept.unionByName(upserts.join(winners, version, "left_semi"))
 
 
 def read_collection(spark: SparkSession, path: str, schema: T.StructType = POINT) -> DataFrame:
-    return newest_points(spark.read.schema(schema).parquet(path)).drop("batch_seq")
+    return newest_points(spark.read.schema(schema).parquet(path)).drop(*VERSION)
 
 
 def compact_collection(spark: SparkSession, path: str, new_path: str) -> None:

@@ -151,6 +151,54 @@ def test_stream_ingest_is_exactly_once(spark, tmp_path):
     }
 
 
+def test_streams_and_batches_keep_each_others_rows(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = [(i, "a", f"base {i}") for i in range(6)]
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], DOC)
+    embedder = lambda df: embed_hashed(df, 8)
+    collection.ingest_documents(docs, embedder, path)
+    collection.ingest_documents(docs.where("id = 1").withColumn("text", F.lit("upserted")), embedder, path, 1)
+
+    def stream(name, *batches):
+        source = str(tmp_path / name)
+        write_files(spark, source, *batches)
+        arriving = ingest.read_files(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+        ingest.ingest_stream(arriving, embedder, path, str(tmp_path / f"{name}-state"))
+
+    stream("one", [(2, "a", "one")], [(3, "a", "one")])
+    stream("two", [(3, "a", "two"), (4, "a", "two")])
+    stream("one", [(4, "a", "one again")])
+    want = {0: "base 0", 1: "upserted", 2: "one", 3: "two", 4: "one again", 5: "base 5"}
+    assert {r.id: r.text for r in collection.read_collection(spark, path).collect()} == want
+    assert collection.next_batch_seq(spark, path) == 6
+    # The same number by another writer, and an id that moves to another tenant.
+    moved = embedder(spark.createDataFrame([(5, "b", "moved", "c", 9)], DOC))
+    collection.upsert_points(moved, path, 2)
+    current = collection.read_collection(spark, path)
+    assert {r.id: r.text for r in current.collect()} == want | {5: "moved"}
+    assert {r.id for r in current.where("tenant_id = 'a'").collect()} == {0, 1, 2, 3, 4}
+
+
+def test_tenant_condition_reaches_the_upserts(spark, tmp_path):
+    path = str(tmp_path / "c")
+    collection.recreate_collection(points(spark, (1, "a", "one", "x", 1), (2, "b", "two", "x", 2)), path)
+    collection.upsert_points(points(spark, (1, "a", "uno", "x", 3), (3, "b", "tre", "x", 3)), path, 1)
+    found = collection.read_collection(spark, path).where("tenant_id = 'a'")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "FileScan" in line and "text" in line]
+    assert len(wide) == 2 and all("(tenant_id" in line.split("PartitionFilters")[1] for line in wide)
+    assert contents(found) == {1: ("a", "uno")}
+
+
+def test_counts_are_whole_between_batches(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    schema = spark.createDataFrame([("a", 1)], "tenant_id string, n bigint").schema
+    assert ingest.newest_counts(spark, path, schema).collect() == []
+    spark.createDataFrame([("a", 1)], schema).write.parquet(f"{path}/batch=0")
+    (tmp_path / "counts" / "batch=1").mkdir()  # a batch that is being written
+    assert ingest.newest_counts(spark, path, schema).collect() == [("a", 1)]
+
+
 def test_stream_counts(spark, tmp_path):
     source = str(tmp_path / "in")
     write_files(spark, source, [(1, "a", ""), (2, "a", "")], [(3, "b", "")], [(4, "a", "")])
