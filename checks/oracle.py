@@ -327,6 +327,11 @@ SQL = {
     "dense_exact_topk": with_(VECTORS, VECTOR_PAIRS, top("dense", "dense_all", 10)) + HIT + "dense",
     "dense_exact_topk_text": with_(*TEXT, DENSE, top("dense", "dense_all", 10)) + HIT + "dense",
     "sparse_topk": with_(*SPARSE, top("hits", "sparse_all", 10)) + HIT + "hits",
+    "sparse_index_topk": with_(*SPARSE, top("hits", "sparse_all", 10)) + HIT + "hits",
+    "sparse_index_filtered": with_(*SPARSE, top("hits", "sparse_all", 10, PER_QUERY)) + HIT + "hits",
+    "index_term_maxima": with_(*BASE)
+    + """SELECT tenant_id, idx, count(*) AS df, round(max(1.0e0 + ln(n)), 6) AS largest
+  FROM dn JOIN docs USING (id) GROUP BY tenant_id, idx""",
     "sparse_topk_tenant_idf": with_(
         *TEXT,
         TENANT_IDF,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks import tables as t
 from siftwell.functions.numbers import round_exact
-from siftwell.operators import ann, embed, filters, idf as idf_ops, metrics, prefix
+from siftwell.operators import ann, embed, filters, idf as idf_ops, inverted, metrics, prefix
 from siftwell.operators.ranking import clamp_limit, exact_topk
 from siftwell.plans import evaluate, report
 from siftwell.plans.benchmark import run_benchmark
@@ -126,6 +126,30 @@ def bm25_topk(spark, sf):
     return hits(search(points, asked, "sparse", idf=text_idf(spark, sf)))
 
 
+def stored_index(spark, sf):
+    """An inverted index of the documents on disk, in small shards."""
+    path = f"{collection.shared_dir(spark)}/index"
+    inverted.write_index(embed.embed_hashed(t.documents(spark, sf), dense=False), path, shard_docs=200)
+    return path
+
+
+def index_topk(spark, sf, queries):
+    asked = embed.embed_hashed(queries, dense=False)
+    return hits(inverted.index_search(spark, stored_index(spark, sf), asked, text_idf(spark, sf)))
+
+
+def sparse_index_topk(spark, sf):
+    return index_topk(spark, sf, t.plain_turns(spark, sf))
+
+
+def sparse_index_filtered(spark, sf):
+    return index_topk(spark, sf, t.turns(spark, sf))
+
+
+def index_term_maxima(spark, sf):
+    return rounded(inverted.term_statistics(spark, stored_index(spark, sf)), "largest")
+
+
 def hybrid_rrf_topk(spark, sf):
     return hits(text_search(spark, sf, "hybrid"))
 
@@ -540,6 +564,7 @@ QUERIES = {
         tokenize_terms, hash_sparse_postings, hash_dense_components, hash_dense_vectors,
         idf_stats, idf_stats_by_tenant, bm25_weights, model_embed_hook,
         dense_exact_topk, dense_exact_topk_text, sparse_topk, sparse_topk_tenant_idf, bm25_topk,
+        sparse_index_topk, sparse_index_filtered, index_term_maxima,
         hybrid_rrf_topk, hybrid_narrow_prefetch, hybrid_grid_plan, hits_with_payload,
         filtered_category, filtered_time_range, filtered_combined, single_tenant_filter,
         unknown_tenants, clamped_limit, hit_display, hit_response, tenant_leak_check,
