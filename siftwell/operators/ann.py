@@ -1,8 +1,9 @@
 """Approximate dense search with a breadth knob: inverted file lists per tenant.
 
-Each tenant's vectors are assigned to the nearest of a few centroids; a query
-looks only into the ``nprobe`` lists whose centroids are closest to it. Probing
-every list gives exactly the exact result.
+Each tenant's vectors are assigned to the nearest of a few centroids, trained on
+a sample of bounded size; a query looks only into the ``nprobe`` lists whose
+centroids are closest to it. Probing every list gives exactly the exact result,
+and so does ``adaptive_search``, which goes on until no list can improve it.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from siftwell.operators.blocks import BestOf
+from siftwell.operators.blocks import SCORE_DIGITS, BestOf
 from siftwell.operators.ranking import (
     SLICE_BYTES,
     block_topk,
@@ -53,6 +55,60 @@ def seed_centroids(points: DataFrame, per_tenant: int) -> DataFrame:
     return seeds.agg(F.min("dense").alias("dense"))
 
 
+#: Vectors of a tenant that its lists are trained on, and rounds of training.
+SAMPLE, ROUNDS = 20_000, 4
+#: Centroids are kept to this binary fraction, so the order of a sum has no effect.
+_FRACTION = float(2**24)
+
+
+def _lloyd(unit: np.ndarray, per_tenant: int, rounds: int) -> np.ndarray:
+    """Centroids after ``rounds``; rows are unit vectors in seed order."""
+    centroids = unit[:per_tenant].copy()
+    for _ in range(rounds):
+        norm = np.sqrt(np.einsum("ij,ij->i", centroids, centroids))
+        near = np.round(unit @ centroids.T / np.where(norm == 0, 1.0, norm), SCORE_DIGITS)
+        mine = near.argmax(axis=1)
+        order = np.argsort(mine, kind="stable")
+        taken, start = np.unique(mine[order], return_index=True)
+        sums = np.add.reduceat(unit[order], start, axis=0)
+        means = sums / np.diff(np.r_[start, len(unit)])[:, None]
+        centroids[taken] = np.floor(means * _FRACTION + 0.5) / _FRACTION
+        # Lists that nobody chose start again from the vectors farthest from their own.
+        empty = np.setdiff1d(np.arange(len(centroids)), taken)
+        far = np.argsort(near[np.arange(len(unit)), mine], kind="stable")[: len(empty)]
+        centroids[empty] = unit[far]
+    return centroids
+
+
+def train_centroids(points: DataFrame, per_tenant: int, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
+    """tenant_id, list_id, dense: ``per_tenant`` centroids from rounds of Lloyd's algorithm.
+
+    Trained on at most ``sample`` vectors of a tenant, those with the smallest
+    md5(id), in one task each; the first of them are the seeds. Deterministic:
+    sums run in one order and centroids are rounded to a binary fraction. Vectors
+    that are null or not finite train nothing; tenants with fewer vectors than
+    lists have a list for each.
+    """
+    if per_tenant < 1 or sample < per_tenant or rounds < 0:
+        raise ValueError("needs per_tenant >= 1, sample >= per_tenant and rounds >= 0")
+    finite = F.forall("dense", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    chosen = seed_centroids(points.where(finite), sample)
+
+    def train(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("list_id", "ascending")]))
+        vectors = rows["dense"].combine_chunks()
+        unit = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+        norm = np.sqrt(np.einsum("ij,ij->i", unit, unit))
+        found = _lloyd(unit / np.where(norm == 0, 1.0, norm)[:, None], per_tenant, rounds)
+        offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * np.int32(unit.shape[1]))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
+        names = pa.array([key[0].as_py()] * len(found), pa.string())
+        return pa.Table.from_arrays([names, pa.array(np.arange(len(found))), lists], ["tenant_id", "list_id", "dense"])
+
+    chosen = chosen.select(F.col("tenant_id").cast("string"), "list_id", F.col("dense").cast("array<double>").alias("dense"))
+    return chosen.groupBy("tenant_id").applyInArrow(train, "tenant_id string, list_id bigint, dense array<double>")
+
+
 def _as_documents(centroids: DataFrame) -> DataFrame:
     # negated ids turn "larger id first" of the dense order into "lower list first"
     return centroids.select("tenant_id", (-F.col("list_id")).alias("id"), "dense")
@@ -189,3 +245,93 @@ def ivf_sweep(
     return take_top(found, limit, by=("nprobe", "tenant_id", "mode", "query_id")).drop(
         "list_id", "list_rank"
     )
+
+
+def _cosine(left: str, right: str):
+    """Arrow UDF: cosine of two vector columns, NaN where it has none."""
+
+    @F.arrow_udf("double")
+    def cosine(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            a, b = (x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in (a, b))
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                norm = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+                yield pa.array(np.einsum("ij,ij->i", a, b) / np.where(norm == 0, 1.0, norm))
+
+    return cosine(F.col(left), F.col(right))
+
+
+def list_radii(listed: DataFrame, centroids: DataFrame) -> DataFrame:
+    """tenant_id, list_id, radius: the largest angle between a list's centroid and a member.
+
+    A member without an angle makes the radius pi: nothing is known of the list.
+    """
+    members = listed.where(F.col("dense").isNotNull() & F.col("list_id").isNotNull())
+    members = members.select(
+        F.col("tenant_id").cast("string").alias("tenant_id"), F.col("list_id").cast("bigint").alias("list_id"),
+        F.col("dense").cast("array<double>").alias("dense"),
+    )
+    hubs = centroids.select("tenant_id", "list_id", F.col("dense").alias("_centroid"))
+    cosine = members.join(hubs, ["tenant_id", "list_id"]).withColumn("_cos", _cosine("dense", "_centroid"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.nanvl("_cos", F.lit(-1.0)))))
+    return cosine.groupBy("tenant_id", "list_id").agg(F.max(angle).alias("radius"))
+
+
+#: Angles and scores are rounded differently; a list this close to the bound is read.
+_SLACK = 1e-6
+
+
+def adaptive_probes(
+    listed: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, limit: int, **plan
+) -> tuple[DataFrame, DataFrame]:
+    """Best ``limit`` of the ``nprobe`` closest lists, and the lists that may still improve them.
+
+    By the triangle inequality of angles no member of a list is closer to a query
+    than the centroid less the list's radius; a list beyond the ``limit``-th hit
+    holds nothing better.
+    """
+    if nprobe < 1:
+        raise ValueError("nprobe must be at least 1")
+    most = centroids.groupBy("tenant_id").count().agg(F.coalesce(F.max("count"), F.lit(1)).alias("n")).first()["n"]
+    ranked = take_top(block_topk(_as_documents(centroids), queries, int(most), ("dense",), **plan), int(most))
+    ranked = stored(ranked.select("tenant_id", "query_id", (-F.col("id")).alias("list_id"), "rank", "score"))
+    first = ranked.where(F.col("rank") <= nprobe).select("tenant_id", "query_id", "list_id", "rank")
+    found = take_top(_probed_candidates(listed, queries, first, limit, **plan), limit)
+    found = stored(found.drop("list_id", "list_rank"))
+    full = found.where(F.col("rank") == limit).select("tenant_id", "query_id", F.col("score").alias("bound"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
+    best = F.cos(F.greatest(F.lit(0.0), angle - F.col("radius")))
+    rest = ranked.where(F.col("rank") > nprobe).join(list_radii(listed, centroids), ["tenant_id", "list_id"])
+    rest = rest.join(full, ["tenant_id", "query_id"], "left")
+    # No bound yet, or a similarity that is not a number: the list has to be read.
+    open_ = F.coalesce(best + _SLACK >= F.col("bound"), F.lit(True))
+    return found, stored(rest.where(open_).select("tenant_id", "query_id", "list_id", "rank"))
+
+
+def adaptive_search(
+    points: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int = 8, limit: int = 10, **plan
+) -> DataFrame:
+    """The exact dense top ``limit``, reading lists only as long as they can matter.
+
+    First the ``nprobe`` closest lists, then every list whose radius reaches the
+    hits so far.
+    """
+    listed = _listed(points, centroids)
+    found, rest = adaptive_probes(listed, queries, centroids, nprobe, limit, **plan)
+    more = _probed_candidates(listed, queries, rest, limit, **plan)
+    columns = ["tenant_id", "mode", "query_id", "id", "score"]
+    return take_top(found.select(*columns).unionByName(more.select(*columns)), limit)
+
+
+def lists_read(
+    points: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int = 8, limit: int = 10, **plan
+) -> DataFrame:
+    """tenant_id, query_id, lists, lists_read of ``adaptive_search``."""
+    _, rest = adaptive_probes(_listed(points, centroids), queries, centroids, nprobe, limit, **plan)
+    further = rest.groupBy("tenant_id", "query_id").agg(F.count(F.lit(1)).alias("_more"))
+    sizes = centroids.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("lists"))
+    asked = queries.select(F.col("tenant_id").cast("string").alias("tenant_id"), "query_id")
+    read = F.least(F.lit(nprobe), "lists") + F.coalesce("_more", F.lit(0))
+    return asked.join(sizes, "tenant_id").join(further, ["tenant_id", "query_id"], "left").select(
+        "tenant_id", "query_id", "lists", read.cast("bigint").alias("lists_read")
+    )
