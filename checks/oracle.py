@@ -146,16 +146,52 @@ VECTOR_PAIRS = """dense_all AS (SELECT q.tenant_id, q.id AS query_id, d.id,
   round(list_inner_product(q.dense, d.dense) / (sqrt(list_inner_product(q.dense, q.dense))
   * sqrt(list_inner_product(d.dense, d.dense))), 9) AS score
   FROM points q JOIN points d USING (tenant_id))"""
-IVF = """cents AS (SELECT tenant_id, list_id, dense FROM (SELECT *, row_number() OVER (
-  PARTITION BY tenant_id ORDER BY md5(id::VARCHAR)) - 1 AS list_id FROM points) WHERE list_id < 8),
-near AS (SELECT p.tenant_id, p.id, list_id, row_number() OVER (PARTITION BY p.id
-  ORDER BY round(list_inner_product(p.dense, c.dense) / (sqrt(list_inner_product(p.dense, p.dense))
-  * sqrt(list_inner_product(c.dense, c.dense))), 9) DESC, list_id) AS list_rank
+LISTS, ROUNDS, NEAR_VECTORS, NEAR_TEXTS = 32, 4, 20, 8
+
+
+def trained() -> list[str]:
+    """Rounds of Lloyd's algorithm over points(tenant_id, id, dense); the result is ``cents``."""
+    norm = "sqrt(list_inner_product({0}, {0}))"
+    parts = [
+        f"""units AS MATERIALIZED (SELECT tenant_id, id, row_number() OVER (PARTITION BY tenant_id
+  ORDER BY md5(id::VARCHAR)) - 1 AS place, list_transform(dense,
+  lambda x: x / coalesce(nullif({norm.format('dense')}, 0), 1)) AS unit FROM points),
+c0 AS MATERIALIZED (SELECT tenant_id, place AS list_id, unit AS dense FROM units WHERE place < {LISTS})"""
+    ]
+    for r in range(1, ROUNDS + 1):
+        parts.append(
+            f"""n{r} AS MATERIALIZED (SELECT tenant_id, id, place, unit, list_id, sim FROM (
+  SELECT u.*, list_id, round(list_inner_product(unit, dense)
+    / coalesce(nullif({norm.format('dense')}, 0), 1), 9) AS sim
+  FROM units u JOIN c{r - 1} USING (tenant_id))
+  QUALIFY row_number() OVER (PARTITION BY tenant_id, id ORDER BY sim DESC, list_id) = 1),
+m{r} AS MATERIALIZED (SELECT tenant_id, list_id, list(floor(v * 16777216 + 0.5e0) / 16777216 ORDER BY i) AS dense
+  FROM (SELECT tenant_id, list_id, i, sum(v) / count(*) AS v FROM (SELECT tenant_id, list_id, unnest(unit) AS v,
+    generate_subscripts(unit, 1) AS i FROM n{r}) GROUP BY ALL) GROUP BY tenant_id, list_id),
+c{r} AS MATERIALIZED (SELECT * FROM m{r} UNION ALL SELECT tenant_id, list_id, unit FROM (
+    SELECT tenant_id, list_id, row_number() OVER (PARTITION BY tenant_id ORDER BY list_id) AS k
+    FROM c{r - 1} ANTI JOIN m{r} USING (tenant_id, list_id))
+  JOIN (SELECT tenant_id, unit, row_number() OVER (PARTITION BY tenant_id ORDER BY sim, place) AS k FROM n{r})
+  USING (tenant_id, k))"""
+        )
+    parts.append(f"""cents AS (SELECT * FROM c{ROUNDS}),
+near AS MATERIALIZED (SELECT p.tenant_id, p.id, list_id, row_number() OVER (PARTITION BY p.id
+  ORDER BY round(list_inner_product(p.dense, c.dense) / (coalesce(nullif({norm.format('p.dense')}, 0), 1)
+  * coalesce(nullif({norm.format('c.dense')}, 0), 1)), 9) DESC, list_id) AS list_rank
   FROM points p JOIN cents c USING (tenant_id)),
 assigned AS (SELECT tenant_id, id, list_id FROM near WHERE list_rank = 1),
 reach AS (SELECT d.tenant_id, d.query_id, d.id, d.score, near.list_rank FROM dense_all d
   JOIN assigned a ON a.id = d.id
-  JOIN near ON near.id = d.query_id AND near.list_id = a.list_id)"""
+  JOIN near ON near.id = d.query_id AND near.list_id = a.list_id)""")
+    return parts
+
+
+IVF = ",\n".join(trained())
+#: Embedded texts as lists of numbers.
+TEXT_POINTS = """points AS (SELECT tenant_id, id, list(coalesce(v, 0) / sqrt(coalesce(nullif(s, 0), 1)::DOUBLE) ORDER BY i) AS dense
+  FROM docs CROSS JOIN range(384) AS r(i) LEFT JOIN dnorm USING (id) LEFT JOIN dv ON dv.id = docs.id AND dv.idx = i
+  GROUP BY tenant_id, docs.id)"""
+TEXT_POINTS = TEXT_POINTS.replace("SELECT tenant_id, id, list", "SELECT tenant_id, docs.id, list")
 
 LOG = "log AS (SELECT event_type AS mode, event_id AS query_id, value AS latency_ms, ts FROM events)"
 FOLDED = """log AS (SELECT CASE event_type WHEN 'view' THEN 'dense' WHEN 'click' THEN 'sparse'
@@ -170,6 +206,7 @@ LATENCY = """lat AS (SELECT mode, quantile_cont(latency_ms, 0.5) AS p50_ms,
 QPS = """speed AS (SELECT mode, count(*) AS n_queries,
   CASE WHEN sum(latency_ms) > 0 THEN count(*) / (sum(latency_ms) / 1000.0e0) ELSE 0.0e0 END AS qps
   FROM log GROUP BY mode)"""
+# The bounds of the latency histogram, in seconds.
 BOUNDS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0)
 
 SELF = [
@@ -193,14 +230,10 @@ ALL_MODES = [
 ]
 SUMMARY = [
     *ALL_MODES,
-    """near AS (SELECT query_id AS id, list_id, row_number() OVER (PARTITION BY query_id
-  ORDER BY score DESC, list_id) AS list_rank
-  FROM dense_all JOIN (SELECT id, row_number() OVER (PARTITION BY tenant_id
-    ORDER BY md5(id::VARCHAR)) - 1 AS list_id FROM docs) AS cents USING (id) WHERE list_id < 8),
-assigned AS (SELECT id, list_id FROM near WHERE list_rank = 1),
-approx AS (SELECT * FROM (SELECT d.query_id, d.id, row_number() OVER (PARTITION BY d.query_id
-  ORDER BY score DESC, d.id DESC) AS rank FROM dense_all d JOIN assigned a ON a.id = d.id
-  JOIN near n ON n.id = d.query_id AND n.list_id = a.list_id AND n.list_rank <= 3) WHERE rank <= 10),
+    TEXT_POINTS,
+    IVF,
+    f"""approx AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, id DESC) AS rank FROM reach WHERE list_rank <= {NEAR_TEXTS}) WHERE rank <= 10),
 reached AS (SELECT e.query_id, count(approx.id) / count(*)::DOUBLE AS recall
   FROM (SELECT query_id, id FROM dense_pre WHERE rank <= 10) e
   LEFT JOIN approx USING (query_id, id) GROUP BY e.query_id)""",
@@ -415,29 +448,36 @@ SQL = {
     )
     + " FROM judged GROUP BY tenant_id, query_id",
     "mode_summary": with_(*SUMMARY)
-    + """SELECT * REPLACE (round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms,
-  round(p99_ms, 6) AS p99_ms), 8 AS n_lists, 3 AS nprobe, 50 AS prefetch_limit, 60 AS rrf_k0,
+    + f"""SELECT * REPLACE (round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms,
+  round(p99_ms, 6) AS p99_ms), {LISTS} AS n_lists, {NEAR_TEXTS} AS nprobe, 50 AS prefetch_limit, 60 AS rrf_k0,
   (SELECT count(*) FROM docs) AS n_docs FROM summary""",
     "ivf_assign": with_(VECTORS, VECTOR_PAIRS, IVF) + "SELECT tenant_id, id, list_id FROM assigned",
     "ivf_topk": with_(
         VECTORS, VECTOR_PAIRS, IVF,
-        "dense_near AS (SELECT * EXCLUDE (list_rank) FROM reach WHERE list_rank <= 3)",
+        "dense_near AS (SELECT * EXCLUDE (list_rank) FROM reach WHERE list_rank <= 20)",
         top("hits", "dense_near", 10),
     )
     + HIT + "hits",
+    "ivf_adaptive_topk": with_(VECTORS, VECTOR_PAIRS, top("dense", "dense_all", 10)) + HIT + "dense",
+    "hybrid_ivf_topk": with_(
+        *SELF, TEXT_POINTS, IVF,
+        f"near_dense AS (SELECT * EXCLUDE (list_rank) FROM reach WHERE list_rank <= {NEAR_TEXTS})",
+        *fused(50, 10)
+    ).replace("FROM dense_all )", "FROM near_dense )").replace("SELECT dense_all.*", "SELECT near_dense.*")
+    + HIT + "hybrid",
     "ivf_all_lists": with_(VECTORS, VECTOR_PAIRS, top("dense", "dense_all", 10)) + HIT + "dense",
     "ivf_sweep_recall": with_(
         VECTORS, VECTOR_PAIRS, IVF,
         top("exact", "dense_all", 10),
         """swept AS (SELECT nprobe, query_id, id FROM (SELECT nprobe, query_id, id, row_number() OVER (
   PARTITION BY nprobe, query_id ORDER BY score DESC, id DESC) AS rank
-  FROM reach JOIN (VALUES (1), (2), (4), (8)) AS v(nprobe) ON list_rank <= nprobe)
+  FROM reach JOIN (VALUES (1), (4), (8), (20), (32)) AS v(nprobe) ON list_rank <= nprobe)
   WHERE rank <= 10)""",
         """per AS (SELECT v.nprobe, p.id AS query_id,
   (SELECT count(*) FROM swept s JOIN exact e ON e.query_id = s.query_id AND e.id = s.id
     WHERE s.nprobe = v.nprobe AND s.query_id = p.id)
   / least(10, (SELECT count(*) FROM exact e WHERE e.query_id = p.id))::DOUBLE AS r
-  FROM points p CROSS JOIN (VALUES (1), (2), (4), (8)) AS v(nprobe))""",
+  FROM points p CROSS JOIN (VALUES (1), (4), (8), (20), (32)) AS v(nprobe))""",
     )
     + """SELECT nprobe, round(avg(r), 6) AS recall_at_10, count(*) AS n_queries
   FROM per GROUP BY nprobe""",
@@ -478,7 +518,7 @@ SQL = {
   || ',"index_recall_at_10":' || coalesce(index_recall_at_10::VARCHAR, 'null')
   || ',"p50_ms":' || round(p50_ms, 6) || ',"p95_ms":' || round(p95_ms, 6)
   || ',"p99_ms":' || round(p99_ms, 6) || ',"qps":' || qps
-  || ',"n_lists":8,"nprobe":3,"prefetch_limit":50,"rrf_k0":60,"n_docs":'
+  || ',"n_lists":32,"nprobe":8,"prefetch_limit":50,"rrf_k0":60,"n_docs":'
   || (SELECT count(*) FROM docs) || '}' AS json FROM summary""",
     "generated_corpus": with_(*GENERATED)
     + """SELECT docs.id, docs.tenant_id, string_agg(word, ' ' ORDER BY h, i) AS text, docs.category,
