@@ -12,9 +12,13 @@ must meet in one shard, and most text need not meet anything:
 3. The different stretches of the other anchors are dealt to shards by anchor.
    Every shard is a suffix array by induced sorting with common prefixes
    (``suffix_sort``); a window is repeated if it shares ``size`` bytes with a
-   neighbour in suffix order. Anchors with more than ``hot`` occurrences would
-   fill a shard: their windows are counted one by one by 128-bit hash instead,
-   with partial sums, and the repeated ones sent back in bounded bundles.
+   neighbour in suffix order. The stretches of an anchor with more than ``hot``
+   occurrences would fill a shard and are dealt again: windows that hold the
+   anchor at 64 neighbouring places have a core in common, all their bytes but
+   63, and meet by it. A core that occurs once, or in equal stretches only, is
+   done; the others go to shards by their core or, still more than ``hot``, are
+   dealt by 16, 4 and 1 places. One place is the window itself, so no group is
+   ever larger.
 4. Repeated windows go back to their texts, once per different text, and the
    covered bytes are cut out.
 
@@ -43,11 +47,11 @@ from siftwell.llm.suffix_sort import repeated_windows
 
 SIZE = 200
 PIECE = 50
-#: A sorted byte takes about 150 bytes of a worker's memory, and so does one of a hot anchor.
+#: A sorted byte takes about 150 bytes of a worker's memory.
 SHARD_BYTES = 1 << 20
+#: Stretches of an anchor before it is dealt again, by so many places of it at once.
 HOT = 4_000
-#: Repeated windows of hot anchors that a worker holds at once (16 bytes each).
-BUNDLE = 2_000_000
+CELLS = (64, 16, 4, 1)
 #: Repeated windows of a stretch.
 RUNS = "array<struct<first: bigint, n: bigint>>"
 _CHUNK = 1 << 19
@@ -228,79 +232,99 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sharded(cuts: DataFrame, shards: int, size: int) -> DataFrame:
-    """Repeated windows of the stretches by shard: ``anchor, stretch, runs``."""
+    """Repeated windows of the stretches by shard: ``whole, anchor, stretch, runs``."""
 
     def sort(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["anchor", "stretch"])
+        frame = frame.drop_duplicates(["whole", "anchor", "stretch"])
         found = repeated_windows(frame["bytes"].tolist(), size)
         rows = []
-        for anchor, stretch, times, flags in zip(frame["anchor"], frame["stretch"], frame["times"], found):
+        names = zip(frame["whole"], frame["anchor"], frame["stretch"], frame["times"], found)
+        for whole, anchor, stretch, times, flags in names:
             flags = np.ones(len(flags), bool) if times > 1 else flags
             if flags.any():
-                rows.append((anchor, stretch, [{"first": a, "n": n} for a, n in _ranges(flags)]))
-        return pd.DataFrame(rows, columns=["anchor", "stretch", "runs"])
+                rows.append((whole, anchor, stretch, [{"first": a, "n": n} for a, n in _ranges(flags)]))
+        return pd.DataFrame(rows, columns=["whole", "anchor", "stretch", "runs"])
 
     dealt = cuts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(sort, f"anchor bigint, stretch bigint, runs {RUNS}")
+    return dealt.groupBy("shard").applyInPandas(sort, f"whole boolean, anchor bigint, stretch bigint, runs {RUNS}")
 
 
-def window_hashes(data: bytes, size: int) -> np.ndarray:
-    """128-bit hashes of all windows, as two columns."""
-    part = np.frombuffer(data, np.uint8)
-    at = np.arange(len(part) - size + 1)
-    return np.stack([r.slices(r.sums(part), at, at + size) for r in rollers()[1:]], axis=1)
+def anchor_place(data: bytes, size: int, piece: int) -> int:
+    """Where the anchor of a stretch stands in its bytes."""
+    part = np.frombuffer(data[:size], np.uint8)
+    first = rollers()[0]
+    at = np.arange(size - piece + 1)
+    hashes = first.slices(first.sums(part), at, at + piece)
+    return int((hashes >> np.uint64(_PLACE_BITS)).argmin())
 
 
-def counted(cuts: DataFrame, size: int, folder: str, bundle: int = BUNDLE) -> DataFrame:
-    """The same for stretches of hot anchors, by counting the hashes of their windows.
+def cells_of(data: bytes, place: int, cell: int, size: int) -> list[tuple[int, int, int, bytes]]:
+    """A stretch by the cells of its anchor's place: cell, first window, windows, core.
 
-    The windows that occur twice or more are few next to their occurrences.
-    They go to the stretches in bundles of at most about ``bundle``, a pass each.
+    Window ``i`` holds the anchor at ``place - i``; the core is what all windows
+    of a cell have in common, whichever of them the stretch has.
     """
-    spark = cuts.sparkSession
-    cuts = written(cuts.drop("total").dropDuplicates(["anchor", "stretch"]), folder, "hot")
+    n, out = len(data) - size + 1, []
+    for c in range((place - n + 1) // cell, place // cell + 1):
+        low, high = c * cell, c * cell + cell - 1
+        first, last = max(0, place - high), min(n - 1, place - low)
+        out.append((c, first, last - first + 1, data[place - low : place - high + size]))
+    return out
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [window_hashes(x.as_py(), size) for x in batch.column(1)]
-            times = np.repeat(batch.column(0).to_numpy(), [len(h) for h in hashes])
-            h = np.concatenate(hashes).view(np.int64) if hashes else np.empty((0, 2), np.int64)
-            yield _arrow({"h1": h[:, 0].copy(), "h2": h[:, 1].copy(), "times": times})
-
-    windows = cuts.select("times", "bytes").mapInArrow(explode, "h1 bigint, h2 bigint, times bigint")
-    often = windows.groupBy("h1", "h2").agg(F.sum("times").alias("total")).where("total > 1")
-    often = written(often.select("h1", "h2"), folder, "often")
-    bundles = max(1, -(-often.count() // bundle))
-    results = []
-    for i in range(bundles):
-        rows = often.where(F.pmod(F.xxhash64("h1"), F.lit(bundles)) == i).toArrow()
-        # Pairs as 16 bytes: sorted, they are looked up by bisection.
-        pairs = np.stack([rows["h1"].to_numpy(), rows["h2"].to_numpy()], axis=1).astype(">i8")
-        shared = spark.sparkContext.broadcast(np.sort(pairs.view("S16").ravel()))
-        results.append(cuts.select("anchor", "stretch", "bytes").mapInArrow(_found(shared, size), f"anchor bigint, stretch bigint, runs {RUNS}"))
-    return reduce(DataFrame.union, results)
-
-
-def _found(shared, size: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            rows, runs = [], []
-            for i, data in enumerate(batch.column(2)):
-                h = np.ascontiguousarray(window_hashes(data.as_py(), size).view(np.int64).astype(">i8")).view("S16").ravel()
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                flags = known[at] == h if len(known) else np.zeros(len(h), bool)
-                if flags.any():
-                    rows.append(i)
-                    runs.append([{"first": a, "n": n} for a, n in _ranges(flags)])
-            keep = pa.array(rows, pa.int64())
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(runs, kind)],
-                ["anchor", "stretch", "runs"],
-            )
 
-    return find
+_ROOT = "root bigint, branch bigint, at bigint, n bigint, key bigint, part bigint, times bigint, place bigint, bytes binary"
+
+
+def in_cells(hot: DataFrame, cell: int, size: int, piece: int) -> DataFrame:
+    """The stretches of hot anchors cut by cells; ``root, branch`` is the stretch, ``at`` the first window in it."""
+    names = [c.split()[0] for c in _ROOT.split(", ")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x in batch.to_pylist():
+                data, place = x["bytes"], x["place"]
+                place = anchor_place(data, size, piece) if place < 0 else place
+                for c, first, n, core in cells_of(data, place, cell, size):
+                    mine = data[first : first + n + size - 1]
+                    key = xxhash.xxh3_64_intdigest(b"%d,%d," % (x["key"], c) + core)
+                    part = xxhash.xxh3_64_intdigest(b"%d,%d," % (place - first, n) + mine)
+                    rows.append((x["root"], x["branch"], x["at"] + first, n, key, part, x["times"], place - first, mine))
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            for k in (4, 5):
+                columns[k] = np.array(columns[k], np.uint64).view(np.int64)
+            arrays = [pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return hot.mapInArrow(deal, _ROOT)
+
+
+def dealt_again(hot: DataFrame, limit: int, size: int, piece: int, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What becomes of the stretches of hot anchors.
+
+    ``anchor, stretch, times, bytes`` for the shards; where those parts come
+    from (``key, part, anchor, stretch, at``); and runs that are known already.
+    """
+    rows = hot.select(
+        F.col("anchor").alias("root"), F.col("stretch").alias("branch"), F.lit(0).cast("bigint").alias("at"),
+        F.col("anchor").alias("key"), "times", F.lit(-1).cast("bigint").alias("place"), "bytes",
+    )
+    parts, origins, known = [], [], []
+    for level, cell in enumerate(CELLS):
+        cut = written(in_cells(rows, cell, size, piece), folder, f"cells-{level}")
+        totals = cut.groupBy("key").agg(F.sum("times").alias("total"), (F.min("part") == F.max("part")).alias("alike"))
+        met = cut.join(totals.where("total > 1"), "key")
+        run = F.array(F.struct(F.col("at").alias("first"), F.col("n").alias("n")))
+        known.append(met.where("alike").select(F.col("root").alias("anchor"), F.col("branch").alias("stretch"), run.alias("runs")))
+        open_ = met.where("NOT alike")
+        small = open_.where(F.col("total") <= limit)
+        alike = small.groupBy(F.col("key").alias("anchor"), F.col("part").alias("stretch"))
+        parts.append(alike.agg(F.sum("times").alias("times"), F.min("bytes").alias("bytes")))
+        origins.append(small.select("key", "part", F.col("root").alias("anchor"), F.col("branch").alias("stretch"), "at"))
+        if cell == 1 or open_.where(F.col("total") > limit).isEmpty():
+            break
+        rows = open_.where(F.col("total") > limit).select("root", "branch", "at", "key", "times", "place", "bytes")
+    return tuple(reduce(DataFrame.unionByName, x) for x in (parts, origins, known))
 
 
 def removed(covers: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
@@ -343,9 +367,21 @@ def remove_repeats(
     )
     picked = picked.select("anchor", "stretch", "total", "times", "p.*")
     cuts = written(cut_out(packed(docs, once=True), picked, size), folder, "cuts")
-    cold, burning = cuts.where(F.col("total") <= hot), cuts.where(F.col("total") > hot)
-    amount = cold.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
-    windows = sharded(cold, max(1, -(-amount // shard_bytes)), size).unionByName(counted(burning, size, folder))
+    columns = ["anchor", "stretch", "times", "bytes"]
+    cold = cuts.where(F.col("total") <= hot).select(*columns)
+    # Copies that were read apart have cut a stretch more than once.
+    burning = cuts.where(F.col("total") > hot).dropDuplicates(["anchor", "stretch"])
+    parts, origins, known = dealt_again(burning, hot, size, piece, folder)
+    parts = written(parts, folder, "parts")
+    amount = cold.unionByName(parts).agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    shards = max(1, -(-amount // shard_bytes))
+    # Parts are told from whole stretches by a mark, their keys being hashes of other things.
+    found = written(sharded(cold.withColumn("whole", F.lit(True)).unionByName(parts.withColumn("whole", F.lit(False))), shards, size), folder, "runs")
+    moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("at")).alias("first"), r["n"].alias("n")))
+    of_parts = found.where("NOT whole").select(F.col("anchor").alias("key"), F.col("stretch").alias("part"), "runs")
+    of_parts = origins.join(of_parts, ["key", "part"]).select("anchor", "stretch", moved.alias("runs"))
+    of_hot = known.unionByName(of_parts).groupBy("anchor", "stretch").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    windows = found.where("whole").drop("whole").unionByName(of_hot)
     back = mixed.join(windows, ["anchor", "stretch"]).select("d1", "d2", "start", "runs")
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("first"), F.col("count").alias("n")))
     covers = met.where("alike").select("d1", "d2", "start", whole.alias("runs")).unionByName(back)
