@@ -3,12 +3,14 @@
 One pass over the texts keeps, per document, its number of words, which licence
 words it has and, only where a licence could stand at all, its words. Document
 frequencies of the licence words (a fixed vocabulary) come from all documents.
-Then, per document and template of which it has ``share`` of the words:
-
-1. the ``RARE`` licence words of highest IDF that both have are looked up in the
-   template's postings; every occurrence p of a word that the template has at q
-   proposes the start ``p - q``;
-2. starts that two or more words propose are compared word by word;
+Then, per document and template whose key phrase has all its words in it:
+
+1. with at most ``m`` of the template's words out of place, any ``m + 2`` of its
+   places have two words that stand; the ``m + 2`` places with the words of
+   highest IDF are looked up. Every occurrence p of such a word, which the
+   template has at q, proposes the start ``p - q``;
+2. starts that two places propose are compared word by word, so no start is
+   lost, whatever else the document holds;
 3. a start counts if ``share`` of the template's words stand in place and so
    does every word of its key phrase.
 
@@ -32,7 +34,6 @@ from siftwell.llm.shared import shared_folder, table, text_or_empty, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RARE = 4
 #: Share of a template's words that must stand in place, in percent.
 SHARE = 80
 
@@ -81,6 +82,92 @@ TEMPLATES = (
     Template("mit-notice", "mit", "released under the mit license", "the mit license"),
     Template("mpl-2.0", "mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     Template("unlicense", "unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    # Whole texts, without titles and names of holders.
+    Template("mit-text", "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+        "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do "
+        "so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the software the software is provided as is without warranty of any kind express or implied including "
+        "but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the "
+        "authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or "
+        "otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "to deal in the software without restriction"),
+    Template("bsd-2-clause-text", "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the "
+        "copyright holders and contributors as is and any express or implied warranties including but not limited to the implied "
+        "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or "
+        "contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
+        "to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any "
+        "theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the "
+        "use of this software even if advised of the possibility of such damage",
+        "with the distribution this software is provided by"),
+    Template("bsd-3-clause-text", "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission this software is provided by the copyright holders and contributors "
+        "as is and any express or implied warranties",
+        "endorse or promote products derived from this software"),
+    Template("isc-text", "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author "
+        "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no "
+        "event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting "
+        "from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+        "connection with the use or performance of this software",
+        "this permission notice appear in all copies"),
+    Template("0bsd-text", "0bsd",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software "
+        "is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or "
+        "any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious "
+        "action arising out of or in connection with the use or performance of this software",
+        "is hereby granted the software is provided as is"),
+    Template("zlib-text", "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any "
+        "damages arising from the use of this software permission is granted to anyone to use this software for any purpose including "
+        "commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this "
+        "software must not be misrepresented you must not claim that you wrote the original software if you use this software in a "
+        "product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must "
+        "be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or "
+        "altered from any source distribution",
+        "the origin of this software must not be misrepresented"),
+    Template("unlicense-text", "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by "
+        "any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain we make this dedication for the benefit of the public at large and to the "
+        "detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all "
+        "present and future rights to this software under copyright law",
+        "dedicate any and all copyright interest in the software to the public domain"),
+    Template("boost-text", "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to "
+        "prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to "
+        "the following the copyright notices in the software and this entire statement including the above license grant this "
+        "restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative "
+        "works of the software unless such copies or derivative works are solely in the form of machine executable object code generated "
+        "by a source language processor",
+        "machine executable object code generated by a source language processor"),
+    Template("apache-notice", "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+        "obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in "
+        "writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "for the specific language governing permissions and limitations under the license"),
+    Template("gpl-notice", "gpl-or-later",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 3 of the license or at your option any later version this program is "
+        "distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
+        "fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu "
+        "general public license along with this program",
+        "at your option any later version this program is distributed"),
+    Template("mpl-notice", "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with "
+        "this file you can obtain one at http mozilla org mpl 2 0",
+        "if a copy of the mpl was not distributed with this file"),
 )
 
 
@@ -92,7 +179,7 @@ def vocabulary(templates, base) -> list[str]:
     return sorted({w for t in templates for w in t.words} | {w for p in base for w in p.split()})
 
 
-def scanned(docs: DataFrame, templates, base, share: int, id_column: str, text_column: str) -> DataFrame:
+def scanned(docs: DataFrame, templates, base, id_column: str, text_column: str) -> DataFrame:
     """``id, n_words, present, words``: ``words`` is null where nothing can match."""
     lowered = F.translate(text_or_empty(text_column), UPPER, LOWER)
     split = docs.select(
@@ -100,9 +187,7 @@ def scanned(docs: DataFrame, templates, base, share: int, id_column: str, text_c
     )
     known = split.select("*", F.array_intersect("words", strings(vocabulary(templates, base))).alias("present"))
     possible = F.lit(False)
-    for t in templates:
-        possible = possible | (_in_place(t) >= t.need(share))
-    for phrase in base:
+    for phrase in sorted({*base, *(t.key_phrase for t in templates)}):
         possible = possible | _has_all(phrase.split())
     return known.select(
         "id",
@@ -112,11 +197,6 @@ def scanned(docs: DataFrame, templates, base, share: int, id_column: str, text_c
     )
 
 
-def _in_place(t: Template) -> Column:
-    """Words of the template, with repeats, that the document has anywhere."""
-    return F.size(F.filter(strings(t.words), lambda w: F.array_contains("present", w)))
-
-
 def _has_all(words: list[str]) -> Column:
     return F.size(F.array_except(strings(sorted(set(words))), "present")) == 0
 
@@ -140,34 +220,40 @@ def _places(phrase: list[str]) -> Column:
     return F.when(F.col("words").isNotNull() & _has_all(phrase), found).otherwise(none)
 
 
-def _starts(t: Template, by_idf: list[str], share: int) -> Column:
-    """Starts of the template that two of the rare words propose, sorted, with repeats."""
-    rare = F.slice(F.filter(strings(by_idf), lambda w: F.array_contains("present", w)), 1, RARE)
-    postings = F.array(
-        *(F.struct(F.lit(w).alias("w"), F.lit(q).alias("q")) for q, w in enumerate(t.words))
-    )
-    mine = F.filter(postings, lambda x: F.array_contains(rare, x["w"]))
+def looked_up(t: Template, frequency: dict[str, int], share: int) -> tuple[list[tuple[str, int]], int]:
+    """The places to look up, rarest words first, and how many of them a start must have."""
+    misses = len(t.words) - t.need(share)
+    by_idf = sorted(range(len(t.words)), key=lambda q: (frequency.get(t.words[q], 0), t.words[q], q))
+    chosen = by_idf[: misses + 2]
+    return [(t.words[q], q) for q in chosen], len(chosen) - misses
+
+
+def _starts(t: Template, frequency: dict[str, int], share: int) -> Column:
+    """Starts of the template that enough of the looked up places propose."""
+    places, agree = looked_up(t, frequency, share)
+    rare = strings(sorted({w for w, _ in places}))
+    postings = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(q).alias("q")) for w, q in places))
 
     def proposals(i: Column) -> Column:
-        return F.transform(F.filter(mine, lambda x: x["w"] == _at(i)), lambda x: i - x["q"])
+        return F.transform(F.filter(postings, lambda x: x["w"] == _at(i)), lambda x: i - x["q"])
 
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(rare, _at(i)))
-    possible = F.col("words").isNotNull() & (_in_place(t) >= t.need(share))
-    return F.when(possible, F.sort_array(F.flatten(F.transform(at, proposals))))
+    starts = F.sort_array(F.flatten(F.transform(at, proposals)))
+    return F.when(F.col("words").isNotNull() & _has_all(t.key_phrase.split()), starts if agree > 1 else F.array_distinct(starts))
 
 
-def _best(t: Template, starts: Column, share: int) -> Column:
+def _best(t: Template, starts: Column, frequency: dict[str, int], share: int) -> Column:
     """Largest share of words in place over the starts that count; null without one."""
-    agreed = F.array_distinct(
-        F.filter(starts, lambda x, i: (i > 0) & (starts[F.greatest(i - 1, F.lit(0))] == x))
-    )
+    words = strings(t.words)
+    agreed = starts
+    if looked_up(t, frequency, share)[1] > 1:
+        twice = F.filter(starts, lambda x, i: (i > 0) & (starts[F.greatest(i - 1, F.lit(0))] == x))
+        agreed = F.array_distinct(twice)
 
     def hits(s: Column, low: int, high: int) -> Column:
-        total = F.lit(0)
-        for j in range(low, high):
-            # A start may lie before the document; there is no word at a negative place.
-            total = total + F.coalesce(((s + j >= 0) & (_at(s + j) == t.words[j])).cast("int"), F.lit(0))
-        return total
+        # A start may lie before the document; there is no word at a negative place.
+        stands = lambda j: (s + j >= 0) & F.coalesce(_at(s + j) == F.get(words, j), F.lit(False))
+        return F.size(F.filter(F.sequence(F.lit(low), F.lit(high - 1)), stands))
 
     low, high = t.key
     scored = F.transform(
@@ -188,14 +274,13 @@ def scan_licenses(
 ) -> DataFrame:
     """``id, n_words, n_base, first_word, last_word, base_labels, labels, score, templates``."""
     folder = shared_folder(docs.sparkSession)
-    known = written(scanned(docs, templates, base, share, id_column, text_column), folder, "scanned")
+    known = written(scanned(docs, templates, base, id_column, text_column), folder, "scanned")
     counts = known.select(F.explode("present").alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counts.collect()}  # at most the vocabulary
 
     columns = {f"places_{i}": _places(p.split()) for i, p in enumerate(base)}
     for t in templates:
-        by_idf = sorted(set(t.words), key=lambda w: (frequency.get(w, 0), w))
-        columns[f"starts_{t.name}"] = _starts(t, by_idf, share)
+        columns[f"starts_{t.name}"] = _starts(t, frequency, share)
     found = known.select("*", *(c.alias(k) for k, c in columns.items()))
     judged = found.select(
         "id",
@@ -209,7 +294,7 @@ def scan_licenses(
                 *(
                     F.struct(F.lit(t.name).alias("name"), F.lit(t.label).alias("label"), best.alias("score"))
                     for t in templates
-                    for best in [_best(t, F.col(f"`starts_{t.name}`"), share)]
+                    for best in [_best(t, F.col(f"`starts_{t.name}`"), frequency, share)]
                 )
             )
         ).alias("tried"),
@@ -256,25 +341,9 @@ with tp(t, q, word) as (values
   from documents
 ), k as (
   select r, i - 1 as p, ws[i] as word from (select r, ws, unnest(range(1, len(ws) + 1)) as i from w)
-), pres as (
-  select distinct r, word from k where word in (select word from tp)
-), df as (
-  select word, count(*) as df from pres group by word
-), gate as (
-  select r, t from pres join tp using (word) join tl using (t) group by r, t, need having count(*) >= need
-), rare as (
-  select r, t, word from (
-    select r, t, word, row_number() over (partition by r, t order by df, word) as rn
-    from gate join (select distinct t, word from tp) using (t) join pres using (r, word) join df using (word))
-  where rn <= {RARE}
-), starts as (
-  select r, t, p - q as s from rare join tp using (t, word) join k using (r, word)
-  group by r, t, s having count(*) >= 2
 ), hits as (
-  select starts.r, starts.t, s, count(*) as hits, count(*) filter (where q >= low and q < high) as key_hits
-  from starts join tp using (t) join tl using (t)
-    join k on k.r = starts.r and k.p = s + q and k.word = tp.word
-  group by starts.r, starts.t, s
+  select r, t, p - q as s, count(*) as hits, count(*) filter (where q >= low and q < high) as key_hits
+  from k join tp using (word) join tl using (t) group by r, t, s
 ), best as (
   select r, label, max(hits / n::double) as score from hits join tl using (t)
   where hits >= need and key_hits = high - low group by r, label
