@@ -12,7 +12,8 @@ Running sums over a large source or over all offers would put it into one
 task. Both are made in two steps instead: sums per (source, hash range) and per
 range of finish time, running totals over these sums, and the running sum
 inside a range. The ranges follow the number of documents, so a task stays
-about ``RANGE`` rows.
+about ``RANGE`` rows. Only the sums pass through one task: one row per source,
+and one per range of finish time.
 
 Null text has size 0; documents of size 0 take 0 words. The null source is a
 source of its own and the last. Rows equal in id, source and size are alike and
@@ -111,23 +112,21 @@ def shares(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFr
     offer = queued.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
     finish = (F.col("epoch") * F.col("source_size") + F.col("running")) / F.col("target")
     offers = offer.select("id", "source", "size", "rows", "epoch", finish.alias("finish"))
-    # The budget is reached near time 1; offers after time 2 share one open slot.
+    # The budget is reached near time 1. Only sums by range of finish time are ordered (one row
+    # for thousands of offers); the range that crosses the budget is then known to the plan.
     slices = ranges * max_epochs
-    offers = offers.withColumn(
-        "slot", F.least(F.floor(F.col("finish") * slices), F.lit(2 * slices)).cast("bigint")
-    )
+    slot = F.least(F.floor(F.col("finish") * slices), F.lit(2 * slices)).cast("bigint")
+    offers = offers.withColumn("slot", slot)
     sums = offers.groupBy("slot").agg(F.sum(words).alias("words"))
     before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("slot", "words", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    # Slots that end within the budget are taken whole; the one that crosses it is cut by its own order.
-    slots = sums.where(F.col("base") < budget)
-    held = offers.join(slots.withColumnRenamed("words", "slot_words"), "slot")
+    edge = sums.where(F.col("base") + F.col("words") > budget).orderBy("slot").first()
+    # Ranges before it are taken whole, those after it not at all: neither is sorted or moved.
+    whole = offers.where(F.col("slot") < edge["slot"] if edge else F.lit(True)).withColumn("n", F.col("rows"))
     order = Window.partitionBy("slot").orderBy("finish", F.col("source").isNull(), "source", "id", "size", "epoch")
     order = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = held.where(F.col("base") + F.col("slot_words") <= budget).withColumn("n", F.col("rows"))
-    crossing = held.where(F.col("base") + F.col("slot_words") > budget)
-    room = F.lit(budget) - F.col("base") - (F.sum(words).over(order) - words)
-    crossing = crossing.withColumn(
+    room = F.lit(budget - edge["base"] if edge else 0) - (F.sum(words).over(order) - words)
+    crossing = offers.where(F.col("slot") == edge["slot"] if edge else F.lit(False)).withColumn(
         "n", F.greatest(F.lit(0), F.least(F.col("rows"), F.floor(room / F.col("size"))))
     )
     copies = whole.unionByName(crossing).groupBy("id", "source", "size").agg(F.sum("n").alias("n"))
