@@ -343,6 +343,13 @@ BUCKET = (
 )
 
 SQL = {
+    "text_vocabulary": """SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INTEGER AS place, word
+  FROM (SELECT conv_id * 1000 + turn AS query_id, unnest(string_split(text, ' ')) AS word,
+    generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations) WHERE word <> ''""",
+    "named_embedders": with_(*BASE)
+    + """SELECT id, embedder, dim, count(idx)::INTEGER AS n_terms
+  FROM docs CROSS JOIN (VALUES ('Hash', 16), ('BM25', 16), ('MODEL', 2)) AS e(embedder, dim) LEFT JOIN dn USING (id)
+  GROUP BY id, embedder, dim""",
     "tokenize_terms": with_(*BASE) + "SELECT id, term, tf FROM dt",
     "hash_sparse_postings": with_(*BASE) + "SELECT id, idx, round(1.0e0 + ln(n), 6) AS w FROM dn",
     "hash_dense_components": with_(DOCS, DOC_TERMS[0], slots("dv", "dt", "id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks import tables as t
 from siftwell.functions.numbers import round_exact
+from siftwell.functions.text import vocabulary
 from siftwell.operators import ann, embed, filters, idf as idf_ops, inverted, metrics, prefix
 from siftwell.operators.ranking import clamp_limit, exact_topk
 from siftwell.plans import evaluate, report
@@ -42,6 +43,22 @@ def hits(df: DataFrame) -> DataFrame:
 # --- text and embeddings -------------------------------------------------
 
 
+def text_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every conversation turn taken as a vocabulary line, in order."""
+    words = vocabulary(F.col("text"))
+    return t.plain_turns(spark, sf).select("query_id", F.posexplode(words).alias("place", "word"))
+
+
+def named_embedders(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the vectors that each embedder, chosen by name, makes of the documents."""
+    documents, made = t.documents(spark, sf), []
+    for name in ("Hash", "BM25", "MODEL"):
+        embedder = embed.build_embedder(name, lambda: lambda texts: [[len(x), 1.0] for x in texts], dim=16)
+        sizes = F.size("dense").alias("dim"), F.size("sparse.indices").alias("n_terms")
+        made.append(embedder(documents).select("id", F.lit(name).alias("embedder"), *sizes))
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
     return embed.term_frequencies(t.documents(spark, sf), "id")
 
@@ -125,7 +142,7 @@ def sparse_topk_tenant_idf(spark, sf):
 def bm25_topk(spark, sf):
     points = embed.embed_bm25(t.documents(spark, sf))
     asked = embed.embed_query_terms(t.plain_turns(spark, sf))
-    return hits(search(points, asked, "sparse", idf=text_idf(spark, sf)))
+    return hits(search(points, asked, "sparse"))
 
 
 def stored_index(spark, sf):
@@ -247,9 +264,9 @@ def nth_document_by_time(spark, sf):
 
 
 def all_modes(spark, sf):
-    points = embed.embed_hashed(t.documents(spark, sf))
-    asked = embed.embed_hashed(t.document_queries(spark, sf))
-    return search_modes(points, asked, idf=text_idf(spark, sf))
+    points = collection.stored(embed.embed_hashed(t.documents(spark, sf)).drop("text"))
+    asked = points.select(F.col("id").alias("query_id"), "tenant_id", "category", "dense", "sparse")
+    return search_modes(points, asked)
 
 
 def relevant_sets(spark, sf):
@@ -288,14 +305,13 @@ def benchmark_log(spark, sf):
 
 def summary(spark, sf):
     """All modes; index recall is that of inverted lists at the breadth of the settings."""
-    points = collection.stored(embed.embed_hashed(t.documents(spark, sf)))
-    asked = collection.stored(embed.embed_hashed(t.document_queries(spark, sf)))
+    points = collection.stored(embed.embed_hashed(t.documents(spark, sf)).drop("text"))
+    asked = points.select(F.col("id").alias("query_id"), "tenant_id", "category", "dense", "sparse")
     centroids = collection.stored(ann.train_centroids(points, SETTINGS["n_lists"]))
     return run_benchmark(
         points,
         asked,
         benchmark_log(spark, sf),
-        idf=text_idf(spark, sf),
         approximate=ann.ivf_search(points, asked, centroids, SETTINGS["nprobe"], 10),
         settings=SETTINGS,
     )
@@ -578,7 +594,7 @@ def checked_dims(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_terms, hash_sparse_postings, hash_dense_components, hash_dense_vectors,
+        text_vocabulary, named_embedders, tokenize_terms, hash_sparse_postings, hash_dense_components, hash_dense_vectors,
         idf_stats, idf_stats_by_tenant, bm25_weights, model_embed_hook,
         dense_exact_topk, dense_exact_topk_text, sparse_topk, sparse_topk_tenant_idf, bm25_topk,
         sparse_index_topk, sparse_index_filtered, index_term_maxima,

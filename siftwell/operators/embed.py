@@ -29,6 +29,7 @@ from siftwell.functions.text import (
     tokenize,
 )
 from siftwell.schema import DENSE_DIM, require_columns
+from siftwell.sources.collection import stored
 
 _TOKENS = re.compile(TOKEN_PATTERN)
 _TEXT_BYTES_PER_STEP = 8 << 20
@@ -134,15 +135,17 @@ def embed_bm25(df: DataFrame, k1: float = 1.2, b: float = 0.75, corpus: DataFram
     """Add ``sparse`` with Okapi BM25 document weights (before IDF).
 
     Average length comes from ``corpus`` (default: the table itself) as a
-    scalar subquery, so nothing is collected.
+    scalar subquery, so nothing is collected. Without ``corpus`` the counts are
+    stored once, and both the average and the weights are read from them.
     """
     require_columns(df, "text")
-    lengths = (corpus if corpus is not None else df).select(
-        F.avg(F.size(tokenize(F.col("text"))).cast("double"))
-    )
-    out = df.withColumn("_f", hash_features(F.col("text"), dense=False)).withColumn(
-        "_ratio", F.col("_f.n_tokens") / lengths.scalar()
-    )
+    out = df.withColumn("_f", hash_features(F.col("text"), dense=False))
+    if corpus is None:
+        out = stored(out)
+        lengths = out.select(F.avg(F.col("_f.n_tokens").cast("double")))
+    else:
+        lengths = corpus.select(F.avg(F.size(tokenize(F.col("text"))).cast("double")))
+    out = out.withColumn("_ratio", F.col("_f.n_tokens") / lengths.scalar())
     saturation = k1 * (1 - b + b * F.col("_ratio"))
     out = out.withColumn("_sat", saturation).withColumn(
         "sparse",

@@ -286,3 +286,34 @@ def test_seeds_have_vectors_and_are_distinct(spark):
     found = ann.ivf_search(with_vector, asked, ann.seed_centroids(points, 8), nprobe=8, limit=6)
     exact = exact_topk(with_vector, asked, 6)
     assert [r.id for r in found.orderBy("rank").collect()] == [r.id for r in exact.where("mode = 'dense'").orderBy("rank").collect()]
+
+
+def test_null_groups_are_relevant_sets(spark):
+    rows = [(1, "a", "x"), (2, "a", None), (3, None, "x"), (4, "a", None)]
+    docs = spark.createDataFrame(rows, "id bigint, tenant_id string, category string")
+    got = {r.id: r.n_relevant for r in evaluate.relevant_sets(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+@pytest.mark.parametrize("margin", [None, 0.0])
+def test_percentiles_of_open_brackets(spark, monkeypatch, margin):
+    """Fractions at the ends, infinities, and brackets that fail their proof."""
+    from siftwell.operators import percentiles
+
+    if margin is not None:
+        monkeypatch.setattr(percentiles, "_MARGIN", margin)
+    draw = numpy.random.default_rng(4)
+    values = {"plain": draw.normal(size=3000), "ties": numpy.repeat([1.0, 2.0, 7.0], 700)}
+    values["wide"] = numpy.r_[draw.normal(size=500), [-numpy.inf] * 3, [numpy.inf] * 4]
+    rows = [(k, float(x)) for k, v in values.items() for x in v]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    fractions = [0.0, 0.0001, 0.25, 0.5, 0.9999, 1.0]
+    got = {(r.k, r.fraction): r.value for r in percentiles.exact_percentiles(df, "k", "v", fractions).collect()}
+    for k, v in values.items():
+        with numpy.errstate(invalid="ignore"):
+            want = numpy.sort(v)
+        for f in fractions:
+            at = f * (len(v) - 1)
+            low, high = want[int(numpy.floor(at))], want[int(numpy.ceil(at))]
+            exact = low if low == high else low + (high - low) * (at - numpy.floor(at))
+            assert got[k, f] == pytest.approx(exact) or numpy.isinf(exact) and got[k, f] == exact
