@@ -149,43 +149,63 @@ VECTOR_PAIRS = """dense_all AS (SELECT q.tenant_id, q.id AS query_id, d.id,
 LISTS, ROUNDS, NEAR_VECTORS, NEAR_TEXTS = 32, 4, 20, 8
 
 
-def trained() -> list[str]:
-    """Rounds of Lloyd's algorithm over points(tenant_id, id, dense); the result is ``cents``."""
-    norm = "sqrt(list_inner_product({0}, {0}))"
-    parts = [
-        f"""units AS MATERIALIZED (SELECT tenant_id, id, row_number() OVER (PARTITION BY tenant_id
-  ORDER BY md5(id::VARCHAR)) - 1 AS place, list_transform(dense,
-  lambda x: x / coalesce(nullif({norm.format('dense')}, 0), 1)) AS unit FROM points),
-c0 AS MATERIALIZED (SELECT tenant_id, place AS list_id, unit AS dense FROM units WHERE place < {LISTS})"""
-    ]
+NORM = "sqrt(list_inner_product({0}, {0}))"
+COSINE = f"list_inner_product(unit, dense) / coalesce(nullif({NORM.format('dense')}, 0), 1)"
+CLOSENESS = "list_inner_product(unit, dense) - (list_inner_product(unit, unit) + list_inner_product(dense, dense)) / 2"
+
+
+def lloyd(name: str, units: str, key: str, lists: int, nearness: str) -> list[str]:
+    """Rounds of Lloyd's algorithm over ``units`` (key, id, place, unit); ``name`` has key, list_id, dense."""
+    c = [f"{name}_c{r}" for r in range(ROUNDS)] + [name]
+    parts = [f"{c[0]} AS MATERIALIZED (SELECT {key}, place AS list_id, unit AS dense FROM {units} WHERE place < {lists})"]
     for r in range(1, ROUNDS + 1):
+        n, m = f"{name}_n{r}", f"{name}_m{r}"
         parts.append(
-            f"""n{r} AS MATERIALIZED (SELECT tenant_id, id, place, unit, list_id, sim FROM (
-  SELECT u.*, list_id, round(list_inner_product(unit, dense)
-    / coalesce(nullif({norm.format('dense')}, 0), 1), 9) AS sim
-  FROM units u JOIN c{r - 1} USING (tenant_id))
-  QUALIFY row_number() OVER (PARTITION BY tenant_id, id ORDER BY sim DESC, list_id) = 1),
-m{r} AS MATERIALIZED (SELECT tenant_id, list_id, list(floor(v * 16777216 + 0.5e0) / 16777216 ORDER BY i) AS dense
-  FROM (SELECT tenant_id, list_id, i, sum(v) / count(*) AS v FROM (SELECT tenant_id, list_id, unnest(unit) AS v,
-    generate_subscripts(unit, 1) AS i FROM n{r}) GROUP BY ALL) GROUP BY tenant_id, list_id),
-c{r} AS MATERIALIZED (SELECT * FROM m{r} UNION ALL SELECT tenant_id, list_id, unit FROM (
-    SELECT tenant_id, list_id, row_number() OVER (PARTITION BY tenant_id ORDER BY list_id) AS k
-    FROM c{r - 1} ANTI JOIN m{r} USING (tenant_id, list_id))
-  JOIN (SELECT tenant_id, unit, row_number() OVER (PARTITION BY tenant_id ORDER BY sim, place) AS k FROM n{r})
-  USING (tenant_id, k))"""
+            f"""{n} AS MATERIALIZED (SELECT {key}, id, place, unit, list_id, sim FROM (
+  SELECT u.*, list_id, round({nearness}, 9) AS sim FROM {units} u JOIN {c[r - 1]} USING ({key}))
+  QUALIFY row_number() OVER (PARTITION BY {key}, id ORDER BY sim DESC, list_id) = 1),
+{m} AS MATERIALIZED (SELECT {key}, list_id, list(floor(v * 16777216 + 0.5e0) / 16777216 ORDER BY i) AS dense
+  FROM (SELECT {key}, list_id, i, sum(v) / count(*) AS v FROM (SELECT {key}, list_id, unnest(unit) AS v,
+    generate_subscripts(unit, 1) AS i FROM {n}) GROUP BY ALL) GROUP BY {key}, list_id),
+{c[r]} AS MATERIALIZED (SELECT * FROM {m} UNION ALL SELECT {key}, list_id, unit FROM (
+    SELECT {key}, list_id, row_number() OVER (PARTITION BY {key} ORDER BY list_id) AS k
+    FROM {c[r - 1]} ANTI JOIN {m} USING ({key}, list_id))
+  JOIN (SELECT {key}, unit, row_number() OVER (PARTITION BY {key} ORDER BY sim, place) AS k FROM {n})
+  USING ({key}, k))"""
         )
-    parts.append(f"""cents AS (SELECT * FROM c{ROUNDS}),
-near AS MATERIALIZED (SELECT p.tenant_id, p.id, list_id, row_number() OVER (PARTITION BY p.id
-  ORDER BY round(list_inner_product(p.dense, c.dense) / (coalesce(nullif({norm.format('p.dense')}, 0), 1)
-  * coalesce(nullif({norm.format('c.dense')}, 0), 1)), 9) DESC, list_id) AS list_rank
+    return parts
+
+
+def trained() -> list[str]:
+    """Lists of points(tenant_id, id, dense): ``cents``, and what a search can reach."""
+    return [
+        f"""units AS MATERIALIZED (SELECT tenant_id, id, row_number() OVER (PARTITION BY tenant_id
+  ORDER BY md5(id::VARCHAR)) - 1 AS place, list_transform(dense,
+  lambda x: x / coalesce(nullif({NORM.format('dense')}, 0), 1)) AS unit FROM points)""",
+        *lloyd("cents", "units", "tenant_id", LISTS, COSINE),
+        f"""near AS MATERIALIZED (SELECT p.tenant_id, p.id, list_id, row_number() OVER (PARTITION BY p.id
+  ORDER BY round(list_inner_product(p.dense, c.dense) / (coalesce(nullif({NORM.format('p.dense')}, 0), 1)
+  * coalesce(nullif({NORM.format('c.dense')}, 0), 1)), 9) DESC, list_id) AS list_rank
   FROM points p JOIN cents c USING (tenant_id)),
 assigned AS (SELECT tenant_id, id, list_id FROM near WHERE list_rank = 1),
 reach AS (SELECT d.tenant_id, d.query_id, d.id, d.score, near.list_rank FROM dense_all d
   JOIN assigned a ON a.id = d.id
-  JOIN near ON near.id = d.query_id AND near.list_id = a.list_id)""")
-    return parts
+  JOIN near ON near.id = d.query_id AND near.list_id = a.list_id)""",
+    ]
 
 
+#: Product-quantisation codes of points: 16 parts of 4 numbers, 64 codes, 40 candidates.
+PIECES = [
+    f"""pieces AS MATERIALIZED (SELECT part, tenant_id, id, place, unit[4 * part + 1 : 4 * part + 4] AS unit
+  FROM (SELECT tenant_id, id, row_number() OVER (ORDER BY md5(id::VARCHAR), id) - 1 AS place, list_transform(dense,
+    lambda x: x / coalesce(nullif({NORM.format('dense')}, 0), 1)) AS unit FROM points), range(16) AS r(part))""",
+    *lloyd("book", "pieces", "part", 64, CLOSENESS),
+    f"""coded AS MATERIALIZED (SELECT part, tenant_id, id, dense FROM pieces JOIN book USING (part)
+  QUALIFY row_number() OVER (PARTITION BY part, id ORDER BY round({CLOSENESS}, 9) DESC, list_id) = 1),
+code_sums AS (SELECT q.tenant_id, q.id AS query_id, d.id,
+  round(sum(list_inner_product(q.unit, d.dense) ORDER BY part), 9) AS score
+  FROM pieces q JOIN coded d USING (part, tenant_id) GROUP BY q.tenant_id, q.id, d.id)""",
+]
 IVF = ",\n".join(trained())
 #: Embedded texts as lists of numbers.
 TEXT_POINTS = """points AS (SELECT tenant_id, id, list(coalesce(v, 0) / sqrt(coalesce(nullif(s, 0), 1)::DOUBLE) ORDER BY i) AS dense
@@ -465,6 +485,15 @@ SQL = {
         top("hits", "dense_near", 10),
     )
     + HIT + "hits",
+    "pq_topk": with_(
+        VECTORS, VECTOR_PAIRS, *PIECES,
+        top("proposed", "code_sums", 40).replace("id asc", "id desc"),
+        "dense_near AS (SELECT d.* FROM dense_all d SEMI JOIN proposed USING (query_id, id))",
+        top("hits", "dense_near", 10),
+    )
+    + HIT + "hits",
+    "pq_codes": with_(VECTORS, *PIECES)
+    + """SELECT id, part::INTEGER AS part, round(dense[1], 6) AS first_value FROM coded""",
     "ivf_adaptive_topk": with_(VECTORS, VECTOR_PAIRS, top("dense", "dense_all", 10)) + HIT + "dense",
     "hybrid_ivf_topk": with_(
         *SELF, TEXT_POINTS, IVF,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from checks import tables as t
 from siftwell.functions.numbers import round_exact
 from siftwell.functions.text import vocabulary
-from siftwell.operators import ann, embed, filters, idf as idf_ops, inverted, metrics, prefix
+from siftwell.operators import ann, codes, embed, filters, idf as idf_ops, inverted, metrics, prefix
 from siftwell.operators.ranking import clamp_limit, exact_topk
 from siftwell.plans import evaluate, report
 from siftwell.plans.benchmark import run_benchmark
@@ -362,6 +362,28 @@ def ivf_all_lists(spark, sf):
     return hits(ann.ivf_search(points, asked, centroids, nprobe=SETTINGS["n_lists"]))
 
 
+def coded_vectors(spark, sf):
+    codebook = collection.stored(codes.train_codebook(t.vectors(spark, sf), parts=16, codes=64))
+    return codebook, codes.with_codes(t.vectors(spark, sf), codebook).drop("dense")
+
+
+def pq_topk(spark, sf):
+    codebook, coded = coded_vectors(spark, sf)
+    found = codes.code_search(
+        collection.stored(coded), t.vectors(spark, sf), t.vector_queries(spark, sf), codebook, candidates=40
+    )
+    return hits(found)
+
+
+def pq_codes(spark, sf):
+    """The first number of the centroid that stands for each part of each vector."""
+    codebook, coded = coded_vectors(spark, sf)
+    chosen = F.posexplode(F.transform(F.split(F.hex("codes"), "(?<=\\G..)"), lambda x: F.conv(x, 16, 10).cast("int")))
+    parts = coded.where("codes IS NOT NULL").select("id", chosen.alias("part", "code")).where(F.col("code").isNotNull())
+    value = F.col("centroid")[0].alias("first_value")
+    return rounded(parts.join(codebook, ["part", "code"]).select("id", "part", value), "first_value")
+
+
 def ivf_sweep_recall(spark, sf):
     points, asked, centroids = ivf_parts(spark, sf)
     breadths = ann.breadth_values(8, 1, SETTINGS["n_lists"], 4, 8, VECTOR_NPROBE)
@@ -603,7 +625,7 @@ QUERIES = {
         unknown_tenants, clamped_limit, hit_display, hit_response, tenant_leak_check,
         time_range_check, nth_document_by_time,
         relevant_sets, recall_at_k, mode_recall_summary, recall_by_list, mode_summary,
-        ivf_assign, ivf_topk, ivf_adaptive_topk, hybrid_ivf_topk, ivf_all_lists, ivf_sweep_recall,
+        ivf_assign, ivf_topk, ivf_adaptive_topk, hybrid_ivf_topk, pq_topk, pq_codes, ivf_all_lists, ivf_sweep_recall,
         latency_percentiles, mode_qps, latency_histogram, gauge_last, tenant_counter,
         ingest_batches, batch_counts, running_counter, ingest_throughput, tenant_list,
         upsert_latest, collection_rows, collection_search,

@@ -61,25 +61,34 @@ SAMPLE, ROUNDS = 20_000, 4
 _FRACTION = float(2**24)
 
 
-def _lloyd(unit: np.ndarray, per_tenant: int, rounds: int) -> np.ndarray:
-    """Centroids after ``rounds``; rows are unit vectors in seed order."""
-    centroids = unit[:per_tenant].copy()
+def cosine_to(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors with centroids."""
+    norm = np.sqrt(np.einsum("ij,ij->i", centroids, centroids))
+    return rows @ centroids.T / np.where(norm == 0, 1.0, norm)
+
+
+def lloyd(rows: np.ndarray, lists: int, rounds: int, nearness=cosine_to) -> np.ndarray:
+    """Centroids after ``rounds``; the first ``lists`` rows are the seeds."""
+    centroids = rows[:lists].copy()
     for _ in range(rounds):
-        norm = np.sqrt(np.einsum("ij,ij->i", centroids, centroids))
-        near = np.round(unit @ centroids.T / np.where(norm == 0, 1.0, norm), SCORE_DIGITS)
+        near = np.round(nearness(rows, centroids), SCORE_DIGITS)
         mine = near.argmax(axis=1)
         order = np.argsort(mine, kind="stable")
         taken, start = np.unique(mine[order], return_index=True)
-        sums = np.add.reduceat(unit[order], start, axis=0)
-        means = sums / np.diff(np.r_[start, len(unit)])[:, None]
+        sums = np.add.reduceat(rows[order], start, axis=0)
+        means = sums / np.diff(np.r_[start, len(rows)])[:, None]
         centroids[taken] = np.floor(means * _FRACTION + 0.5) / _FRACTION
         # Lists that nobody chose start again from the vectors farthest from their own.
         empty = np.setdiff1d(np.arange(len(centroids)), taken)
-        far = np.argsort(near[np.arange(len(unit)), mine], kind="stable")[: len(empty)]
-        centroids[empty] = unit[far]
+        far = np.argsort(near[np.arange(len(rows)), mine], kind="stable")[: len(empty)]
+        centroids[empty] = rows[far]
     return centroids
 
 
+def finite_vector(name: str = "dense"):
+    return F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def train_centroids(points: DataFrame, per_tenant: int, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
     """tenant_id, list_id, dense: ``per_tenant`` centroids from rounds of Lloyd's algorithm.
 
@@ -91,15 +100,14 @@ def train_centroids(points: DataFrame, per_tenant: int, rounds: int = ROUNDS, sa
     """
     if per_tenant < 1 or sample < per_tenant or rounds < 0:
         raise ValueError("needs per_tenant >= 1, sample >= per_tenant and rounds >= 0")
-    finite = F.forall("dense", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    chosen = seed_centroids(points.where(finite), sample)
+    chosen = seed_centroids(points.where(finite_vector()), sample)
 
     def train(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("list_id", "ascending")]))
         vectors = rows["dense"].combine_chunks()
         unit = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
         norm = np.sqrt(np.einsum("ij,ij->i", unit, unit))
-        found = _lloyd(unit / np.where(norm == 0, 1.0, norm)[:, None], per_tenant, rounds)
+        found = lloyd(unit / np.where(norm == 0, 1.0, norm)[:, None], per_tenant, rounds)
         offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * np.int32(unit.shape[1]))
         lists = pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
         names = pa.array([key[0].as_py()] * len(found), pa.string())
@@ -247,18 +255,18 @@ def ivf_sweep(
     )
 
 
-def _cosine(left: str, right: str):
+def cosine(left: str, right: str):
     """Arrow UDF: cosine of two vector columns, NaN where it has none."""
 
     @F.arrow_udf("double")
-    def cosine(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def of_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
             a, b = (x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in (a, b))
             with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
                 norm = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
                 yield pa.array(np.einsum("ij,ij->i", a, b) / np.where(norm == 0, 1.0, norm))
 
-    return cosine(F.col(left), F.col(right))
+    return of_batches(F.col(left), F.col(right))
 
 
 def list_radii(listed: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -272,9 +280,9 @@ def list_radii(listed: DataFrame, centroids: DataFrame) -> DataFrame:
         F.col("dense").cast("array<double>").alias("dense"),
     )
     hubs = centroids.select("tenant_id", "list_id", F.col("dense").alias("_centroid"))
-    cosine = members.join(hubs, ["tenant_id", "list_id"]).withColumn("_cos", _cosine("dense", "_centroid"))
+    angles = members.join(hubs, ["tenant_id", "list_id"]).withColumn("_cos", cosine("dense", "_centroid"))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.nanvl("_cos", F.lit(-1.0)))))
-    return cosine.groupBy("tenant_id", "list_id").agg(F.max(angle).alias("radius"))
+    return angles.groupBy("tenant_id", "list_id").agg(F.max(angle).alias("radius"))
 
 
 #: Angles and scores are rounded differently; a list this close to the bound is read.

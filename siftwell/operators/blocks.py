@@ -103,7 +103,32 @@ class _Sparse:
         return out.reshape(b - a, self.n)
 
 
-_SCORERS = {"dense": _Dense, "sparse": _Sparse}
+class _Codes:
+    """Sums of table entries: a document's codes pick from the query's table, part by part."""
+
+    descending_id = True
+
+    def __init__(self, docs: pa.Table, queries: pa.Table):
+        codes = docs["codes"].combine_chunks()
+        self.known = pc.is_valid(codes).to_numpy(zero_copy_only=False)
+        held = codes.drop_null().to_pylist()
+        self.parts = len(held[0]) if held else 1
+        self.d = np.zeros((len(codes), self.parts), np.int64)
+        self.d[self.known] = np.frombuffer(b"".join(held), np.uint8).reshape(-1, self.parts)
+        self.q, self.q_known = _matrix(queries["codes"])
+        self.d += np.arange(self.parts) * (self.q.shape[1] // self.parts)
+
+    def scores(self, a: int, b: int) -> np.ndarray:
+        out = np.zeros((b - a, len(self.d)))
+        if self.q.shape[1]:
+            for part in range(self.parts):
+                out += self.q[a:b, self.d[:, part]]
+        out[~self.q_known[a:b]] = -np.inf
+        out[:, ~self.known] = -np.inf
+        return out
+
+
+_SCORERS = {"dense": _Dense, "sparse": _Sparse, "codes": _Codes}
 
 
 class _Filters:

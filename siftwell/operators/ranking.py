@@ -53,6 +53,8 @@ def _vector_columns(modes) -> list[Column]:
         cols.append(F.col("dense").alias("dense"))
     if "sparse" in modes:
         cols += [F.col("sparse.indices").alias("indices"), F.col("sparse.values").alias("values")]
+    if "codes" in modes:
+        cols.append(F.col("codes").alias("codes"))
     return cols
 
 
@@ -62,6 +64,8 @@ def vector_bytes(modes) -> Column:
         size = size + F.size("dense") * 8
     if "sparse" in modes:
         size = size + F.size("indices") * 16
+    if "codes" in modes:
+        size = size + F.size("codes") * 8
     return size
 
 

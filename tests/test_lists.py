@@ -34,7 +34,7 @@ def test_rounds_are_those_of_the_definition(seed):
     unit = draw.normal(size=(30, 3))
     unit[5:9] = unit[0]  # equal seeds leave lists empty
     unit /= np.linalg.norm(unit, axis=1)[:, None]
-    assert ann._lloyd(unit, 7, 4) == pytest.approx(lloyd(unit, 7, 4), abs=1e-7)
+    assert ann.lloyd(unit, 7, 4) == pytest.approx(lloyd(unit, 7, 4), abs=1e-7)
 
 
 @pytest.fixture(scope="module")
