@@ -287,6 +287,13 @@ STORED = [
     DENSE,
 ]
 
+CHANGED = [
+    """docs AS (SELECT doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN 'moved' ELSE source END AS tenant_id,
+  CASE WHEN doc_id % 6 = 0 THEN 'second ' WHEN doc_id % 3 = 0 THEN 'first batch ' ELSE '' END || coalesce(text, '') AS text
+  FROM documents)""",
+    *DOC_TERMS,
+]
+
 COMMON_LIST = "['" + "', '".join(COMMON_WORDS.split()) + "']"
 VOCAB = """catterm AS (SELECT category, term, sum(tf) AS tf FROM dt JOIN docs USING (id) GROUP BY ALL),
 vocab AS (SELECT category, list(term ORDER BY r) AS words FROM (SELECT *, row_number() OVER (
@@ -539,6 +546,11 @@ SQL = {
   THEN points / seconds ELSE points END, 6) AS throughput FROM span""",
     "tenant_list": "SELECT DISTINCT source AS tenant_id FROM documents",
     "upsert_latest": LATEST,
+    "idf_after_upserts": with_(*CHANGED, TENANT_IDF) + "SELECT tenant_id, idx, df, round(idf, 6) AS idf FROM idf",
+    "tokens_after_upserts": with_(*CHANGED)
+    + """SELECT tenant_id, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM (
+  SELECT tenant_id, docs.id, coalesce(sum(tf), 0) AS tokens FROM docs LEFT JOIN dt USING (id)
+  GROUP BY tenant_id, docs.id) GROUP BY tenant_id""",
     "collection_rows": with_(*STORED)
     + """SELECT id, tenant_id, category, created_at, count(idx)::INTEGER AS n_terms
   FROM docs LEFT JOIN dn USING (id) GROUP BY ALL""",

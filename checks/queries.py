@@ -20,7 +20,7 @@ from siftwell.plans.search import (
     with_payload,
 )
 from siftwell.schema import epoch_seconds, from_epoch
-from siftwell.sources import collection, labeled
+from siftwell.sources import collection, labeled, statistics
 from siftwell.streaming import ingest
 
 # decimals of compared values: far coarser than what logarithms and summation
@@ -466,6 +466,25 @@ def stored_points(spark, sf):
     return collection.read_collection(spark, path)
 
 
+def kept_statistics(spark, sf):
+    """A collection with statistics: documents, then two batches that replace some of them."""
+    path, base = f"{collection.shared_dir(spark)}/points", t.documents(spark, sf)
+    statistics.recreate_with_statistics(embed.embed_hashed(base, dim=16), path)
+    first = changed_documents(base, "first batch", 0, 1)
+    statistics.upsert_with_statistics(embed.embed_hashed(first, dim=16), path, 1)
+    moved = changed_documents(base, "second", 0, 2).where(F.col("id") % 2 == 0).withColumn("tenant_id", F.lit("moved"))
+    statistics.upsert_with_statistics(embed.embed_hashed(moved, dim=16), path, 2)
+    return path
+
+
+def idf_after_upserts(spark, sf):
+    return rounded(statistics.collection_idf(spark, kept_statistics(spark, sf), "tenant"), "idf")
+
+
+def tokens_after_upserts(spark, sf):
+    return statistics.token_totals(spark, kept_statistics(spark, sf))
+
+
 def collection_rows(spark, sf):
     terms = F.size("sparse.indices").alias("n_terms")
     return stored_points(spark, sf).select("id", "tenant_id", "category", "created_at", terms)
@@ -628,7 +647,7 @@ QUERIES = {
         ivf_assign, ivf_topk, ivf_adaptive_topk, hybrid_ivf_topk, pq_topk, pq_codes, ivf_all_lists, ivf_sweep_recall,
         latency_percentiles, mode_qps, latency_histogram, gauge_last, tenant_counter,
         ingest_batches, batch_counts, running_counter, ingest_throughput, tenant_list,
-        upsert_latest, collection_rows, collection_search,
+        upsert_latest, idf_after_upserts, tokens_after_upserts, collection_rows, collection_search,
         report_markdown, report_json, generated_corpus, generated_queries,
         stream_ingest_latest, stream_ingest_points, stream_after_upserts, stream_counts, stream_latency_buckets,
         ingest_duplicate_ids, attached_vectors, event_epochs, checked_dims,

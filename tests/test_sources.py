@@ -179,6 +179,42 @@ def test_streams_and_batches_keep_each_others_rows(spark, tmp_path):
     assert {r.id for r in current.where("tenant_id = 'a'").collect()} == {0, 1, 2, 3, 4}
 
 
+def test_statistics_follow_the_current_rows(spark, tmp_path):
+    from siftwell.operators.idf import idf_table
+    from siftwell.sources import statistics
+
+    path = str(tmp_path / "c")
+    statistics.recreate_with_statistics(
+        points(spark, (1, "a", "one two", "x", 1), (2, "a", "two", "x", 1), (3, "b", None, "x", 1), (4, "b", "", "x", 1)), path
+    )
+
+    def same():
+        current = collection.read_collection(spark, path)
+        for scope in ("collection", "tenant"):
+            want = idf_table(current, scope).collect()
+            assert sorted(statistics.collection_idf(spark, path, scope).collect()) == sorted(want) != []
+        totals = {r.tenant_id: (r.documents, r.tokens) for r in statistics.token_totals(spark, path).collect()}
+        rows = current.select("tenant_id", "text").collect()
+        assert totals == {
+            t: (sum(r.tenant_id == t for r in rows), sum(len((r.text or "").split()) for r in rows if r.tenant_id == t))
+            for t in {r.tenant_id for r in rows}
+        }
+
+    same()
+    for _ in range(2):  # a batch that is written again changes nothing
+        statistics.upsert_with_statistics(points(spark, (1, "a", "uno", "x", 2), (5, "c", "new two", "x", 2)), path, 2)
+        same()
+    statistics.upsert_with_statistics(points(spark, (2, "b", "two two three", "x", 3), (3, "b", "now", "x", 3)), path, 3)
+    same()
+    # A version that arrives late, and one of another writer with the same number.
+    statistics.upsert_with_statistics(points(spark, (1, "a", "late", "x", 1), (4, "b", "late four", "x", 1)), path, 1)
+    same()
+    statistics.upsert_with_statistics(points(spark, (5, "a", "moved", "x", 4)), path, 2, "other")
+    same()
+    plan = statistics.collection_idf(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "_statistics" in plan and "sparse" not in plan
+
+
 def test_tenant_condition_reaches_the_upserts(spark, tmp_path):
     path = str(tmp_path / "c")
     collection.recreate_collection(points(spark, (1, "a", "one", "x", 1), (2, "b", "two", "x", 2)), path)
