@@ -546,6 +546,9 @@ SQL = {
   THEN points / seconds ELSE points END, 6) AS throughput FROM span""",
     "tenant_list": "SELECT DISTINCT source AS tenant_id FROM documents",
     "upsert_latest": LATEST,
+    "zordered_conditions": with_(DOCS)
+    + """SELECT id, tenant_id, category, created_at FROM docs
+  WHERE category = 'de' AND created_at BETWEEN 1700360000 AND 1702520000""",
     "idf_after_upserts": with_(*CHANGED, TENANT_IDF) + "SELECT tenant_id, idx, df, round(idf, 6) AS idf FROM idf",
     "tokens_after_upserts": with_(*CHANGED)
     + """SELECT tenant_id, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM (

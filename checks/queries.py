@@ -20,7 +20,7 @@ from siftwell.plans.search import (
     with_payload,
 )
 from siftwell.schema import epoch_seconds, from_epoch
-from siftwell.sources import collection, labeled, statistics
+from siftwell.sources import collection, labeled, layout, statistics
 from siftwell.streaming import ingest
 
 # decimals of compared values: far coarser than what logarithms and summation
@@ -466,6 +466,14 @@ def stored_points(spark, sf):
     return collection.read_collection(spark, path)
 
 
+def zordered_conditions(spark, sf):
+    """German documents of a time range, from a collection laid out along a curve of both."""
+    path = f"{collection.shared_dir(spark)}/points"
+    collection.recreate_collection(embed.embed_hashed(t.documents(spark, sf), dim=16), path, layout.z_ordered)
+    both = (F.col("category") == "de") & F.col("created_at").between(1_700_360_000, 1_702_520_000)
+    return collection.read_collection(spark, path).where(both).select("id", "tenant_id", "category", "created_at")
+
+
 def kept_statistics(spark, sf):
     """A collection with statistics: documents, then two batches that replace some of them."""
     path, base = f"{collection.shared_dir(spark)}/points", t.documents(spark, sf)
@@ -647,7 +655,7 @@ QUERIES = {
         ivf_assign, ivf_topk, ivf_adaptive_topk, hybrid_ivf_topk, pq_topk, pq_codes, ivf_all_lists, ivf_sweep_recall,
         latency_percentiles, mode_qps, latency_histogram, gauge_last, tenant_counter,
         ingest_batches, batch_counts, running_counter, ingest_throughput, tenant_list,
-        upsert_latest, idf_after_upserts, tokens_after_upserts, collection_rows, collection_search,
+        upsert_latest, zordered_conditions, idf_after_upserts, tokens_after_upserts, collection_rows, collection_search,
         report_markdown, report_json, generated_corpus, generated_queries,
         stream_ingest_latest, stream_ingest_points, stream_after_upserts, stream_counts, stream_latency_buckets,
         ingest_duplicate_ids, attached_vectors, event_epochs, checked_dims,

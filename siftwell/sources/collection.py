@@ -89,10 +89,16 @@ def _layout(points: DataFrame) -> DataFrame:
     return points.hint("rebalance", "tenant_id").sortWithinPartitions("tenant_id", "created_at")
 
 
-def recreate_collection(points: DataFrame, path: str) -> None:
-    """Create or replace the collection; each id must occur once (``last_documents``)."""
+def recreate_collection(
+    points: DataFrame, path: str, layout: Callable[[DataFrame], DataFrame] = _layout, **options
+) -> None:
+    """Create or replace the collection; each id must occur once (``last_documents``).
+
+    ``layout`` orders the rows of the files: by time, or ``layout.z_ordered`` for
+    conditions on category and time. ``options`` go to the Parquet writer.
+    """
     base = points.withColumns({"batch_seq": F.lit(0).cast("bigint"), "writer": F.lit(BASE)})
-    _layout(base).write.mode("overwrite").partitionBy(*VERSION, "tenant_id").parquet(path)
+    layout(base).write.options(**options).mode("overwrite").partitionBy(*VERSION, "tenant_id").parquet(path)
 
 
 def upsert_points(points: DataFrame, path: str, batch_seq: int, writer: str = BATCH) -> None:
