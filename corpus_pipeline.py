@@ -13,7 +13,7 @@ STAGES = [
     ("pack", stages.pack),
 ]
 
-#: The classifier is trained, so SQL cannot express the rows; tests hold the stages against brute force.
+#: The classifier is trained, so SQL cannot express the rows; tests/llm/test_pipeline.py holds run() and every stage against brute force.
 ORACLE_SQL = None
 
 
