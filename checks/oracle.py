@@ -492,6 +492,13 @@ SQL = {
         top("hits", "dense_near", 10),
     )
     + HIT + "hits",
+    "standing_topk": with_(
+        VECTORS.replace("points", "asked"),
+        """points AS (SELECT id, tenant_id, CASE WHEN id % 7 = 0 THEN list_reverse(dense) ELSE dense END AS dense FROM asked)""",
+        VECTOR_PAIRS.replace("FROM points q", "FROM asked q"),
+        top("dense", "dense_all", 10),
+    )
+    + HIT + "dense",
     "pq_topk": with_(
         VECTORS, VECTOR_PAIRS, *PIECES,
         top("proposed", "code_sums", 40).replace("id asc", "id desc"),
@@ -527,6 +534,10 @@ SQL = {
     "latency_percentiles": with_(LOG, LATENCY)
     + """SELECT mode, round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms,
   round(p99_ms, 6) AS p99_ms FROM lat""",
+    "latency_sketch_hours": with_(LOG)
+    + """SELECT mode, floor(epoch(ts) / 3600)::BIGINT * 3600 AS hour, count(latency_ms) AS n FROM log GROUP BY ALL""",
+    "latency_sketch_ranks": with_(LOG)
+    + "SELECT mode, count(latency_ms) AS n, true AS p50_ms, true AS p95_ms, true AS p99_ms FROM log GROUP BY mode",
     "mode_qps": with_(LOG, QPS) + "SELECT mode, n_queries, round(qps, 6) AS qps FROM speed",
     "latency_histogram": with_(LOG) + HISTOGRAM,
     "gauge_last": with_(LOG)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from checks import tables as t
 from siftwell.functions.numbers import round_exact
 from siftwell.functions.text import vocabulary
-from siftwell.operators import ann, codes, embed, filters, idf as idf_ops, inverted, metrics, prefix
+from siftwell.operators import ann, codes, embed, filters, idf as idf_ops, inverted, metrics, prefix, sketches, standing
 from siftwell.operators.ranking import clamp_limit, exact_topk
 from siftwell.plans import evaluate, report
 from siftwell.plans.benchmark import run_benchmark
@@ -362,6 +362,20 @@ def ivf_all_lists(spark, sf):
     return hits(ann.ivf_search(points, asked, centroids, nprobe=SETTINGS["n_lists"]))
 
 
+def standing_topk(spark, sf):
+    """Rankings of all vectors as queries, after half of the vectors arrived and a seventh was replaced."""
+    every, asked = t.vectors(spark, sf), t.vector_queries(spark, sf)
+    first = every.where(F.col("id") % 2 == 0)
+    swapped = F.transform("dense", lambda x, i: F.get("dense", F.size("dense") - 1 - i))
+    replaced = every.where(F.col("id") % 7 == 0).withColumn("dense", swapped)
+    ranking = standing.start_ranking(first, asked, 20)
+    none = every.select("id").limit(0)
+    ranking, _ = standing.update_ranking(ranking, every.where(F.col("id") % 2 == 1), none, every, asked, 10, 20)
+    current = every.where(F.col("id") % 7 != 0).unionByName(replaced)
+    ranking, _ = standing.update_ranking(ranking, replaced, none, current, asked, 10, 20)
+    return hits(standing.best_of(ranking, 10))
+
+
 def coded_vectors(spark, sf):
     codebook = collection.stored(codes.train_codebook(t.vectors(spark, sf), parts=16, codes=64))
     return codebook, codes.with_codes(t.vectors(spark, sf), codebook).drop("dense")
@@ -400,6 +414,27 @@ def latency_percentiles(spark, sf):
     return rounded(metrics.latency_percentiles(t.query_log(spark, sf)), "p50_ms", "p95_ms", "p99_ms")
 
 
+def stored_sketches(spark, sf):
+    """States of the log's hours, written in two batches."""
+    path, log = f"{collection.shared_dir(spark)}/states", t.query_log(spark, sf)
+    for part in (0, 1):
+        sketches.append_states(log.where(F.col("query_id") % 2 == part), path)
+    return sketches.read_states(spark, path)
+
+
+def latency_sketch_hours(spark, sf):
+    """Latencies that the states of each mode and hour have seen."""
+    return stored_sketches(spark, sf).groupBy("mode", "hour").agg(F.sum("n").alias("n"))
+
+
+def latency_sketch_ranks(spark, sf):
+    """Whether the percentiles of the merged states have the right ranks, within one percent."""
+    named = metrics.LATENCY_PERCENTILES
+    quantiles = sketches.merged_quantiles(stored_sketches(spark, sf), named)
+    errors = sketches.rank_errors(t.query_log(spark, sf), quantiles, named)
+    return errors.select("mode", "n", *[(F.col(name) <= 0.01).alias(name) for name in named])
+
+
 def mode_qps(spark, sf):
     return rounded(metrics.mode_throughput(t.query_log(spark, sf)), "qps")
 
@@ -652,8 +687,8 @@ QUERIES = {
         unknown_tenants, clamped_limit, hit_display, hit_response, tenant_leak_check,
         time_range_check, nth_document_by_time,
         relevant_sets, recall_at_k, mode_recall_summary, recall_by_list, mode_summary,
-        ivf_assign, ivf_topk, ivf_adaptive_topk, hybrid_ivf_topk, pq_topk, pq_codes, ivf_all_lists, ivf_sweep_recall,
-        latency_percentiles, mode_qps, latency_histogram, gauge_last, tenant_counter,
+        ivf_assign, ivf_topk, ivf_adaptive_topk, hybrid_ivf_topk, standing_topk, pq_topk, pq_codes, ivf_all_lists, ivf_sweep_recall,
+        latency_percentiles, latency_sketch_hours, latency_sketch_ranks, mode_qps, latency_histogram, gauge_last, tenant_counter,
         ingest_batches, batch_counts, running_counter, ingest_throughput, tenant_list,
         upsert_latest, zordered_conditions, idf_after_upserts, tokens_after_upserts, collection_rows, collection_search,
         report_markdown, report_json, generated_corpus, generated_queries,

@@ -167,6 +167,20 @@ def embed_query_terms(df: DataFrame) -> DataFrame:
     ).drop("_f")
 
 
+def _steps(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in their order, so many at a time that a step stays small (one at least)."""
+    size = np.cumsum([len(t) for t in texts]) // _TEXT_BYTES_PER_STEP
+    edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        yield texts[a:b]
+
+
+def _as_lists(vectors) -> pa.ListArray:
+    rows = [np.asarray(v, np.float64).ravel() for v in vectors]
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0), *rows])))
+
+
 def embed_with_model(
     df: DataFrame,
     make_model: Callable[[], Callable[[list[str]], list]],
@@ -175,7 +189,8 @@ def embed_with_model(
     """Add a dense column from a user model.
 
     ``make_model`` runs once per task and returns a function from a list of
-    texts to a list of vectors; texts arrive in Arrow batches.
+    texts to a list of vectors (lists or arrays, also one matrix); texts arrive
+    in steps of bounded bytes.
     """
     require_columns(df, "text")
 
@@ -183,8 +198,7 @@ def embed_with_model(
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make_model()
         for batch in texts:
-            vectors = model([t or "" for t in batch.to_pylist()])
-            yield pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float64()))
+            yield pa.concat_arrays([_as_lists(model(part)) for part in _steps([t or "" for t in batch.to_pylist()])])
 
     return df.withColumn(dense_col, encode(F.col("text")))
 
