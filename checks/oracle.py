@@ -582,6 +582,27 @@ SQL = {
   || ',"p99_ms":' || round(p99_ms, 6) || ',"qps":' || qps
   || ',"n_lists":32,"nprobe":8,"prefetch_limit":50,"rrf_k0":60,"n_docs":'
   || (SELECT count(*) FROM docs) || '}' AS json FROM summary""",
+    "report_sweep": with_(
+        DOCS, DOC_QUERIES, *DOC_TERMS, *QUERY_TERMS, DENSE, TEXT_POINTS, IVF,
+        top("dense", "dense_all", 10),
+        """swept AS (SELECT * FROM (SELECT nprobe, query_id, id, row_number() OVER (
+  PARTITION BY nprobe, query_id ORDER BY score DESC, id DESC) AS rank
+  FROM reach JOIN (VALUES (1), (8), (32)) AS v(nprobe) ON list_rank <= nprobe) WHERE rank <= 10)""",
+        """judged AS (SELECT nprobe, a.query_id,
+  count(*) FILTER (WHERE s.rank <= 5 AND d.category = a.category) / least(5, any_value(r.n))::DOUBLE AS at_5,
+  count(*) FILTER (WHERE d.category = a.category) / least(10, any_value(r.n))::DOUBLE AS at_10,
+  count(e.id) / any_value(x.n)::DOUBLE AS found
+  FROM asked a JOIN swept s USING (query_id) JOIN docs d ON d.id = s.id
+  JOIN (SELECT tenant_id, category, count(*) AS n FROM docs GROUP BY ALL) r
+    ON r.tenant_id = a.tenant_id AND r.category = a.category
+  JOIN (SELECT query_id, count(*) AS n FROM dense GROUP BY query_id) x ON x.query_id = a.query_id
+  LEFT JOIN dense e ON e.query_id = a.query_id AND e.id = s.id GROUP BY nprobe, a.query_id)""",
+        """sweep AS (SELECT nprobe, round(avg(at_5), 6) AS recall_at_5, round(avg(at_10), 6) AS recall_at_10,
+  round(avg(found), 6) AS index_recall_at_10, count(*) AS n FROM judged GROUP BY nprobe)""",
+    )
+    + f"""SELECT nprobe, 'n_docs=' || (SELECT count(*) FROM docs) || ' n_queries=' || n || ' n_lists={LISTS} nprobe=' || nprobe
+  AS settings, '| ' || nprobe || ' | ' || {fixed('recall_at_5', 3)} || ' | ' || {fixed('recall_at_10', 3)} || ' | '
+  || {fixed('index_recall_at_10', 3)} || ' |' AS line FROM sweep""",
     "generated_corpus": with_(*GENERATED)
     + """SELECT docs.id, docs.tenant_id, string_agg(word, ' ' ORDER BY h, i) AS text, docs.category,
   docs.created_at FROM placed JOIN docs ON docs.id = placed.id

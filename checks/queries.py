@@ -10,7 +10,7 @@ from siftwell.functions.text import vocabulary
 from siftwell.operators import ann, codes, embed, filters, idf as idf_ops, inverted, metrics, prefix, sketches, standing
 from siftwell.operators.ranking import clamp_limit, exact_topk
 from siftwell.plans import evaluate, report
-from siftwell.plans.benchmark import run_benchmark
+from siftwell.plans.benchmark import run_benchmark, sweep_breadths
 from siftwell.plans.search import (
     display_line,
     limit_per_query,
@@ -550,6 +550,16 @@ def report_json(spark, sf):
     return report.json_rows(mode_summary(spark, sf))
 
 
+def report_sweep(spark, sf):
+    """A report row for each of several breadths, with its settings."""
+    points = collection.stored(embed.embed_hashed(t.documents(spark, sf), sparse=False).drop("text"))
+    asked = points.select(F.col("id").alias("query_id"), "tenant_id", "category", "dense")
+    centroids = collection.stored(ann.train_centroids(points, SETTINGS["n_lists"]))
+    swept = sweep_breadths(points, asked, centroids, [1, SETTINGS["nprobe"], 32], settings={"n_lists": SETTINGS["n_lists"]})
+    swept = rounded(swept, "recall_at_5", "recall_at_10", "index_recall_at_10")
+    return report.sweep_rows(swept, ["n_docs", "n_queries", "n_lists", "nprobe"])
+
+
 # --- generated corpora ---------------------------------------------------
 
 
@@ -691,7 +701,7 @@ QUERIES = {
         latency_percentiles, latency_sketch_hours, latency_sketch_ranks, mode_qps, latency_histogram, gauge_last, tenant_counter,
         ingest_batches, batch_counts, running_counter, ingest_throughput, tenant_list,
         upsert_latest, zordered_conditions, idf_after_upserts, tokens_after_upserts, collection_rows, collection_search,
-        report_markdown, report_json, generated_corpus, generated_queries,
+        report_markdown, report_json, report_sweep, generated_corpus, generated_queries,
         stream_ingest_latest, stream_ingest_points, stream_after_upserts, stream_counts, stream_latency_buckets,
         ingest_duplicate_ids, attached_vectors, event_epochs, checked_dims,
     )
