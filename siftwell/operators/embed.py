@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwell.functions.rows import explode_rows
@@ -32,7 +33,10 @@ from siftwell.schema import DENSE_DIM, require_columns
 from siftwell.sources.collection import stored
 
 _TOKENS = re.compile(TOKEN_PATTERN)
-_TEXT_BYTES_PER_STEP = 8 << 20
+#: Texts embedded in one go; a row counts as so many bytes more, for its dense vector.
+_TEXT_BYTES_PER_STEP, _ROW_BYTES = 1 << 20, 1 << 10
+#: Texts handed to a model in one go.
+_MODEL_BYTES_PER_STEP = 8 << 20
 
 
 def _hash_terms(terms: list[str], dim: int):
@@ -81,6 +85,15 @@ def _embed_texts(texts: list[str | None], dim: int, dense: bool, sparse: bool) -
     return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
 
 
+def _embedded(texts: pa.Array, dim: int, dense: bool, sparse: bool) -> Iterator[pa.StructArray]:
+    """The batch embedded step by step; its terms and vectors are never held together."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.cumsum(lengths + _ROW_BYTES) // _TEXT_BYTES_PER_STEP
+    edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        yield _embed_texts(texts[a:b].to_pylist(), dim, dense, sparse)
+
+
 def hash_features(
     text: Column, dim: int = DENSE_DIM, dense: bool = True, sparse: bool = True
 ) -> Column:
@@ -99,13 +112,7 @@ def hash_features(
     @F.arrow_udf(f"struct<{schema}>")
     def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            rows = batch.to_pylist()
-            size = np.cumsum([len(t) if t else 0 for t in rows]) // _TEXT_BYTES_PER_STEP
-            cuts = np.flatnonzero(np.diff(size)) + 1
-            edges = [0, *cuts.tolist(), len(rows)]
-            yield pa.concat_arrays(
-                [_embed_texts(rows[a:b], dim, dense, sparse) for a, b in zip(edges, edges[1:])]
-            )
+            yield from _embedded(batch, dim, dense, sparse)
 
     return features(text)
 
@@ -169,7 +176,7 @@ def embed_query_terms(df: DataFrame) -> DataFrame:
 
 def _steps(texts: list[str]) -> Iterator[list[str]]:
     """The texts in their order, so many at a time that a step stays small (one at least)."""
-    size = np.cumsum([len(t) for t in texts]) // _TEXT_BYTES_PER_STEP
+    size = np.cumsum([len(t) for t in texts]) // _MODEL_BYTES_PER_STEP
     edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
     for a, b in zip(edges, edges[1:]):
         yield texts[a:b]
