@@ -5,7 +5,7 @@ A row of the index is one term of one shard: the ids that have it, ascending,
 their weights, and the largest and smallest weight of every ``BLOCK`` entries.
 Rows are stored by tenant and sorted by term, so a search reads its own terms.
 
-A query walks its terms in a shard by what they can add at most. Once the terms
+A query walks its terms in a shard, or several small ones together, by what they can add at most. Once the terms
 left cannot lift a new document over the k-th score so far, only documents
 already met are followed, and of the later terms only blocks that hold one of
 them whose own maximum could still matter. What is left is scored again in the
@@ -62,7 +62,11 @@ def _postings_of(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
     size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     ids = np.repeat(docs["id"].to_numpy(), size)
     order = np.argsort(term, kind="stable")
-    term, weight, ids = term[order], weight[order], ids[order]
+    return _rows_of(key, term[order], weight[order], ids[order])
+
+
+def _rows_of(key: tuple[pa.Scalar, ...], term: np.ndarray, weight: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """One row per term of entries that are sorted by term and id."""
     edges = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)])
     ends = np.r_[edges[1:], len(term)]
     # Blocks start anew with every term.
@@ -111,6 +115,17 @@ def term_statistics(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _joined(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Postings of several shards as those of one."""
+    if len(pc.unique(table["shard"])) <= 1:
+        return table
+    flat = lambda name: table[name].combine_chunks().flatten().to_numpy()
+    term = np.repeat(table["idx"].to_numpy(), pc.list_value_length(table["ids"]).to_numpy())
+    ids, weight = flat("ids"), flat("weights")
+    order = np.lexsort((ids, term))
+    return _rows_of(key, term[order], weight[order], ids[order])
+
+
 class Shard:
     """The postings of one shard that a slice of queries asks for."""
 
@@ -232,7 +247,7 @@ def _score_slice(postings: DataFrame, facts: DataFrame, queries: pa.Table, k: in
                 out[name] += value
 
         if terms.num_rows and mine.num_rows:
-            shard = Shard(terms)
+            shard = Shard(_joined(key, terms))
             conditions = _Conditions(shard.ids, facts) if facts.num_rows else None
             plain = mine.drop_columns(["indices", "values"]).to_pylist()
             for query, term, w in zip(plain, mine["indices"], mine["values"]):
@@ -252,7 +267,7 @@ def _score_slice(postings: DataFrame, facts: DataFrame, queries: pa.Table, k: in
         columns = [pa.array([tenant] * len(out["id"]), pa.string()), *(pa.array(out[n], kinds[n]) for n in kinds)]
         return pa.Table.from_arrays(columns, ["tenant_id", *kinds])
 
-    grouped = postings.groupBy("tenant_id", "shard"), facts.groupBy("tenant_id", "shard")
+    grouped = postings.groupBy("tenant_id", "together"), facts.groupBy("tenant_id", "together")
     return grouped[0].cogroup(grouped[1]).applyInArrow(score, _HITS), shared
 
 
@@ -281,6 +296,21 @@ def _wanted(postings: DataFrame, part: DataFrame, terms: list[int]) -> DataFrame
     return postings.join(F.broadcast(pairs), ["tenant_id", "idx"], "left_semi")
 
 
+def _shard_widths(spark: SparkSession, path: str) -> DataFrame:
+    """tenant_id and the number of its shards that are searched together, ``SHARD_DOCS`` documents or one shard."""
+    shards = spark.read.schema("shard int, tenant_id string").parquet(f"{path}/documents")
+    sizes = shards.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), (F.max("shard") + 1).alias("shards"))
+    width = F.floor(F.lit(SHARD_DOCS) * F.col("shards") / F.col("n")).cast("int")
+    return stored(sizes.select("tenant_id", F.greatest(F.lit(1), width).alias("width")))
+
+
+def _together(rows: DataFrame, widths: DataFrame) -> DataFrame:
+    """Number the groups of shards; small shards, taken one by one, would cost each query a walk apiece."""
+    own = widths.select(F.col("tenant_id").alias("tenant_id"), F.col("width").alias("width"))  # both sides are joined later
+    group = F.floor(F.col("shard") / F.col("width")).cast("int").alias("together")
+    return rows.join(F.broadcast(own), "tenant_id").select(*rows.columns, group)
+
+
 def _scored(spark: SparkSession, path: str, queries: DataFrame, k: int, slice_bytes: int) -> DataFrame:
     """Best k of every shard, and a row without an id that counts its blocks."""
     if k < 1:
@@ -290,7 +320,7 @@ def _scored(spark: SparkSession, path: str, queries: DataFrame, k: int, slice_by
     slices = max(1, -(-measured_bytes(asked, vector_bytes(("sparse",))) // slice_bytes))
     number = F.pmod(F.xxhash64("query_id", "tenant_id"), F.lit(slices))
     filtered = any(name in queries.columns for name in QUERY_FILTERS)
-    results = []
+    widths, results = _shard_widths(spark, path), []
     for i in range(slices):
         part = asked.where(number == i)
         rows = part.toArrow()
@@ -299,7 +329,7 @@ def _scored(spark: SparkSession, path: str, queries: DataFrame, k: int, slice_by
         tenants = F.broadcast(part.select("tenant_id").distinct())
         facts = spark.read.schema("shard int, id bigint, category string, created_at bigint, tenant_id string")
         facts = facts.parquet(f"{path}/documents").where(F.lit(filtered)).join(tenants, "tenant_id", "left_semi")
-        found, shared = _score_slice(postings, facts, rows, k)
+        found, shared = _score_slice(_together(postings, widths), _together(facts, widths), rows, k)
         if slices == 1:
             return found
         results.append(stored(found))
