@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftwell.operators.blocks import UNDEFINED, BestOf
+from siftwell.operators.blocks import UNDEFINED, BestOf, by_conditions
 from siftwell.schema import QUERY_FILTERS, require_columns
 from siftwell.sources.collection import stored
 
@@ -140,14 +140,15 @@ def _score_slice(docs: DataFrame, queries: pa.Table, keys, modes, k, schema):
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = dict(split_by_key(shared.value, keys))
-        best: dict[tuple, BestOf] = {}
+        best: dict[tuple, list[BestOf]] = {}
 
         def add(block: pa.Table) -> None:
             for key, part in split_by_key(block, keys):
                 if key in asked:
                     if key not in best:
-                        best[key] = BestOf(asked[key], modes, k)
-                    best[key].add(part)
+                        best[key] = [BestOf(some, modes, k) for some in by_conditions(asked[key])]
+                    for one in best[key]:
+                        one.add(part)
 
         held, rows, size = [], 0, 0
         for batch in batches:
@@ -159,7 +160,7 @@ def _score_slice(docs: DataFrame, queries: pa.Table, keys, modes, k, schema):
         if rows:
             add(pa.Table.from_batches(held))
         for key, found in best.items():
-            for table in found.tables():
+            for table in (table for one in found for table in one.tables()):
                 yield from _with_key(table, keys, key).to_batches()
 
     return docs.mapInArrow(score, schema), shared
@@ -304,7 +305,8 @@ def _score_cells(
             table = _naming(asked, value) if within else asked
             number = np.cumsum(table["_bytes"].to_numpy()) // slice_bytes
             edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
-            return [BestOf(table.slice(a, b - a), modes, k) for a, b in zip(edges, edges[1:]) if b > a]
+            slices = [table.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
+            return [BestOf(some, modes, k) for part in slices for some in ([part] if within else by_conditions(part))]
 
         def add() -> None:
             table = pa.Table.from_batches(held)
