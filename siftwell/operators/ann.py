@@ -200,7 +200,8 @@ def _probed_candidates(listed, queries, probes, k, **plan) -> DataFrame:
     """Best k of the probed lists or a superset, with the list's rank for the query."""
     best = listed_topk(listed, queries, probes, k, **plan)
     best = best.withColumn("list_id", F.col("list_id").cast("bigint"))
-    ranks = probes.withColumnRenamed("rank", "list_rank")
+    # a row per query and list: small as a file, large as a broadcast through the driver
+    ranks = probes.withColumnRenamed("rank", "list_rank").hint("merge")
     return best.join(ranks, ["tenant_id", "query_id", "list_id"])
 
 

@@ -143,7 +143,8 @@ def code_search(
     asked = with_tables(queries, codebook)
     proposed = take_top(block_topk(coded, asked, candidates, ("codes",), **plan), candidates)
     proposed = stored(proposed.select("tenant_id", "query_id", "id"))
-    found = proposed.join(vectors.select("tenant_id", "id", F.col("dense").cast("array<double>").alias("_d")), ["tenant_id", "id"])
+    # rows per query: small as files, large as broadcasts through the driver
+    found = proposed.hint("merge").join(vectors.select("tenant_id", "id", F.col("dense").cast("array<double>").alias("_d")), ["tenant_id", "id"])
     own = queries.select("tenant_id", "query_id", F.col("dense").cast("array<double>").alias("_q"))
-    scored = found.join(own, ["tenant_id", "query_id"]).withColumn("score", F.round(cosine("_d", "_q"), SCORE_DIGITS) + F.lit(0.0))
+    scored = found.join(own.hint("merge"), ["tenant_id", "query_id"]).withColumn("score", F.round(cosine("_d", "_q"), SCORE_DIGITS) + F.lit(0.0))
     return take_top(scored.select("tenant_id", F.lit("dense").alias("mode"), "query_id", "id", "score"), limit)

@@ -420,7 +420,8 @@ def listed_topk(
     lists = wanted.groupBy("tenant_id", "query_id").agg(F.sort_array(F.collect_list(entry)).alias("_wanted"))
     # a query's lists stand in the order of their ranks, which begin at 1 or beyond every breadth
     lists = lists.select("tenant_id", "query_id", F.col("_wanted.list_id").alias("wanted"))
-    asked = stored(_query_side(queries, keys, modes).join(lists, ["tenant_id", "query_id"]))
+    # grows with the queries: never a broadcast through the driver, however small its files
+    asked = stored(_query_side(queries, keys, modes).join(lists.hint("merge"), ["tenant_id", "query_id"]))
     if measured_bytes(asked, row_bytes * F.size("wanted")) <= SENT_BYTES:
         asked = asked.withColumn("list_id", F.explode("wanted")).drop("wanted")
         return block_topk(points, asked, k, modes, ("tenant_id", "list_id"), slice_bytes)
