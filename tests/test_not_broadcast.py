@@ -5,10 +5,10 @@ import numpy as np
 from siftwell.operators import ann, codes, ranking
 
 
-def joins_of(df):
-    """Kinds of the joins by query."""
+def joins_of(df, by="query_id"):
+    """Kinds of the joins by a column."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return [line.split("Join")[0].split()[-1] for line in plan.splitlines() if "Join [" in line and "query_id" in line]
+    return [line.split("Join")[0].split()[-1] for line in plan.splitlines() if "Join [" in line and by in line]
 
 
 def vectors(spark):
@@ -31,5 +31,5 @@ def test_candidates_of_codes_are_merged(spark):
     book = codes.train_codebook(points, parts=4, codes=8)
     coded = codes.with_codes(points, book).drop("dense")
     found = codes.code_search(coded, points, points.withColumnRenamed("id", "query_id"), book, 3, 6)
-    assert joins_of(found) == ["SortMerge"] * 2
+    assert joins_of(found, "id#") == ["SortMerge"] * 2
     assert found.count() == 60 * 3
