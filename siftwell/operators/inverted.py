@@ -10,18 +10,21 @@ left cannot lift a new document over the k-th score so far, only documents
 already met are followed, and of the later terms only blocks that hold one of
 them whose own maximum could still matter. What is left is scored again in the
 order of the terms, so scores are those of the exhaustive search, bit for bit.
+
+Walks cost a few milliseconds apiece. Where a shard has ``WALKED`` queries or
+more, its postings are laid out by document and scored for all of them together
+(``blocks``), with equal hits. Queries beyond ``slice_bytes`` are not sent to
+every worker: they are dealt out to the shards of their tenant, in groups.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwell.operators.blocks import SCORE_DIGITS, UNDEFINED
+from siftwell.operators.blocks import SCORE_DIGITS, UNDEFINED, BestOf, by_conditions
 from siftwell.operators.idf import weight_queries
 from siftwell.operators.ranking import measured_bytes, take_top, vector_bytes
 from siftwell.schema import QUERY_FILTERS, require_columns
@@ -31,6 +34,10 @@ SHARD_DOCS, BLOCK = 8192, 64
 SLICE_BYTES = 16 << 20
 #: Terms of a slice that are pushed to the scan one by one; more of them are a semi-join.
 PUSHED_TERMS = 400
+#: Terms of tenants that are sent to the scan, at most; more of them are nearly all terms.
+SENT_TERMS = 1_000_000
+#: Queries of a shard that walk its terms one by one, fewer than so many.
+WALKED = 64
 #: Bounds are sums in another order than scores; what is this close is not left out.
 _MARGIN = 1e-7
 
@@ -233,42 +240,111 @@ class _Conditions:
         return ok if before is None else ok & (self.at <= before)
 
 
-def _score_slice(postings: DataFrame, facts: DataFrame, queries: pa.Table, k: int) -> tuple[DataFrame, object]:
+def _by_document(terms: pa.Table, facts: pa.Table) -> pa.Table:
+    """The postings of a shard as documents: id, category, created_at, indices, values."""
+    size = pc.list_value_length(terms["ids"]).to_numpy()
+    flat = lambda name: terms[name].combine_chunks().flatten().to_numpy()
+    term, weight = np.repeat(terms["idx"].to_numpy(), size), flat("weights")
+    ids, doc = np.unique(flat("ids"), return_inverse=True)
+    order = np.lexsort((term, doc))
+    term, doc = term[order], doc[order]
+    first = np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])][: len(term)]  # an id counts once, as in walks
+    term, doc, weight = term[first], doc[first], weight[order[first]]
+    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=len(ids)))].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (term, weight)]
+    if facts.num_rows:
+        at = np.argsort(facts["id"].to_numpy())
+        at = pa.array(at[np.searchsorted(facts["id"].to_numpy()[at], ids)])
+        known = [facts["category"].take(at), facts["created_at"].take(at)]
+    else:
+        known = [pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())]
+    return pa.table([pa.array(ids), *known, *lists], ["id", "category", "created_at", "indices", "values"])
+
+
+def _batched(terms: pa.Table, facts: pa.Table, mine: pa.Table, k: int) -> pa.Table:
+    docs, tables = _by_document(terms, facts), []
+    for part in by_conditions(mine):
+        best = BestOf(part, ("sparse",), k)
+        best.add(docs)
+        tables += best.tables()
+    return pa.concat_tables(tables).select(["query_id", "id", "score"])
+
+
+def _walked(shard: Shard, conditions: _Conditions | None, mine: pa.Table, k: int) -> dict[str, list]:
+    out: dict[str, list] = {name: [] for name in ("query_id", "id", "score", "blocks", "read")}
+
+    def add(query_id: int, ids: list, scores: list, blocks, read) -> None:
+        for name, value in (("query_id", [query_id] * len(ids)), ("id", ids), ("score", scores),
+                            ("blocks", [blocks] * len(ids)), ("read", [read] * len(ids))):
+            out[name] += value
+
+    plain = mine.drop_columns(["indices", "values"]).to_pylist()
+    for query, term, w in zip(plain, mine["indices"], mine["values"]):
+        term = term.values.to_numpy() if term.is_valid else np.empty(0, np.int64)
+        w = w.values.to_numpy(zero_copy_only=False) if len(term) else np.empty(0)
+        allowed = conditions.allowed(query) if conditions else None
+        docs, blocks, read = shard.best(term, w, k, allowed)
+        if not blocks:
+            continue
+        found = shard.scores(docs, term, w)
+        found = np.where(np.isnan(found), UNDEFINED, np.round(found, SCORE_DIGITS) + 0.0)
+        top = np.lexsort((shard.ids[docs], -found))[:k]
+        scores = [None if s < UNDEFINED / 2 else s for s in found[top].tolist()]
+        add(query["query_id"], shard.ids[docs[top]].tolist(), scores, None, None)
+        add(query["query_id"], [None], [None], blocks, read)
+    return out
+
+
+_KINDS = {"query_id": pa.int64(), "id": pa.int64(), "score": pa.float64(), "blocks": pa.int64(), "read": pa.int64()}
+
+
+def _hits_of(key: tuple[pa.Scalar, ...], terms: pa.Table, facts: pa.Table, mine: pa.Table, k: int, walk: bool) -> pa.Table:
+    """Best k of a shard for each of its queries and, of a walk, the blocks of the query's terms and blocks read."""
+    if not (terms.num_rows and mine.num_rows):
+        out: dict = {}
+    elif walk or mine.num_rows < WALKED:
+        shard = Shard(_joined(key, terms))
+        out = _walked(shard, _Conditions(shard.ids, facts) if facts.num_rows else None, mine, k)
+    else:
+        out = {name: column.combine_chunks() for name, column in zip(_KINDS, _batched(terms, facts, mine, k).columns)}
+    rows = len(out.get("query_id", []))
+    columns = [x if isinstance(x := out.get(n, [None] * rows), pa.Array) else pa.array(x, kind) for n, kind in _KINDS.items()]
+    return pa.Table.from_arrays([pa.array([key[0].as_py()] * rows, pa.string()), *columns], ["tenant_id", *_KINDS])
+
+
+def _score_slice(postings: DataFrame, facts: DataFrame, queries: pa.Table, k: int, walk: bool) -> DataFrame:
     shared = postings.sparkSession.sparkContext.broadcast(queries)
 
     def score(key: tuple[pa.Scalar, ...], terms: pa.Table, facts: pa.Table) -> pa.Table:
-        tenant = key[0].as_py()
-        mine = shared.value.filter(pc.equal(shared.value["tenant_id"], tenant))
-        out: dict[str, list] = {name: [] for name in ("query_id", "id", "score", "blocks", "read")}
-
-        def add(query_id: int, ids: list, scores: list, blocks, read) -> None:
-            for name, value in (("query_id", [query_id] * len(ids)), ("id", ids), ("score", scores),
-                                ("blocks", [blocks] * len(ids)), ("read", [read] * len(ids))):
-                out[name] += value
-
-        if terms.num_rows and mine.num_rows:
-            shard = Shard(_joined(key, terms))
-            conditions = _Conditions(shard.ids, facts) if facts.num_rows else None
-            plain = mine.drop_columns(["indices", "values"]).to_pylist()
-            for query, term, w in zip(plain, mine["indices"], mine["values"]):
-                term = term.values.to_numpy() if term.is_valid else np.empty(0, np.int64)
-                w = w.values.to_numpy(zero_copy_only=False) if len(term) else np.empty(0)
-                allowed = conditions.allowed(query) if conditions else None
-                docs, blocks, read = shard.best(term, w, k, allowed)
-                if not blocks:
-                    continue
-                found = shard.scores(docs, term, w)
-                found = np.where(np.isnan(found), UNDEFINED, np.round(found, SCORE_DIGITS) + 0.0)
-                top = np.lexsort((shard.ids[docs], -found))[:k]
-                scores = [None if s < UNDEFINED / 2 else s for s in found[top].tolist()]
-                add(query["query_id"], shard.ids[docs[top]].tolist(), scores, None, None)
-                add(query["query_id"], [None], [None], blocks, read)
-        kinds = {"query_id": pa.int64(), "id": pa.int64(), "score": pa.float64(), "blocks": pa.int64(), "read": pa.int64()}
-        columns = [pa.array([tenant] * len(out["id"]), pa.string()), *(pa.array(out[n], kinds[n]) for n in kinds)]
-        return pa.Table.from_arrays(columns, ["tenant_id", *kinds])
+        mine = shared.value.filter(pc.equal(shared.value["tenant_id"], key[0].as_py()))
+        return _hits_of(key, terms, facts, mine, k, walk)
 
     grouped = postings.groupBy("tenant_id", "together"), facts.groupBy("tenant_id", "together")
-    return grouped[0].cogroup(grouped[1]).applyInArrow(score, _HITS), shared
+    return grouped[0].cogroup(grouped[1]).applyInArrow(score, _HITS)
+
+
+def _score_cells(postings: DataFrame, facts: DataFrame, asked: DataFrame, widths: DataFrame, slice_bytes: int, k: int, walk: bool) -> DataFrame:
+    """Every group of a tenant's shards with every group of its queries of ``slice_bytes``, about."""
+    sizes = asked.groupBy("tenant_id").agg(F.ceil(F.sum(vector_bytes(("sparse",))) / slice_bytes).cast("int").alias("_qs"))
+    groups = F.ceil(F.col("shards") / F.col("width")).cast("int").alias("_groups")
+    cells = stored(widths.select("tenant_id", groups).join(sizes, "tenant_id"))
+    queries = asked.join(cells, "tenant_id").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_qs")).cast("int"))
+    queries = queries.withColumn("together", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_qs", "_groups")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(cells.drop("_groups"), "tenant_id")
+        return rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1))).drop("_qs")
+
+    query_columns = asked.columns
+
+    def score(key: tuple[pa.Scalar, ...], terms: pa.Table, others: pa.Table) -> pa.Table:
+        asks = pc.is_valid(others["query_id"])
+        facts = others.filter(pc.invert(asks)).select(["id", "category", "created_at"])
+        return _hits_of(key, terms, facts, others.filter(asks).select(query_columns), k, walk)
+
+    cell = ["tenant_id", "together", "_q"]
+    others = queries.unionByName(dealt(facts).drop("shard"), allowMissingColumns=True)
+    return dealt(postings).groupBy(*cell).cogroup(others.groupBy(*cell)).applyInArrow(score, _HITS)
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -282,26 +358,31 @@ def _asked(queries: DataFrame) -> DataFrame:
     return stored(rows)
 
 
-def _wanted(postings: DataFrame, part: DataFrame, terms: list[int]) -> DataFrame:
-    """The postings of a slice's terms.
+def _wanted(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The postings of the queries' terms.
 
     A few terms are a condition of the scan, whose files are sorted by term: it
-    skips row groups and pages. Many are spread over all of them.
+    skips row groups and pages. Many are spread over all of them, and beyond
+    ``SENT_TERMS`` the postings that nobody asks for are few.
     """
+    pairs = stored(asked.select("tenant_id", F.explode("indices").alias("idx")).distinct())
+    some = pairs.select("idx").distinct().limit(PUSHED_TERMS + 1)
+    terms = [r["idx"] for r in some.collect()]
     if len(terms) <= PUSHED_TERMS:
         conf, threshold = postings.sparkSession.conf, "spark.sql.parquet.pushdown.inFilterThreshold"
         conf.set(threshold, str(max(PUSHED_TERMS, int(conf.get(threshold)))))
         postings = postings.where(F.col("idx").isin(terms))
-    pairs = part.select("tenant_id", F.explode("indices").alias("idx")).distinct()
+    elif pairs.count() > SENT_TERMS:
+        return postings
     return postings.join(F.broadcast(pairs), ["tenant_id", "idx"], "left_semi")
 
 
 def _shard_widths(spark: SparkSession, path: str) -> DataFrame:
-    """tenant_id and the number of its shards that are searched together, ``SHARD_DOCS`` documents or one shard."""
+    """tenant_id, its shards and the number of them that are searched together, ``SHARD_DOCS`` documents or one shard."""
     shards = spark.read.schema("shard int, tenant_id string").parquet(f"{path}/documents")
     sizes = shards.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), (F.max("shard") + 1).alias("shards"))
     width = F.floor(F.lit(SHARD_DOCS) * F.col("shards") / F.col("n")).cast("int")
-    return stored(sizes.select("tenant_id", F.greatest(F.lit(1), width).alias("width")))
+    return stored(sizes.select("tenant_id", "shards", F.greatest(F.lit(1), width).alias("width")))
 
 
 def _together(rows: DataFrame, widths: DataFrame) -> DataFrame:
@@ -311,30 +392,22 @@ def _together(rows: DataFrame, widths: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(own), "tenant_id").select(*rows.columns, group)
 
 
-def _scored(spark: SparkSession, path: str, queries: DataFrame, k: int, slice_bytes: int) -> DataFrame:
-    """Best k of every shard, and a row without an id that counts its blocks."""
+def _scored(spark: SparkSession, path: str, queries: DataFrame, k: int, slice_bytes: int, walk: bool = False) -> DataFrame:
+    """Best k of every shard and, with ``walk``, a row without an id that counts its blocks."""
     if k < 1:
         raise ValueError("k must be at least 1")
     require_columns(queries, "tenant_id", "query_id", "sparse")
     asked = _asked(queries)
-    slices = max(1, -(-measured_bytes(asked, vector_bytes(("sparse",))) // slice_bytes))
-    number = F.pmod(F.xxhash64("query_id", "tenant_id"), F.lit(slices))
     filtered = any(name in queries.columns for name in QUERY_FILTERS)
-    widths, results = _shard_widths(spark, path), []
-    for i in range(slices):
-        part = asked.where(number == i)
-        rows = part.toArrow()
-        terms = pc.unique(rows["indices"].combine_chunks().flatten()).to_pylist()
-        postings = _wanted(read_postings(spark, path), part, terms)
-        tenants = F.broadcast(part.select("tenant_id").distinct())
-        facts = spark.read.schema("shard int, id bigint, category string, created_at bigint, tenant_id string")
-        facts = facts.parquet(f"{path}/documents").where(F.lit(filtered)).join(tenants, "tenant_id", "left_semi")
-        found, shared = _score_slice(_together(postings, widths), _together(facts, widths), rows, k)
-        if slices == 1:
-            return found
-        results.append(stored(found))
-        shared.destroy()
-    return reduce(DataFrame.union, results)
+    widths = _shard_widths(spark, path)
+    postings = _together(_wanted(read_postings(spark, path), asked), widths)
+    tenants = F.broadcast(asked.select("tenant_id").distinct())
+    facts = spark.read.schema("shard int, id bigint, category string, created_at bigint, tenant_id string")
+    facts = facts.parquet(f"{path}/documents").where(F.lit(filtered)).join(tenants, "tenant_id", "left_semi")
+    facts = _together(facts, widths)
+    if measured_bytes(asked, vector_bytes(("sparse",))) > slice_bytes:
+        return _score_cells(postings, facts, asked, widths, slice_bytes, k, walk)
+    return _score_slice(postings, facts, asked.toArrow(), k, walk)
 
 
 def index_search(
@@ -353,5 +426,5 @@ def index_search(
 
 def index_work(spark: SparkSession, path: str, queries: DataFrame, idf: DataFrame, limit: int = 10) -> DataFrame:
     """tenant_id, query_id, blocks of the query's terms and blocks read."""
-    found = _scored(spark, path, weight_queries(queries, idf), limit, SLICE_BYTES).where("id IS NULL")
+    found = _scored(spark, path, weight_queries(queries, idf), limit, SLICE_BYTES, walk=True).where("id IS NULL")
     return found.groupBy("tenant_id", "query_id").agg(F.sum("blocks").alias("blocks"), F.sum("read").alias("read"))

@@ -113,3 +113,25 @@ def test_empty_and_broken_tables(spark, tmp_path):
     broken = spark.createDataFrame([(1, "a", "x", 1, ([1], [float("nan")]))], POINT)
     with pytest.raises(Exception, match="finite"):
         inverted.write_index(broken, str(tmp_path / "broken"))
+
+
+@pytest.mark.parametrize("walked", [0, 10**6])
+def test_queries_of_a_shard_together_and_dealt_out(spark, sparse_tables, tmp_path, monkeypatch, walked):
+    """Queries of many shards used to be sent to every worker, slice by slice, and walked one by one."""
+
+    def sent(*args):
+        raise AssertionError("queries were sent to the workers")
+
+    points, queries = sparse_tables
+    points = points.dropna(subset=["id"]).localCheckpoint()
+    again = queries.unionByName(queries.where("query_id < 9"))
+    inverted.write_index(points, str(tmp_path / "index"), 50)
+    idf = idf_table(points)
+    want = [rows(search(points, asked, "sparse", 4, idf=idf)) for asked in (again, again.drop("category_filter", "created_after", "created_before"))]
+    monkeypatch.setattr(inverted, "_score_slice", sent)
+    monkeypatch.setattr(inverted, "WALKED", walked)
+    monkeypatch.setattr(inverted, "SHARD_DOCS", 120)
+    monkeypatch.setattr(inverted, "SENT_TERMS", walked)
+    monkeypatch.setattr(inverted, "PUSHED_TERMS", 3)
+    for asked, expected in zip((again, again.drop("category_filter", "created_after", "created_before")), want):
+        assert expected and rows(inverted.index_search(spark, str(tmp_path / "index"), asked, idf, 4, 2_000)) == expected
