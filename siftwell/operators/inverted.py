@@ -28,7 +28,7 @@ from siftwell.operators.blocks import SCORE_DIGITS, UNDEFINED, BestOf, by_condit
 from siftwell.operators.idf import weight_queries
 from siftwell.operators.ranking import measured_bytes, take_top, vector_bytes
 from siftwell.schema import QUERY_FILTERS, require_columns
-from siftwell.sources.collection import stored
+from siftwell.sources.collection import shuffles_removed, stored
 
 SHARD_DOCS, BLOCK = 8192, 64
 SLICE_BYTES = 16 << 20
@@ -105,7 +105,8 @@ def write_index(points: DataFrame, path: str, shard_docs: int = SHARD_DOCS) -> N
     vectors = rows.where(F.size("indices") > 0).select("tenant_id", "shard", "id", "indices", "values")
     postings = vectors.groupBy("tenant_id", "shard").applyInArrow(_postings_of, _POSTINGS)
     postings = postings.hint("rebalance", "tenant_id").sortWithinPartitions("tenant_id", "idx", "shard")
-    postings.write.mode("overwrite").partitionBy("tenant_id").parquet(f"{path}/postings")
+    with shuffles_removed(points.sparkSession):
+        postings.write.mode("overwrite").partitionBy("tenant_id").parquet(f"{path}/postings")
     facts = rows.select("tenant_id", "shard", "id", "category", "created_at")
     facts.write.mode("overwrite").partitionBy("tenant_id").parquet(f"{path}/documents")
 
