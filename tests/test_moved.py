@@ -48,6 +48,27 @@ def test_documents_are_moved_once_however_many_the_queries(spark, monkeypatch):
     assert [x.count() for x in moved] == [70, 90]
 
 
+def test_cells_are_dealt_in_rounds(spark, monkeypatch):
+    """Everything used to be moved at once, however often."""
+    kinds = "tenant_id string, dense array<double>"
+    points = spark.createDataFrame([(i, "tuv"[i % 9 % 3], [1.0, i / 7]) for i in range(90)], f"id bigint, {kinds}")
+    asked = spark.createDataFrame([(i, "tu"[i % 9 == 0], [1.0, i / 5]) for i in range(70)], f"query_id bigint, {kinds}")
+    want = sorted(map(repr, ranking.exact_topk(points, asked, 4).collect()))
+    for name, value in {"SENT_BYTES": 0, "ROUND_BYTES": 1, "CELL_PAIRS": 10, "CELL_QUERIES": 4, "CELLS_PER_CORE": 100}.items():
+        monkeypatch.setattr(ranking, name, value)
+    rounds, seen = ranking._rounds, []
+
+    def watched(*args):
+        seen.append((args, rounds(*args)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(ranking, "_rounds", watched)
+    assert sorted(map(repr, ranking.exact_topk(points, asked, 4).collect())) == want
+    ((counts, asked_bytes, docs_bytes), number), = seen
+    assert 1 < number <= counts["qs"]
+    assert counts["docs_moved"] > 2 * counts["docs"]
+
+
 @pytest.mark.parametrize("slice_bytes", [1 << 26, 8_000])
 def test_documents_of_a_cell_in_a_file(tables, monkeypatch, slice_bytes):
     _, points, asked = tables
